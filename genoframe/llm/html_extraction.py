@@ -34,48 +34,83 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
-FEATURES = ["words", "links", "prev_words", "prev_links", "next_words", "next_links", "place", "other"]
+FEATURES = ["place", "other", "words", "links", "prev_words", "prev_links", "next_words", "next_links"]
 #: place: 0 outside the page's article, 1 inside it, 2 the page has none. other: within a part named for something else.
 LABELLED = """
-words links prev_words prev_links next_words next_links place other main
-8 0.0 6 0.0 40 0.0 1 0 1
-1 0.0 40 0.0 60 0.0 1 0 1
-60 0.0 1 0.0 45 0.0 1 0 1
-45 0.05 60 0.0 3 0.0 1 0 1
-120 0.2 45 0.0 9 0.0 1 0 1
-3 0.0 80 0.1 5 0.0 1 0 1
-5 1.0 80 0.0 70 0.0 1 0 1
-2 1.0 2 1.0 2 1.0 1 1 0
-7 0.0 30 0.0 2 1.0 1 1 0
-35 0.0 60 0.0 12 0.0 1 1 0
-50 0.1 35 0.0 0 0.0 1 1 0
-1 1.0 0 0.0 1 1.0 0 1 0
-1 1.0 1 1.0 1 1.0 0 1 0
-1 1.0 1 1.0 9 0.0 0 1 0
-9 0.0 1 1.0 8 0.0 0 1 0
-40 0.0 1 1.0 8 0.0 0 1 0
-10 0.0 70 0.0 0 0.0 0 1 0
-25 0.1 70 0.0 0 0.0 0 0 0
-12 0.0 3 1.0 50 0.0 0 0 0
-6 0.5 50 0.0 10 0.0 0 0 0
-80 0.0 12 0.0 6 0.5 0 0 0
-1 0.0 0 0.0 1 1.0 0 0 0
-50 0.0 8 0.0 65 0.0 2 0 1
-65 0.05 50 0.0 40 0.0 2 0 1
-30 0.1 65 0.0 22 0.0 2 0 1
-8 0.0 2 1.0 50 0.0 2 0 1
-6 0.0 65 0.0 40 0.0 2 0 1
-14 0.0 40 0.0 30 0.1 2 0 1
-2 1.0 0 0.0 2 1.0 2 0 0
-2 1.0 2 1.0 8 0.0 2 0 0
-4 0.9 30 0.0 2 1.0 2 0 0
-20 0.7 4 0.9 6 0.8 2 0 0
-45 0.6 20 0.7 6 0.8 2 0 0
-3 0.0 2 1.0 2 1.0 2 0 0
-7 0.0 4 0.9 0 0.0 2 0 0
-40 0.0 50 0.0 30 0.0 2 1 0
-9 0.0 50 0.0 2 1.0 2 1 0
-1 1.0 1 1.0 1 1.0 2 1 0
+place other words links prev_words prev_links next_words next_links main
+1 0 8 0.0 6 0.0 40 0.0 1
+1 0 1 0.0 40 0.0 60 0.0 1
+1 0 60 0.0 1 0.0 45 0.0 1
+1 0 45 0.05 60 0.0 3 0.0 1
+1 0 120 0.2 45 0.0 9 0.0 1
+1 0 3 0.0 80 0.1 5 0.0 1
+1 0 5 1.0 80 0.0 70 0.0 1
+1 1 2 1.0 2 1.0 2 1.0 0
+1 1 7 0.0 30 0.0 2 1.0 0
+1 1 35 0.0 60 0.0 12 0.0 0
+1 1 50 0.1 35 0.0 0 0.0 0
+0 1 1 1.0 0 0.0 1 1.0 0
+0 1 1 1.0 1 1.0 1 1.0 0
+0 1 1 1.0 1 1.0 9 0.0 0
+0 1 9 0.0 1 1.0 8 0.0 0
+0 1 40 0.0 1 1.0 8 0.0 0
+0 1 10 0.0 70 0.0 0 0.0 0
+0 0 25 0.1 70 0.0 0 0.0 0
+0 0 12 0.0 3 1.0 50 0.0 0
+0 0 6 0.5 50 0.0 10 0.0 0
+0 0 80 0.0 12 0.0 6 0.5 0
+0 0 1 0.0 0 0.0 1 1.0 0
+2 0 50 0.0 8 0.0 65 0.0 1
+2 0 65 0.05 50 0.0 40 0.0 1
+2 0 30 0.1 65 0.0 22 0.0 1
+2 0 8 0.0 2 1.0 50 0.0 1
+2 0 6 0.0 65 0.0 40 0.0 1
+2 0 14 0.0 40 0.0 30 0.1 1
+2 0 2 1.0 0 0.0 2 1.0 0
+2 0 2 1.0 2 1.0 8 0.0 0
+2 0 4 0.9 30 0.0 2 1.0 0
+2 0 20 0.7 4 0.9 6 0.8 0
+2 0 45 0.6 20 0.7 6 0.8 0
+2 0 3 0.0 2 1.0 2 1.0 0
+2 0 7 0.0 4 0.9 0 0.0 0
+2 1 40 0.0 50 0.0 30 0.0 0
+2 1 9 0.0 50 0.0 2 1.0 0
+2 1 1 1.0 1 1.0 1 1.0 0
+1 0 5 0.0 3 0.0 4 0.0 1
+1 0 2 0.0 0 0.0 2 0.0 1
+1 0 9 0.0 9 0.0 0 0.0 1
+1 0 14 0.0 0 0.0 6 0.0 1
+1 0 30 0.0 4 0.0 12 0.0 1
+1 0 70 0.1 11 0.0 0 0.0 1
+1 0 22 0.0 150 0.0 10 0.0 1
+1 0 11 0.9 15 0.0 6 0.0 1
+1 0 1 0.0 1 0.0 1 0.0 1
+1 0 200 0.0 8 0.0 0 0.0 1
+1 0 12 0.0 30 0.0 8 0.0 1
+1 0 16 0.0 2 0.0 3 0.0 1
+0 0 90 0.0 90 0.0 90 0.0 0
+0 0 60 0.0 20 0.0 100 0.0 0
+0 0 15 0.0 60 0.0 55 0.0 0
+0 0 30 0.0 2 1.0 140 0.0 0
+0 0 8 0.0 110 0.0 85 0.0 0
+0 1 120 0.0 5 0.0 60 0.0 0
+0 1 18 0.0 90 0.0 75 0.0 0
+1 1 28 0.0 80 0.0 90 0.0 0
+1 1 90 0.0 70 0.0 66 0.0 0
+1 1 5 0.0 160 0.0 120 0.0 0
+1 1 14 0.5 45 0.0 80 0.0 0
+2 1 70 0.0 50 0.0 90 0.0 0
+2 1 20 0.0 65 0.0 75 0.0 0
+2 1 5 0.0 65 0.0 100 0.0 0
+1 0 40 0.0 30 0.0 5 1.0 1
+1 0 25 0.0 8 0.6 60 0.0 1
+1 0 10 0.0 12 1.0 3 0.8 1
+1 0 6 0.0 5 1.0 5 1.0 1
+1 0 3 0.0 2 1.0 40 0.0 1
+2 0 30 0.0 4 0.0 1 1.0 1
+2 0 60 0.0 40 0.0 3 1.0 1
+2 0 45 0.0 3 1.0 2 1.0 1
+2 0 28 0.1 2 1.0 35 0.0 1
 """
 
 
@@ -178,7 +213,7 @@ def extract(page: str) -> str:
     tree, none = fitted(), ("", 0, 0.0, 0, 0)
     keep = []
     for before, b, after in zip([none, *found], found, [*found[1:], none], strict=False):
-        if main_text(tree, (b[1], b[2], before[1], before[2], after[1], after[2], b[3] if has else 2, b[4])):
+        if main_text(tree, (b[3] if has else 2, b[4], b[1], b[2], before[1], before[2], after[1], after[2])):
             keep.append(b[0])
     return "\n\n".join(keep)
 
