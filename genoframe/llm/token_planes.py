@@ -30,7 +30,8 @@ from genoframe.llm import common
 
 BLOCK_IDS, CHUNK_IDS, MAX_SEGMENTS = 1 << 16, 1 << 18, 800_000
 CUT = re.compile(r"(?<=\S) (?=\S)")
-BESIDE = re.compile(r"\s | \s")
+#: White space of Python, which holds all that Unicode calls so.
+BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace()]
 CHUNKS = "shard int, chunk long, n_ids long, doc_ids array<long>, doc_lengths array<long>, width int, bits boolean, plane_ends array<long>, payload binary"
 
 
@@ -102,7 +103,7 @@ class SegmentIds(common.Memo):
             return b""
         if any(s in text for s in self.specials):
             return self.ids(text)
-        if "  " in text or text[0] == " " or text[-1] == " " or BESIDE.search(text):
+        if text[0] == " " or text[-1] == " " or any(f"{c} " in text or f" {c}" in text for c in BLANKS if c in text):
             first, *rest = CUT.split(text)
         else:
             first, *rest = text.split(" ")
