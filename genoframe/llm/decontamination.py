@@ -35,43 +35,85 @@ NUMERAL = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?[a-z]{0,3}")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Canon(common.Memo):
-    """word -> (hash within a sentence, hash at its start, slot within, slot at start, ends a sentence); None for no token."""
-
-    def __missing__(self, word: str) -> tuple | None:
-        core = "".join(c for c in word if c.isalnum() or c in "+-$€£.,:/%").strip("+-.,:/") if any(c.isdigit() for c in word) else "".join(filter(str.isalnum, word))
-        low = core.lower()
-        found = None
-        if core:
-            kind = "<number>" if NUMERAL.fullmatch(low) or low in NUMBERS else "<unit>" if low in UNITS else low
-            name = "<name>" if kind is low and core[:1].isupper() and not (core.isupper() and len(core) > 1) else kind
-            mid, start = (xxhash.xxh64_intdigest(x) for x in (name, kind))
-            found = (mid, start, name is not low, kind is not low, word.rstrip("\"')]»”").endswith((".", "!", "?", ":")), low)
-        if len(word) < 64:
-            self.keep(word, found)
-        return found
+SIGNS = re.compile(r"[\W_]+")
+IN_NUMBERS = re.compile(r"[^\w+\-$€£.,:/%]+|_+")
+DIGIT = re.compile(r"\d")
+
+
+def canonical(word: str) -> tuple[str, str, str, bool] | None:
+    """Its form within a sentence and at its start, its lower-case letters, and whether it ends a sentence; None for no token."""
+    if word.isalpha():
+        core, ends = word, False
+    else:
+        core = IN_NUMBERS.sub("", word).strip("+-.,:/") if DIGIT.search(word) else SIGNS.sub("", word)
+        if not core:
+            return None
+        ends = word.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
+    low = core.lower()
+    kind = "<number>" if low in NUMBERS or NUMERAL.fullmatch(low) else "<unit>" if low in UNITS else low
+    name = "<name>" if kind is low and core[0].isupper() and not (len(core) > 1 and core.isupper()) else kind
+    return name, kind, low, ends
+
+
+class Canon(dict):
+    """word -> its row in the arrays: hash within a sentence and at its start; slot within (1), at the start (2), ends a sentence (4). Row 0: no token."""
+
+    CAPACITY = 400_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.n = 1
+        self.hash = np.zeros((1 << 19, 2), np.uint64)
+        self.flags = np.zeros(1 << 19, np.uint8)
+
+    def __missing__(self, word: str) -> int:
+        found = canonical(word)
+        if found is None:
+            self[word] = 0
+            return 0
+        name, kind, low, ends = found
+        if self.n == len(self.flags):
+            self.hash, self.flags = np.r_[self.hash, np.zeros_like(self.hash)], np.r_[self.flags, np.zeros_like(self.flags)]
+        h = xxhash.xxh64_intdigest(kind)
+        self.hash[self.n] = (h if name is kind else xxhash.xxh64_intdigest(name), h)
+        self.flags[self.n] = (name is not low) + 2 * (kind is not low) + 4 * ends
+        self[word] = self.n
+        self.n += 1
+        return self.n - 1
 
 
 @lru_cache(1)
 def canon() -> Canon:
-    return Canon(300_000)
-
-
-def windows(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Window hashes, whether each has literals enough, the tokens' lower-case forms, and which are slots."""
-    found = [x for x in map(canon().__getitem__, text.split()) if x]
-    n = len(found) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool), [], np.zeros(0, bool)
-    mid, start, slot_mid, slot_start, ends, low = zip(*found, strict=True)
-    first = np.r_[True, np.array(ends[:-1], bool)]
-    h = np.where(first, np.array(start, np.uint64), np.array(mid, np.uint64))
-    slot = np.where(first, np.array(slot_start, bool), np.array(slot_mid, bool))
-    total = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        total = (total ^ (total >> np.uint64(29))) * MULTIPLIER + h[k : n + k]
-    count = np.r_[0, np.cumsum(slot)]
-    return total ^ (total >> np.uint64(31)), WINDOW - (count[WINDOW:] - count[:-WINDOW]) >= LITERAL, list(low), slot
+    return Canon()
+
+
+class Windows:
+    """Hashes of a text's windows, whether each has literals enough, and the tokens of a window."""
+
+    def __init__(self, text: str) -> None:
+        memo = canon()
+        if len(memo) > memo.CAPACITY:
+            memo.clear()
+            memo.n = 1
+        words = text.split()
+        code = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
+        self.words, self.place = words, np.flatnonzero(code)
+        code = code[self.place]
+        self.tokens = len(code)
+        n = max(0, len(code) - WINDOW + 1)
+        flags = memo.flags[code]
+        first = np.r_[True, flags[:-1] & 4 > 0][: len(code)]
+        h = np.where(first, memo.hash[code, 1], memo.hash[code, 0])
+        self.slot = np.where(first, flags & 2, flags & 1) > 0
+        total = np.zeros(n, np.uint64)
+        for k in range(WINDOW if n else 0):
+            total = (total ^ (total >> np.uint64(29))) * MULTIPLIER + h[k : n + k]
+        self.hash = total ^ (total >> np.uint64(31))
+        count = np.r_[0, np.cumsum(self.slot)]
+        self.good = WINDOW - (count[WINDOW:] - count[: max(0, len(count) - WINDOW)]) >= LITERAL
+
+    def slots(self, k: int) -> list[str | None]:
+        return [canonical(self.words[self.place[j]])[2] if self.slot[j] else None for j in range(k, k + WINDOW)]
 
 
 HITS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string())), ("n_tokens", pa.int32())])
@@ -86,12 +128,13 @@ def window_rows(table: DataFrame, bitmap=None) -> DataFrame:
         for b in batches:
             out = []
             for row, doc, text in zip(b.column("row").to_pylist(), b.column("id").to_pylist(), common.texts(b.column("text")), strict=True):
-                h, good, low, slot = windows(text)
+                w = Windows(text)
+                h, good = w.hash, w.good
                 if bits is not None:
                     place = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                    good &= (bits[place >> 3] >> (place & 7)) & 1 > 0
+                    good = good & (bits[place >> 3] >> (place & 7)) & 1 > 0
                 for k in np.flatnonzero(good).tolist():
-                    out.append((row, doc, int(h[k].view(np.int64)), k, [low[k + j] if slot[k + j] else None for j in range(WINDOW)], len(low)))
+                    out.append((row, doc, int(h[k].view(np.int64)), k, w.slots(k), w.tokens))
             yield common.batch(HITS, **dict(zip(HITS.names, zip(*out, strict=True) if out else [[]] * 6, strict=True)))
 
     return table.mapInArrow(run, HITS_DDL)
