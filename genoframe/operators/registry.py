@@ -1,10 +1,423 @@
-"""All queries of the variant operators, with the equivalent SQL."""
+"""All queries of the variant operators over the genomic views, with the equivalent SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from genoframe.functions.genotype import chromosome_label, coverage_label
+from genoframe.operators import annotate, filters, gwas, mdr, merge, stats
+from genoframe.plans.views import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SAMPLES, FOLDS, TOP, INTERVALS = 24, 4, 50, [10, 20, 40, 80]
+PLACE = ["variant_id", "chrom", "pos"]
+
+
+def query(name: str, views: list[str], sql: str | None) -> Callable:
+    """Register a function of the views it reads; sql: the same over the same views."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views))
+        if sql:
+            ORACLES[name] = oracle(views, sql)
+        return f
+
+    return add
+
+
+# ---- filters ----------------------------------------------------------------------------------------------------
+ALTS = "case when alt = '.' then [] else string_split(alt, ',') end"
+INDEL = f"len(list_filter({ALTS}, lambda a: length(a) <> length(ref))) > 0"
+KIND = f"case when len(list_filter({ALTS}, lambda a: contains(a, '<') or contains(a, '[') or contains(a, ']'))) > 0 then 'structural' when length(ref) = 1 and len(list_filter({ALTS}, lambda a: length(a) <> 1)) = 0 then 'snv' else 'indel' end"
+RECORD_FILTERS = {
+    "filter_alleles": (("alleles", 3), f"1 + len({ALTS}) = 3"),
+    "filter_coverage": (("coverage", 30), "dp >= 30"),
+    "filter_quality": (("quality", 41), "qual >= 41"),
+    "filter_snp": (("snp", "include"), "id <> '.'"),
+    "filter_snp_exclude": (("snp", "exclude"), "id = '.'"),
+    "filter_indel": (("indel", "include"), INDEL),
+    "filter_indel_exclude": (("indel", "exclude"), f"not ({INDEL})"),
+    "filter_var_type": (("var_type", "structural"), f"{KIND} = 'structural'"),
+    "filter_var_type_snv": (("var_type", "snv"), f"{KIND} = 'snv'"),
+}
+for _name, (_args, _sql) in RECORD_FILTERS.items():
+    query(_name, ["variants"], f"select variant_id, chrom, pos from variants where {_sql}")(lambda v, a=_args: filters.FilterChain().add(*a).passed(v).select(*PLACE))
+
+ONE = "case when {a} = {k} then 1 else 0 end"
+COUNTS = ", ".join(f"cast(sum(case when a1 = {k} then 1 else 0 end + case when a2 = {k} then 1 else 0 end) as bigint) as c{k}" for k in range(3))
+COUNTS += ", " + ", ".join(f"cast(sum(case when least(a1, a2) = {i} and greatest(a1, a2) = {j} and a1 is not null and a2 is not null then 1 else 0 end) as bigint) as g{i}{j}" for i, j in stats.PAIRS)
+COUNTS += ", cast(sum(case when a1 is not null and a2 is not null then 1 else 0 end) as bigint) as called"
+NAMES = ["c0", "c1", "c2", *[f"g{i}{j}" for i, j in stats.PAIRS], "called"]
+MAF = "round(case when n_alleles = 3 then least(c0, c1, c2) else least(c0, c1) end / nullif(c0 + c1 + c2, 0), 6)"
+FULL = ", ".join(f"coalesce({c}, 0) as {c}" for c in NAMES)
+STATS = f"""with s0 as (select variant_id, {COUNTS} from calls group by variant_id),
+s1 as (select v.variant_id, n_alleles, {FULL} from (select variant_id, n_alleles from variants) v left join s0 on s0.variant_id = v.variant_id),
+stat as (select *, cast({SAMPLES} as bigint) as n_samples, c0 + c1 + c2 as an, {SAMPLES} - called as missing_genotypes, {MAF} as maf from s1)"""
+
+
+def with_stats(v: DataFrame, c: DataFrame) -> DataFrame:
+    return v.join(stats.variant_stats(v, c, SAMPLES).drop("n_alleles"), "variant_id")
+
+
+for _name, _args, _sql in (("filter_maf", ("maf", 0.305), "maf >= 0.305"), ("filter_missing", ("missing", 0.33), "missing_genotypes / n_samples <= 0.33")):
+    query(_name, ["variants", "calls"], f"{STATS} select v.variant_id, chrom, pos from variants v join stat on stat.variant_id = v.variant_id where {_sql}")(lambda v, c, a=_args: filters.FilterChain().add(*a).passed(with_stats(v, c)).select(*PLACE))
+
+INSIDE = "exists (select 1 from regions r where r.chrom = v.chrom and v.pos between start_pos and end_pos and {w})"
+for _name, _sql in (("filter_region", "start_pos < 20000"), ("filter_region_file", "type = 'exon'"), ("filter_gene", "gene in ('GENE3', 'GENE7', 'GENE11')")):
+    query(_name, ["variants", "regions"], f"select variant_id, chrom, pos from variants v where {INSIDE.format(w=_sql)}")(lambda v, r, w=_sql: filters.overlapping(v, r.where(w)).select(*PLACE))
+
+MALE_X = "(upper(chrom) = 'X' and sex = 1)"
+HOM = {p: (f"({p}1 = 0 and {p}2 = 0)", f"({p}1 = {p}2 and {p}1 <> 0)") for p in "fmc"}
+(F0, F1), (M0, M1), (C0, C1) = HOM["f"], HOM["m"], HOM["c"]
+CODE = f"""case when f1 is null or f2 is null or m1 is null or m2 is null or c1 is null or c2 is null then null when {MALE_X} and {C1} and {M0} then 9 when {MALE_X} and {C0} and {M1} then 10 when {MALE_X} then 0
+ when c1 <> c2 and {F0} and {M0} then 1 when c1 <> c2 and {F1} and {M1} then 2 when c1 <> c2 then 0 when {C0} and {F1} and {M1} then 5 when {C0} and {M1} then 3 when {C0} and {F1} then 4
+ when {C1} and {F0} and {M0} then 8 when {C1} and {F0} then 6 when {C1} and {M0} then 7 else 0 end"""
+TRIOS = f"""with fam as (select c.*, family_id, role, sex, condition from calls c join ped p on p.sample_id = c.sample_id),
+trio as (select k.variant_id, k.sample_id as child, k.sex, k.condition, v.chrom, f.a1 as f1, f.a2 as f2, m.a1 as m1, m.a2 as m2, k.a1 as c1, k.a2 as c2 from fam k
+ join fam f on f.variant_id = k.variant_id and f.family_id = k.family_id and f.role = 0 join fam m on m.variant_id = k.variant_id and m.family_id = k.family_id and m.role = 1 join variants v on v.variant_id = k.variant_id where k.role = 2),
+coded as (select *, {CODE} as code from trio)"""
+THREE = ["variants", "calls", "ped"]
+
+
+@query("mendel_errors", THREE, f"{TRIOS} select variant_id, child, code from coded where code > 0")
+def _mendel(v, c, p):
+    return stats.mendel_errors(c, p, v).where("code > 0").select("variant_id", "child", "code")
+
+
+@query("filter_mendel", THREE, f"{TRIOS}, e as (select variant_id, count(*) as n from coded where code > 0 group by variant_id) select v.variant_id, chrom, pos from variants v left join e on e.variant_id = v.variant_id where coalesce(n, 0) <= 0")
+def _filter_mendel(v, c, p):
+    errors = stats.mendel_errors(c, p, v).where("code > 0").groupBy("variant_id").agg(F.count("*").alias("mendel_errors"))
+    return filters.FilterChain().add("mendel", 0).passed(v.join(errors, "variant_id", "left")).select(*PLACE)
+
+
+INHERIT = """with i as (select c.variant_id, avg(case when (condition = 2) = (a1 > 0 or a2 > 0) then 1 else 0 end) as dominant, avg(case when (condition = 2) = (a1 > 0 and a1 = a2) then 1 else 0 end) as recessive
+ from calls c join ped p on p.sample_id = c.sample_id where a1 is not null and a2 is not null group by c.variant_id)"""
+for _name, _column, _x in (("filter_inh_dom", "dominant", 0.51), ("filter_inh_rec", "recessive", 0.51)):
+    query(_name, THREE, f"{INHERIT} select v.variant_id, chrom, pos from variants v join i on i.variant_id = v.variant_id where {_column} >= {_x}")(
+        lambda v, c, p, n=_name[7:], x=_x: filters.FilterChain().add(n, x).passed(v.join(stats.inheritance(c, p), "variant_id")).select(*PLACE)
+    )
+
+CHAIN = "coalesce(qual >= 41 and dp >= 30 and id <> '.' and 1 + len(" + ALTS + ") = 2 and maf >= 0.2001, false)"
+for _name, _sql in (("filter_chain", CHAIN), ("filter_rejected", f"not {CHAIN}")):
+
+    def _chain(v, c, kept=_name == "filter_chain"):
+        chain = filters.FilterChain().add("maf", 0.2001).add("quality", 41).add("coverage", 30).add("snp").add("alleles", 2)
+        return (chain.passed if kept else chain.rejected)(with_stats(v, c)).select(*PLACE)
+
+    query(_name, ["variants", "calls"], f"{STATS} select v.variant_id, chrom, pos from variants v join stat on stat.variant_id = v.variant_id where {_sql}")(_chain)
+
+# ---- statistics -------------------------------------------------------------------------------------------------
+SHOWN = ["variant_id", "n_alleles", *NAMES, "n_samples", "an", "missing_genotypes", "maf"]
+
+
+@query("stats_variant", ["variants", "calls"], f"{STATS} select {', '.join(SHOWN)} from stat")
+def _stats_variant(v, c):
+    return stats.variant_stats(v, c, SAMPLES).select(*SHOWN)
+
+
+@query(
+    "stats_variant_by_group", THREE,
+    f"with s0 as (select c.variant_id, population, {COUNTS} from calls c join ped p on p.sample_id = c.sample_id group by c.variant_id, population), z as (select population, count(*) as n_samples from ped group by population) "
+    f"select s0.variant_id, s0.population, n_alleles, {', '.join(NAMES)}, n_samples, c0 + c1 + c2 as an, n_samples - called as missing_genotypes, {MAF} as maf from s0 join z on z.population = s0.population join variants v on v.variant_id = s0.variant_id",
+)
+def _stats_group(v, c, p):
+    return stats.group_stats(v, c, p, "population").select("population", *SHOWN)
+
+
+@query("stats_sample", THREE, f"{TRIOS}, k as (select sample_id, count(*) as called from calls where a1 is not null and a2 is not null group by sample_id), e as (select child, count(*) as n from coded where code > 0 group by child) select p.sample_id, (select count(*) from variants) - coalesce(called, 0) as missing_genotypes, coalesce(n, 0) as mendel_errors from ped p left join k on k.sample_id = p.sample_id left join e on e.child = p.sample_id")
+def _stats_sample(v, c, p):
+    return stats.sample_stats(c, p, v)
+
+
+TS = "ref || alt in ('AG', 'GA', 'CT', 'TC')"
+SINGLE = f"{KIND} = 'snv' and n_alleles = 2"
+
+
+@query("stats_summary", ["variants"], f"select count(*) as n_variants, cast({SAMPLES} as bigint) as n_samples, count(*) filter (id <> '.') as n_snps, count(*) filter ({KIND} = 'indel') as n_indels, count(*) filter (n_alleles = 2) as n_biallelic, count(*) filter (n_alleles > 2) as n_multiallelic, count(*) filter ({SINGLE} and {TS}) as n_transitions, count(*) filter ({SINGLE} and not ({TS})) as n_transversions, round(avg(qual), 6) as mean_quality, count(*) filter (filter = 'PASS') as n_pass from variants")
+def _summary(v):
+    return stats.file_summary(v, SAMPLES)
+
+
+def milli(a: str, b: str) -> str:
+    n = f"(case when {b} > 0 then cast(floor((2000 * {a} + {b}) / (2 * {b})) as bigint) else 0 end)"
+    return f"concat(cast({n} // 1000 as varchar), '.', lpad(cast({n} % 1000 as varchar), 3, '0'))"
+
+
+GTC = "concat('0/0:', g00, ',0/1:', g01, case when n_alleles = 3 then concat(',0/2:', g02) else '' end, ',1/1:', g11, case when n_alleles = 3 then concat(',1/2:', g12, ',2/2:', g22) else '' end, ',./.:', missing_genotypes)"
+AC = "concat(c1, case when n_alleles = 3 then concat(',', c2) else '' end)"
+AF = f"concat({milli('c1', 'an')}, case when n_alleles = 3 then concat(',', {milli('c2', 'an')}) else '' end)"
+OWN = "case when dp is null then 'H2' else concat('AC=7;DP=', cast(dp as string), ';H2') end"
+for _name, _over, _sql in (
+    ("aggregate_info", False, f"concat(case when dp is null then '' else 'AC=7;' end, 'AGG_AC=', {AC}, ';AGG_AF=', {AF}, ';AGG_AN=', an, ';AGG_GTC=', {GTC}, case when dp is null then '' else concat(';DP=', dp) end, ';H2')"),
+    ("aggregate_info_overwrite", True, f"concat('AC=', {AC}, ';AF=', {AF}, ';AN=', an, case when dp is null then '' else concat(';DP=', dp) end, ';GTC=', {GTC}, ';H2')"),
+):
+    query(_name, ["variants", "calls"], f"{STATS} select stat.variant_id, {_sql} as info from stat join (select variant_id, dp from variants) v on v.variant_id = stat.variant_id")(
+        lambda v, c, o=_over: stats.aggregate_info(v.withColumn("info", F.expr(OWN)), stats.variant_stats(v, c, SAMPLES), o)
+    )
+
+
+# ---- split ------------------------------------------------------------------------------------------------------
+@query("split_chromosome", ["variants"], "select variant_id, concat('chromosome_', chrom) as part from variants")
+def _split_chromosome(v):
+    return v.select("variant_id", chromosome_label(F.col("chrom")).alias("part"))
+
+
+STEPS = " ".join(f"when dp <= {h} then 'coverage_{lo}_{h}'" for lo, h in zip([0, *INTERVALS], INTERVALS, strict=False))
+
+
+@query("split_coverage", ["variants"], f"select variant_id, case when dp is null then 'coverage_missing' {STEPS} else 'coverage_{INTERVALS[-1]}_N' end as part from variants")
+def _split_coverage(v):
+    return v.select("variant_id", coverage_label(F.col("dp"), INTERVALS).alias("part"))
+
+
+# ---- association ------------------------------------------------------------------------------------------------
+def _side(allele: str, cond: int) -> str:
+    a = f"{allele} 0"
+    return f"cast(sum(case when condition <> {cond} then 0 when chrom = 'X' then case when a1 = a2 and a1 {a} then 1 else 0 end else case when a1 {a} then 1 else 0 end + case when a2 {a} then 1 else 0 end end) as bigint)"
+
+
+ALLELIC = f"""with n as (select c.variant_id, {_side('=', 2)} as a1_count, {_side('>', 2)} as a2_count, {_side('=', 1)} as u1_count, {_side('>', 1)} as u2_count from calls c join ped p on p.sample_id = c.sample_id join variants v on v.variant_id = c.variant_id where a1 is not null and a2 is not null group by c.variant_id),
+q as (select v.variant_id, coalesce(a1_count, 0) as a1_count, coalesce(a2_count, 0) as a2_count, coalesce(u1_count, 0) as u1_count, coalesce(u2_count, 0) as u2_count from variants v left join n on n.variant_id = v.variant_id),
+w as (select *, round(coalesce(a1_count / nullif(a1_count + a2_count, 0), 0), 6) as f_a1, round(coalesce(u1_count / nullif(u1_count + u2_count, 0), 0), 6) as f_u1, round(coalesce(a2_count / nullif(a1_count + a2_count, 0), 0), 6) as f_a2, round(coalesce(u2_count / nullif(u1_count + u2_count, 0), 0), 6) as f_u2, round((a1_count * u2_count) / nullif(a2_count * u1_count, 0), 6) as odds_ratio from q)"""
+
+
+@query("assoc_chisq", THREE, f"{ALLELIC} select *, round((a1_count + a2_count + u1_count + u2_count) * (a1_count * u2_count - a2_count * u1_count) * (a1_count * u2_count - a2_count * u1_count) / nullif((a1_count + a2_count) * (u1_count + u2_count) * (a1_count + u1_count) * (a2_count + u2_count), 0), 6) as chisq from w")
+def _assoc(v, c, p):
+    return gwas.assoc_chisq(v, c, p)
+
+
+LF = "lgamma({0} + 1)"
+LOGP = "(" + " + ".join(LF.format(x) for x in ("a1_count + a2_count", "u1_count + u2_count", "a1_count + u1_count", "a2_count + u2_count")) + " - " + LF.format("a1_count + a2_count + u1_count + u2_count")
+LOGP += " - lgamma({0} + 1) - lgamma(a1_count + a2_count - {0} + 1) - lgamma(a1_count + u1_count - {0} + 1) - lgamma(u1_count + u2_count - a1_count - u1_count + {0} + 1))"
+
+
+@query("assoc_fisher", THREE, f"""{ALLELIC}, t as (select w.*, unnest(range(greatest(0, a1_count - u2_count), least(a1_count + a2_count, a1_count + u1_count) + 1)) as x from w),
+ s as (select variant_id, least(1.0, sum(case when {LOGP.format('x')} <= {LOGP.format('a1_count')} + 1e-7 then exp({LOGP.format('x')}) else 0 end)) as p from t group by variant_id)
+ select w.*, case when a1_count + a2_count + u1_count + u2_count > 0 then round(p, 6) end as p_value from w left join s on s.variant_id = w.variant_id""")
+def _fisher(v, c, p):
+    return gwas.assoc_fisher(v, c, p, SAMPLES)
+
+
+TRA = "case when greatest(c1, c2) = 0 then 1 when least(c1, c2) = 0 and greatest(c1, c2) > 0 then case when f1 <> f2 and m1 <> m2 then 1 when f1 <> f2 then case when greatest(m1, m2) = 0 then 2 else 1 end else case when greatest(f1, f2) = 0 then 2 else 1 end end else 2 end"
+TRB = "case when f1 <> f2 and m1 <> m2 then case when greatest(c1, c2) = 0 then 1 else 2 end end"
+
+
+@query("tdt", THREE, f"""{TRIOS}, r as (select variant_id, {TRA} as ta, {TRB} as tb from coded where condition = 2 and code = 0 and (f1 <> f2 or m1 <> m2)),
+ n as (select variant_id, cast(sum(case when ta = 1 then 1 else 0 end + case when tb = 1 then 1 else 0 end) as bigint) as t1, cast(sum(case when ta = 2 then 1 else 0 end + case when tb = 2 then 1 else 0 end) as bigint) as t2 from r group by variant_id),
+ q as (select v.variant_id, coalesce(t1, 0) as t1, coalesce(t2, 0) as t2 from variants v left join n on n.variant_id = v.variant_id)
+ select variant_id, t1, t2, round(t1 / nullif(t2, 0), 6) as odds_ratio, round(coalesce((t1 - t2) * (t1 - t2) / nullif(t1 + t2, 0), -1), 6) as chisq from q""")
+def _tdt(v, c, p):
+    return gwas.tdt(v, c, p)
+
+
+# ---- epistasis --------------------------------------------------------------------------------------------------
+BIT = "cast(power(2, sample_id) as bigint)"
+GCODE = "case when a1 is null or a2 is null then null when a1 = 0 and a2 = 0 then 0 when a1 <> a2 then 1 else 2 end"
+MAPS = f"with maps as (select variant_id, {', '.join(f'coalesce(bit_or(case when code = {k} then bit end), 0) as m{k}' for k in range(3))} from (select variant_id, {GCODE} as code, cast(power(2, c.sample_id) as bigint) as bit from calls c) x group by variant_id)"
+FOLD = f"""dealt as (select sample_id, condition, cast((row_number() over (partition by condition order by (sample_id * 2654435761) % 1000003, sample_id) - 1) % {FOLDS} as bigint) as fold from ped),
+whole as (select coalesce(bit_or(case when condition = 2 then {BIT} end), 0) as cases, coalesce(bit_or(case when condition = 1 then {BIT} end), 0) as controls from dealt),
+masks as (select fold, cases, controls, coalesce(bit_or(case when condition = 2 then {BIT} end), 0) as test_cases, coalesce(bit_or(case when condition = 1 then {BIT} end), 0) as test_controls from dealt, whole group by fold, cases, controls),
+mk as (select *, xor(cases, test_cases) as train_cases, xor(controls, test_controls) as train_controls from masks)"""
+def _cell(c: tuple[int, ...], side: str) -> str:
+    return "cast(bit_count(" + " & ".join(f"m{k}_{x}" for k, x in enumerate(c)) + f" & {side}) as bigint)"
+
+
+def _combos(order: int) -> str:
+    picks = ", ".join(f"t{k}.variant_id as v{k}, " + ", ".join(f"t{k}.m{c} as m{k}_{c}" for c in range(3)) for k in range(order))
+    joins = " ".join(f"join maps t{k} on t{k - 1}.variant_id < t{k}.variant_id" for k in range(1, order))
+    return f"co as (select {picks} from maps t0 {joins})"
+
+
+def _models(order: int) -> str:
+    n1, n0 = "bit_count(cases)", "bit_count(controls)"
+    risk = lambda c: f"({_cell(c, 'train_cases')} + {_cell(c, 'train_controls')} > 0 and {_cell(c, 'train_cases')} * {n0} >= {_cell(c, 'train_controls')} * {n1})"
+    name = lambda c: "".join(map(str, c))
+    risky = "array_to_string(list_filter([" + ", ".join(f"case when {risk(c)} then '{name(c)}' end" for c in mdr.cells(order)) + "], lambda x: x is not null), ',')"
+    total = lambda side: " + ".join(f"case when {risk(c)} then {_cell(c, side)} else 0 end" for c in mdr.cells(order))
+    ids = ", ".join(f"v{k}" for k in range(order))
+    return f"""mo as (select {ids}, fold, {risky} as risky, cast({total('train_cases')} as bigint) as tp, cast({total('train_controls')} as bigint) as fp, cast(bit_count(train_cases) as bigint) as n1, cast(bit_count(train_controls) as bigint) as n0 from co, mk),
+cm as (select {ids}, fold, risky, tp, fp, n1 - tp as fn, n0 - fp as tn from mo), ev as (select *, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 6) as accuracy from cm)"""
+
+
+def _setup(c: DataFrame, p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return mdr.bitmaps(c, p), mdr.fold_masks(mdr.folds(p, FOLDS))
+
+
+CP = ["calls", "ped"]
+
+
+@query("vcf2epi", CP, f"{MAPS} select variant_id, m0, m1, m2 from maps")
+def _vcf2epi(c, p):
+    return mdr.bitmaps(c, p)
+
+
+@query("epi_folds", ["ped"], f"with {FOLD} select sample_id, condition, fold from dealt")
+def _folds(p):
+    return mdr.folds(p, FOLDS)
+
+
+# All pairs of variants; what the queries return are counts over them, as pairs by folds are too many rows to list.
+_EPI = f"{MAPS}, {FOLD}, {_combos(2)}, {_models(2)}"
+_SUMS = ", ".join(f"cast(sum({_cell(x, side)}) as bigint) as {side[6:]}_{x[0]}{x[1]}" for x in mdr.cells(2) for side in ("train_cases", "train_controls"))
+
+
+@query("epi_counts_o2", CP, f"{MAPS}, {FOLD}, {_combos(2)} select fold, count(*) as n, {_SUMS} from co, mk group by fold")
+def _counts(c, p):
+    maps, masks = _setup(c, p)
+    rows = mdr.combinations(maps, 2).crossJoin(F.broadcast(masks))  # a row for each fold
+    sums = [F.sum(mdr.count(mdr.cell_mask(x), side)).cast("long").alias(f"{side[6:]}_{x[0]}{x[1]}") for x in mdr.cells(2) for side in ("train_cases", "train_controls")]
+    return rows.groupBy("fold").agg(F.count("*").alias("n"), *sums)
+
+
+@query("epi_high_risk", CP, f"{_EPI} select fold, risky, count(*) as n from mo group by fold, risky")
+def _risk(c, p):
+    return mdr.models(*_setup(c, p), 2).groupBy("fold", "risky").agg(F.count("*").alias("n"))
+
+
+@query("epi_confusion", CP, f"{_EPI} select fold, tp, fn, fp, tn, count(*) as n from cm group by fold, tp, fn, fp, tn")
+def _confusion(c, p):
+    return mdr.models(*_setup(c, p), 2).groupBy("fold", "tp", "fn", "fp", "tn").agg(F.count("*").alias("n"))
+
+
+@query("epi_eval", CP, f"{_EPI}, ct as (select tp, fn, fp, tn, accuracy, count(*) as n from ev group by tp, fn, fp, tn, accuracy) select tp, fn, fp, tn, n, round((tp + tn) / (tp + fn + fp + tn), 6) as ca, accuracy as ba, round((tp * tn - fp * fn) / nullif(tp * tn + fp * fn, 0), 6) as gamma, round((tp * tn - fp * fn) / nullif(sqrt((tp + fn) * (tn + fp) * (tp + fp) * (tn + fn)), 0), 6) as tau_b from ct")
+def _eval(c, p):
+    names = ["tp", "fn", "fp", "tn"]
+    m = mdr.models(*_setup(c, p), 2).groupBy(*names).agg(F.count("*").alias("n"))
+    return m.select(*names, "n", *[F.round(mdr.EVALUATIONS[k](*map(F.col, names)), 6).alias(k.lower()) for k in ("CA", "BA", "GAMMA", "TAU_B")])
+
+
+_RANK = f"{_EPI}, rk as (select *, row_number() over (partition by fold order by accuracy desc, v0, v1) as r from ev), mg as (select v0, v1, cast(sum(cast(round(accuracy * 1e6) as bigint)) as bigint) / {FOLDS * 1000000} as cv_accuracy, count(*) as cv_count from rk where r <= {TOP} group by v0, v1)"
+for _name, _by, _sql in (("epi_rank_accuracy", "accuracy", "cv_accuracy desc, v0, v1"), ("epi_rank_count", "count", "cv_count desc, cv_accuracy desc, v0, v1")):
+    query(_name, CP, f"{_RANK} select * from mg order by {_sql} limit {TOP}")(lambda c, p, b=_by: mdr.ranked(mdr.evaluated(mdr.models(*_setup(c, p), 2)), 2, FOLDS, TOP, b))
+
+_CHOSEN = [1, 2, 3, 5, 8, 13, 21, 34]
+
+
+@query("mdr_export", CP, "select p.sample_id, " + ", ".join(f"coalesce(max(case when variant_id = {v} then coalesce({GCODE}, 3) end), 3) as v{v}" for v in _CHOSEN) + ", case when max(condition) = 2 then 1 else 0 end as class from ped p left join calls c on c.sample_id = p.sample_id group by p.sample_id")
+def _export(c, p):
+    return mdr.matrix(c, p, _CHOSEN)
+
+
+# ---- effects and annotation -------------------------------------------------------------------------------------
+VA = ["variants", "annotation"]
+EFFECT = "select v.variant_id, pos, consequence, so_code, gene from variants v join annotation a on a.variant_id = v.variant_id where so_code <> 0"
+SHOW_EFFECT = ["variant_id", "pos", "consequence", "so_code", "gene"]
+
+
+@query("effect_annotate", VA, EFFECT)
+def _effects(v, a):
+    return annotate.effects(v, a).select(*SHOW_EFFECT)
+
+
+@query("effect_exclude", VA, f"{EFFECT} and consequence not in ('intron_variant')")
+def _exclude(v, a):
+    return annotate.effects(v, a, ["intron_variant"]).select(*SHOW_EFFECT)
+
+
+@query("effect_summary", VA, f"with e as ({EFFECT}) select lower(consequence) as consequence, count(*) as n from e group by 1")
+def _effect_summary(v, a):
+    return annotate.effect_summary(annotate.effects(v, a))
+
+
+@query("effect_genes", VA, f"with e as ({EFFECT}) select distinct lower(gene) as gene from e")
+def _genes(v, a):
+    return annotate.effect_genes(annotate.effects(v, a))
+
+
+@query("effect_unprocessed", VA, "select variant_id, chrom, pos from variants v where not exists (select 1 from annotation a where a.variant_id = v.variant_id and so_code <> 0)")
+def _unprocessed(v, a):
+    return annotate.unprocessed(v, a).select(*PLACE)
+
+
+@query("effect_phenotypes", VA, "select v.variant_id, snp_id, gene from variants v join annotation a on a.variant_id = v.variant_id where snp_id is not null")
+def _phenotypes(v, a):
+    return annotate.phenotypes(v, a).select("variant_id", "snp_id", "gene")
+
+
+@query("annot_effect", VA, "select v.variant_id, eff from variants v left join (select variant_id, string_agg(consequence, ',' order by consequence) as eff from (select distinct variant_id, consequence from annotation where so_code <> 0) d group by variant_id) e on e.variant_id = v.variant_id")
+def _annot_effect(v, a):
+    return annotate.effect_field(v, a).select("variant_id", "eff")
+
+
+@query("annot_dbsnp", VA, "select v.variant_id, coalesce(ids, id) as id from variants v left join (select variant_id, string_agg(snp_id, ',' order by snp_id) as ids from (select distinct variant_id, snp_id from annotation where snp_id is not null) d group by variant_id) e on e.variant_id = v.variant_id")
+def _annot_dbsnp(v, a):
+    return annotate.known_ids(v, a).select("variant_id", "id")
+
+
+@query("annot_missing", ["variants", "calls", "alignments"], """with m as (select c.variant_id, c.sample_id, chrom, pos from calls c join variants v on v.variant_id = c.variant_id where a1 is null and a2 is null),
+ d as (select m.variant_id, m.sample_id, count(*) as dp from m join alignments a on a.sample_id = m.sample_id and a.chrom = m.chrom and m.pos between a.start_pos and a.end_pos group by m.variant_id, m.sample_id)
+ select m.variant_id, m.sample_id, case when dp > 0 then '0/0' else './.' end as gt, coalesce(dp, 0) as dp from m left join d on d.variant_id = m.variant_id and d.sample_id = m.sample_id""")
+def _annot_missing(v, c, a):
+    return annotate.filled_missing(v, c, a)
+
+
+# ---- merge ------------------------------------------------------------------------------------------------------
+RS = ["file_records", "file_samples"]
+ALL_ALLELES = "flatten(list_transform(r, lambda x: list_concat([x.ref], string_split(x.alt, ','))))"
+
+
+def _merge(strict: bool = False) -> str:
+    text = "x.ref" if strict else "substr(x.ref, 1, 1)"
+    return f"""with z as (select file_idx, count(*) as n from file_samples group by file_idx),
+ g as (select chrom, pos, list(struct_pack(file_idx := f.file_idx, id := id, ref := ref, alt := alt, qual := qual, filter := filter, n := n) order by f.file_idx) as r from file_records f join z on z.file_idx = f.file_idx group by chrom, pos),
+ o as (select *, list_filter({ALL_ALLELES}, lambda a: a <> '.') as al, list_filter(flatten(list_transform(r, lambda x: string_split(x.filter, ';'))), lambda f: f not in ('PASS', '.')) as failed from g where len(list_distinct(list_transform(r, lambda x: {text}))) = 1),
+ tb as (select *, list_filter(al, lambda a, i: list_position(list_transform(al, lambda b: lower(b)), lower(a)) = i) as tab from o)"""
+
+
+MERGED = {
+    "merge_positions": "select chrom, pos, cast(len(r) as bigint) as n_files, coalesce(list_filter(list_transform(r, lambda x: x.id), lambda i: i <> '.')[1], '.') as id from tb",
+    "merge_alternates": "select chrom, pos, tab[1] as ref, case when len(tab) > 1 then array_to_string(tab[2:], ',') else '.' end as alt from tb",
+    "merge_quality": "select chrom, pos, round(list_sum(list_transform(r, lambda x: case when x.qual > 0 then x.qual * x.n else 0 end)) / list_sum(list_transform(r, lambda x: x.n)), 6) as qual from tb",
+    "merge_filter": "select chrom, pos, case when len(failed) > 0 then array_to_string(list_filter(failed, lambda a, i: list_position(failed, a) = i), ';') when len(list_filter(r, lambda x: x.filter = 'PASS')) > 0 then 'PASS' else '.' end as filter from tb",
+}
+_COLUMNS = {"merge_positions": ["n_files", "id"], "merge_alternates": ["ref", "alt"], "merge_quality": ["qual"], "merge_filter": ["filter"]}
+for _name, _sql in MERGED.items():
+    query(_name, RS, f"{_merge()} {_sql}")(lambda r, s, c=_COLUMNS[_name]: merge.positions(merge.grouped(r, s)).select("chrom", "pos", *c))
+query("merge_strict", RS, f"{_merge(True)} select chrom, pos, tab[1] as ref, cast(len(r) as bigint) as n_files from tb")(lambda r, s: merge.positions(merge.grouped(r, s, strict=True)).select("chrom", "pos", "ref", "n_files"))
+
+FORMATS = "case file_idx when 0 then 'GT:GQ:DP' when 1 then 'GT:RD' else 'RD:HQ:GT' end"
+query("merge_format", ["file_records"], f"with f as (select chrom, pos, list(string_split({FORMATS}, ':') order by file_idx) as l from file_records group by chrom, pos), u as (select chrom, pos, flatten(l) as w from f) select chrom, pos, concat(array_to_string(list_filter(w, lambda a, i: list_position(w, a) = i), ':'), ':SFT:IN') as format from u")(
+    lambda r: r.withColumn("format", F.expr(FORMATS)).groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("file_idx", "format"))).alias("l")).select("chrom", "pos", merge.merged_format(F.transform("l", lambda x: x["format"]), True, True).alias("format"))
+)
+
+
+def _samples_sql(fill: str) -> str:
+    own = "list_concat([x.ref], string_split(x.alt, ','))"
+    idx = lambda a: f"list_position(list_transform(tab, lambda b: lower(b)), lower({own}[{a} + 1])) - 1"
+    part = lambda a: f"case when {a} is null or coalesce({idx(a)}, -1) < 0 then '.' else cast({idx(a)} as varchar) end"
+    return f"""{_merge()}, e as (select tb.chrom, tb.pos, tab, s.file_idx, s.sample_id from tb cross join file_samples s),
+ j as (select e.chrom, e.pos, e.tab, e.sample_id, x.variant_id, x.ref, x.alt, a1, a2 from e left join file_records x on x.chrom = e.chrom and x.pos = e.pos and x.file_idx = e.file_idx left join calls c on c.variant_id = x.variant_id and c.sample_id = e.sample_id),
+ gts as (select chrom, pos, sample_id, case when variant_id is null then '{fill}' when a1 is null and a2 is null then './.' else concat({part('a1')}, '/', {part('a2')}) end as gt from j x)"""
+
+
+RSC = ["file_records", "file_samples", "calls"]
+for _name, _fill in (("merge_samples", "./."), ("merge_reference_fill", "0/0")):
+    query(_name, RSC, f"{_samples_sql(_fill)} select chrom, pos, sample_id, gt from gts")(lambda r, s, c, f=_fill: merge.samples(r, merge.grouped(r, s), c, s, f))
+
+
+@query("merge_info", RSC, f"""{_samples_sql('./.')}, l as (select chrom, pos, sample_id, unnest(string_split(gt, '/')) as a from gts), k as (select chrom, pos, a, sample_id from l where a <> '.'),
+ h as (select chrom, pos, count(*) as an, count(distinct sample_id) as ns, [{', '.join(f"count(*) filter (a = '{k}')" for k in range(1, 5))}] as c from k group by chrom, pos)
+ select tb.chrom, tb.pos, array_to_string(list_transform(range(1, len(tab)), lambda i: coalesce(c[i], 0)), ',') as ac, coalesce(an, 0) as an, coalesce(ns, 0) as ns from tb left join h on h.chrom = tb.chrom and h.pos = tb.pos""")
+def _merge_info(r, s, c):
+    one = merge.grouped(r, s)
+    return merge.recomputed_info(one, merge.samples(r, one, c, s))
+
+
+HEADERS = "select file_idx, k as ord, case k % 3 when 0 then 'FILTER' when 1 then 'FORMAT' else 'INFO' end as kind, concat('entry', cast((k + file_idx * 2) % 7 as string)) as text from (select distinct file_idx from file_samples) f cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4) x"
+
+
+@query("merge_headers", ["file_samples"], f"with h as ({HEADERS}), r as (select *, row_number() over (partition by kind, text order by file_idx, ord) as n from h) select kind, text, file_idx, ord from r where n = 1")
+def _headers(s):
+    files = s.select("file_idx").distinct()
+    k = F.explode(F.array(*[F.lit(i) for i in range(5)]))
+    kind = F.when(F.col("ord") % 3 == 0, "FILTER").when(F.col("ord") % 3 == 1, "FORMAT").otherwise("INFO")
+    return merge.merged_headers(files.withColumn("ord", k).withColumn("kind", kind).withColumn("text", F.concat(F.lit("entry"), ((F.col("ord") + F.col("file_idx") * 2) % 7).cast("string"))))
+
+
+@query("merge_repeated_samples", ["file_samples"], "select sample_id, count(*) as n from file_samples group by sample_id having count(*) > 1")
+def _repeated(s):
+    return merge.repeated_samples(s)
