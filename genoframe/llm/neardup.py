@@ -84,13 +84,13 @@ def signature(hashed: np.ndarray, hashes: int) -> np.ndarray:
     return low
 
 
-def tuned(percent: int, miss: float = 1e-5) -> tuple[int, int]:
-    """Bands and rows: the most selective rows for which 24 bands at most miss a pair at the threshold with less than miss."""
+def tuned(percent: int, miss: float = 1e-5, most: int = 24) -> tuple[int, int]:
+    """Bands and rows: the most selective rows for which most bands miss a pair at the threshold with less than miss."""
     for rows in range(8, 0, -1):
-        bands = next((b for b in range(1, 25) if (1 - (percent / 100) ** rows) ** b <= miss), None)
+        bands = next((b for b in range(1, most + 1) if (1 - (percent / 100) ** rows) ** b <= miss), None)
         if bands:
             return bands, rows
-    return 24, 1
+    return most, 1
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -176,6 +176,7 @@ def links(items: DataFrame, bodies: DataFrame, percent: int, bands: int, rows: i
     """(id, label) for the items that are linked with another: components of the links that were found and verified.
 
     items: id (string), sig, any number of equal rows an id. bodies: id, text, at least one row for each id. check makes the exact test of two texts."""
+    spark = items.sparkSession
     schema = pa.schema([("id", pa.string()), ("band", pa.list_(pa.int64()))])
 
     def bands_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +187,7 @@ def links(items: DataFrame, bodies: DataFrame, percent: int, bands: int, rows: i
     every = common.stored(every, "bands")
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = common.stored(every.join(shared, "bucket"), "members")
+    common.dropped(spark, every)
     wanted = members.select("id").distinct()
     one = bodies.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     texts = common.stored(one.join(items.dropDuplicates(["id"]), "id").select("id", "text", "sig"), "candidates")

@@ -58,7 +58,7 @@ def bodies(docs: DataFrame, min_words: int) -> DataFrame:
 def repeated(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, para, start_char, end_char, n_words, class_doc_id and class_para (the occurrence that stays), removed."""
     common.small_batches(docs.sparkSession)
-    bands, rows = neardup.tuned(percent)
+    bands, rows = neardup.tuned(percent, miss=2e-5, most=16)  # unlike paragraphs share no shingles, so few rows do
     hashes = -(-bands * rows // neardup.BATCH) * neardup.BATCH
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = common.stored(found_paragraphs(docs, min_words, hashes), "paragraphs")
