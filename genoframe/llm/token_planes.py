@@ -9,14 +9,18 @@ Chunks are rows of Parquet files with a binary payload: Spark's writer commits a
 leave no half files, and any store that Spark reaches will do.
 
 The tokenizer sees each distinct segment once: its pre-tokens never span a non-space followed by one space and
-a non-space, nor do they look past it, so a text's ids are its segments' ids in a row.
+a non-space, nor do they look past it, so a text's ids are its segments' ids in a row. A segment of Latin letters and then
+marks is two pre-tokens; those go to the library's model as they are, past its pattern. Tokenizers of any other kind
+(no byte-level pattern, a normalizer, a post-processor) get whole texts.
 Null and empty texts hold the end id alone; repeated rows each get a place of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +34,8 @@ from genoframe.llm import common
 
 BLOCK_IDS, CHUNK_IDS, MAX_SEGMENTS = 1 << 16, 1 << 18, 800_000
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Latin letters (U+00D7 and U+00F7 between them are signs), then ASCII marks but no apostrophe, which may start a pre-token of its own.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 #: White space of Python, which holds all that Unicode calls so.
 BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace()]
 CHUNKS = "shard int, chunk long, n_ids long, doc_ids array<long>, doc_lengths array<long>, width int, bits boolean, plane_ends array<long>, payload binary"
@@ -86,14 +92,38 @@ class SegmentIds(common.Memo):
 
         super().__init__(MAX_SEGMENTS)
         self.library = Tokenizer.from_file(path)
+        self.model, self.tails = self.library.model, common.Memo(1 << 14)
         self.specials = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else ("<u4", "I")
+        about = json.loads(self.library.to_str())
+        cuts = about["pre_tokenizer"] or {}
+        self.cuttable = cuts.get("type") == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"] and not about["normalizer"] and not about["post_processor"]
+        if self.cuttable:
+            (self.space, _), = self.library.pre_tokenizer.pre_tokenize_str(" ")
+            self.spelt = {c: self.library.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(self.space + (word if word.isascii() else word.translate(self.spelt)))]).tobytes()
+
+    def marks(self, tail: str) -> bytes:
+        found = self.tails.get(tail)
+        if found is None:
+            found = self.ids(tail)
+            if len(tail) < 64:
+                self.tails.keep(tail, found)
+        return found
 
     def __missing__(self, word: str) -> bytes:
-        found = self.ids(" " + word)
+        parts = PLAIN.fullmatch(word)
+        if not parts:
+            found = self.ids(" " + word)
+        elif parts[2]:
+            found = self[parts[1]] + self.marks(parts[2])
+        else:
+            found = self.letters(word)
         if len(word) < 64:
             self.keep(word, found)
         return found
@@ -101,7 +131,7 @@ class SegmentIds(common.Memo):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.specials):
+        if not self.cuttable or any(s in text for s in self.specials):
             return self.ids(text)
         if text[0] == " " or text[-1] == " " or any(f"{c} " in text or f" {c}" in text for c in BLANKS if c in text):
             first, *rest = CUT.split(text)

@@ -118,3 +118,22 @@ def test_nbest_against_all_paths():
         for _, ids in got:
             assert machine.decode(np.array(ids, "<u2").tobytes()) == x
     assert machine.encode("") == (b"", [0.0])
+
+
+def test_segments_of_plain_words_go_past_the_pattern():
+    """Words of letters and marks reach the model directly; everything must equal the library on the whole text."""
+    import random
+
+    import public_tokenizers
+
+    from genoframe.llm import token_planes
+
+    memo = token_planes.SegmentIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert memo.cuttable
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab z\u00c0\u00d7\u01bf\u024f.,'s'll!?-_`{}1\u00b2\u2167\n\t \u3000\u65e5\u00e9 ") for _ in range(rng.randint(0, 25)))
+        assert np.frombuffer(memo.encode(text), memo.kind).tolist() == memo.library.encode(text, add_special_tokens=False).ids
+    other = token_planes.SegmentIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.cuttable
+    assert np.frombuffer(other.encode("Ab c, d"), other.kind).tolist() == other.library.encode("Ab c, d", add_special_tokens=False).ids
