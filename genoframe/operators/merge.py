@@ -15,7 +15,8 @@ def grouped(records: DataFrame, file_samples: DataFrame, strict: bool = False) -
     strict: all REFs are equal. Tolerant: all have one first base."""
     sizes = file_samples.groupBy("file_idx").agg(F.count("*").alias("n"))
     rows = records.join(F.broadcast(sizes), "file_idx")  # a row for each file
-    one = rows.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("file_idx", "id", "ref", "alt", "qual", "filter", "n"))).alias("r"))
+    info = F.col("info") if "info" in records.columns else F.lit(None).cast("string").alias("info")
+    one = rows.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("file_idx", "id", "ref", "alt", "qual", "filter", "n", info))).alias("r"))
     text = (lambda x: x["ref"]) if strict else (lambda x: F.substring(x["ref"], 1, 1))
     return one.where(F.size(F.array_distinct(F.transform("r", text))) == 1)
 
@@ -62,8 +63,8 @@ def positions(one: DataFrame) -> DataFrame:
     )
 
 
-def samples(records: DataFrame, one: DataFrame, calls: DataFrame, file_samples: DataFrame, fill: str = "./.", strict: bool = False) -> DataFrame:
-    """(chrom, pos, sample_id, gt) for every kept position and every sample of every file, in the merged allele table.
+def samples(records: DataFrame, one: DataFrame, calls: DataFrame, file_samples: DataFrame, fill: str = "./.", strict: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(chrom, pos, sample_id, gt) for every kept position and every sample of every file, in the merged allele table, and the carried columns of calls.
 
     Files without the position give fill ('./.' missing, '0/0' reference). A tolerant 0 is the file's own REF."""
     table = F.transform(allele_table(F.col("r")), lambda a: F.lower(a))
@@ -75,17 +76,61 @@ def samples(records: DataFrame, one: DataFrame, calls: DataFrame, file_samples:
     index = lambda a: F.when((F.lit(strict)) & (F.col(a) == 0), 0).otherwise(F.array_position("table", F.lower(F.try_element_at(own, (F.col(a) + 1).cast("int")))) - 1)
     text = lambda a: F.when(F.col(a).isNull() | (index(a) < 0) | index(a).isNull(), ".").otherwise(index(a).cast("int").cast("string"))
     gt = F.when(F.col("variant_id").isNull(), fill).when(F.col("a1").isNull() & F.col("a2").isNull(), "./.").otherwise(F.concat(text("a1"), F.lit("/"), text("a2")))
-    return joined.select("chrom", "pos", "sample_id", gt.alias("gt"))
+    return joined.select("chrom", "pos", "sample_id", gt.alias("gt"), *carried)
+
+
+#: INFO fields that a merge can write anew, and those of them that are flags.
+INFO_FIELDS = ("AC", "AF", "AN", "DB", "DP", "H2", "H3", "MQ0", "MQ", "NS", "QD", "SOMATIC", "VALIDATED")
+INFO_FLAGS = ("DB", "H2", "H3", "SOMATIC", "VALIDATED")
+
+
+def has_flag(r: Column, key: str) -> Column:
+    """Whether the INFO of any record has the key, as a flag or with a value."""
+    return F.exists(r, lambda x: F.coalesce(F.array_contains(F.transform(F.split(x["info"], ";"), lambda e: F.substring_index(e, "=", 1)), key), F.lit(False)))
+
+
+def info_fields(one: DataFrame, merged: DataFrame, fill: str = "./.") -> DataFrame:
+    """A row a position with the recomputed INFO fields as columns.
+
+    ac, af: count of each alternate and its share of all called alleles (an). dp: sum of the samples' depths. mq: root mean square of
+    their qualities gq over all samples; mq0: samples without one or with zero. ns: samples that aren't empty (fill, and nothing carried).
+    qd: quality by depth, null without depth. Samples are first counted by genotype, so a position's rows meet as a few counts."""
+    extra = [c for c in ("dp", "gq") if c in merged.columns]
+    dp, gq = (F.col(c) if c in extra else F.lit(None).cast("long") for c in ("dp", "gq"))
+    empty = (F.col("gt") == fill) & dp.isNull() & gq.isNull()
+    total = lambda c: F.sum(c.cast("long"))
+    by = merged.groupBy("chrom", "pos", "gt").agg(F.count("*").alias("n"), total(dp).alias("dp"), total(gq * gq).alias("squares"), total(F.coalesce(gq == 0, F.lit(True))).alias("mq0"), total(~empty).alias("ns"))
+    per = by.groupBy("chrom", "pos").agg(
+        F.collect_list(F.struct(F.split("gt", "[/|]").alias("alleles"), "n")).alias("gts"), F.sum("n").alias("n_samples"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("dp", "squares", "mq0", "ns")],
+    )
+    counted = lambda wanted: F.aggregate("gts", F.lit(0).cast("long"), lambda s, g: s + g["n"] * F.size(F.filter(g["alleles"], wanted)))
+    flags = one.select("chrom", "pos", *[has_flag(F.col("r"), k).alias(k.lower()) for k in INFO_FLAGS])
+    out = positions(one).select("chrom", "pos", "alt", "qual").join(flags, ["chrom", "pos"]).join(per, ["chrom", "pos"], "left")
+    number = F.transform(alts(F.col("alt")), lambda a, i: (i + 1).cast("string"))
+    out = out.withColumn("ac", F.transform(number, lambda k: F.coalesce(counted(lambda a: a == k), F.lit(0)))).withColumn("an", F.coalesce(counted(lambda a: a != "."), F.lit(0)))
+    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("dp", "mq0", "ns")}
+    return out.select(
+        "chrom", "pos", "ac", F.transform("ac", lambda x: div(x.cast("double"), F.col("an"))).alias("af"), "an", zero["dp"], F.sqrt(div(F.col("squares").cast("double"), F.col("n_samples"))).alias("mq"), zero["mq0"], zero["ns"],
+        div(F.col("qual"), F.coalesce("dp", F.lit(0))).alias("qd"), *[k.lower() for k in INFO_FLAGS],
+    )
+
+
+def info_text(fields: tuple[str, ...] = INFO_FIELDS) -> Column:
+    """The INFO text of a row of info_fields(), in the order asked for; unknown fields and those without a value are left out, nothing is '.'."""
+    three = lambda c: F.format_string("%.3f", c)
+    made = {k: F.when(F.col(k.lower()), k) for k in INFO_FLAGS}
+    made |= {k: F.concat(F.lit(f"{k}="), F.col(k.lower()).cast("string")) for k in ("AN", "DP", "MQ0", "NS")}
+    made |= {k: F.when(F.col(k.lower()).isNotNull(), F.concat(F.lit(f"{k}="), three(F.col(k.lower())))) for k in ("MQ", "QD")}
+    made["AC"] = F.when(F.size("ac") > 0, F.concat(F.lit("AC="), F.array_join(F.col("ac").cast("array<string>"), ",")))
+    made["AF"] = F.when((F.size("ac") > 0) & (F.col("an") > 0), F.concat(F.lit("AF="), F.array_join(F.transform("af", three), ",")))
+    text = F.concat_ws(";", *[made[k] for k in fields if k in made])
+    return F.when(text == "", ".").otherwise(text)
 
 
 def recomputed_info(one: DataFrame, merged: DataFrame) -> DataFrame:
-    """AC, AF, AN and NS of merged genotypes as columns: counts of each alternate, their share of all called alleles, called alleles, samples with a call."""
-    long = merged.select("chrom", "pos", "sample_id", F.explode(F.split("gt", "/")).alias("a")).where("a <> '.'")
-    per = long.groupBy("chrom", "pos").agg(F.count("*").alias("an"), F.countDistinct("sample_id").alias("ns"), *[F.sum((F.col("a") == str(k)).cast("int")).cast("long").alias(f"ac{k}") for k in range(1, 5)])
-    out = positions(one).select("chrom", "pos", "alt").join(per, ["chrom", "pos"], "left")
-    n = F.size(alts(F.col("alt")))
-    counts = F.slice(F.array(*[F.coalesce(F.col(f"ac{k}"), F.lit(0)) for k in range(1, 5)]), 1, n)
-    return out.select("chrom", "pos", F.array_join(F.transform(counts, lambda x: x.cast("string")), ",").alias("ac"), F.coalesce("an", F.lit(0)).alias("an"), F.coalesce("ns", F.lit(0)).alias("ns"))
+    """AC (as text), AN and NS of merged genotypes."""
+    return info_fields(one, merged).select("chrom", "pos", F.array_join(F.col("ac").cast("array<string>"), ",").alias("ac"), "an", "ns")
 
 
 def merged_headers(headers: DataFrame) -> DataFrame:

@@ -407,6 +407,31 @@ def _merge_info(r, s, c):
     return merge.recomputed_info(one, merge.samples(r, one, c, s))
 
 
+INFOS = "case file_idx when 0 then 'NS=3;DP=14;H2' when 1 then 'DB;XH2' else case when variant_id % 3 = 0 then 'SOMATIC;H3=1' else 'VALIDATED' end end"
+DEPTH = "case when (variant_id + sample_id) % 5 = 0 then null else cast((variant_id * 7 + sample_id * 11) % 60 as bigint) end"
+QUALITY = "case when (variant_id + sample_id) % 6 = 0 then null else cast((variant_id + sample_id * 5) % 41 as bigint) end"
+
+
+@query("merge_info_fields", RSC, f"""{_samples_sql('./.')},
+ w as (select g.chrom, g.pos, g.sample_id, gt, dp, gq from gts g left join (select chrom, pos, sample_id, {DEPTH} as dp, {QUALITY} as gq from (select f.chrom, f.pos, c.sample_id, c.variant_id from file_records f join file_samples s on s.file_idx = f.file_idx join calls c on c.variant_id = f.variant_id and c.sample_id = s.sample_id) x) d
+  on d.chrom = g.chrom and d.pos = g.pos and d.sample_id = g.sample_id),
+ k as (select chrom, pos, unnest(string_split(gt, '/')) as a from w),
+ h as (select chrom, pos, count(*) filter (a <> '.') as an, list(a) as every from k group by chrom, pos),
+ q as (select chrom, pos, coalesce(sum(dp), 0) as dp, coalesce(sum(gq * gq), 0) as squares, count(*) as n, count(*) filter (coalesce(gq, 0) = 0) as mq0, count(*) filter (gt <> './.' or dp is not null or gq is not null) as ns from w group by chrom, pos),
+ fl as (select chrom, pos, list({INFOS}) as i from file_records group by chrom, pos),
+ ql as ({MERGED['merge_quality']})
+ select tb.chrom, tb.pos, array_to_string(list_transform(range(1, len(tab)), lambda i: len(list_filter(every, lambda a: a = cast(i as varchar)))), ',') as ac,
+  case when an > 0 and len(tab) > 1 then round(len(list_filter(every, lambda a: a = '1')) / an, 6) end as af_first, an, cast(q.dp as bigint) as dp, round(sqrt(squares / q.n), 6) as mq, mq0, ns, case when q.dp > 0 then round(qual / q.dp, 6) end as qd,
+  {', '.join(f"len(list_filter(i, lambda x: list_contains(list_transform(string_split(x, ';'), lambda e: split_part(e, '=', 1)), '{k}'))) > 0 as {k.lower()}" for k in merge.INFO_FLAGS)}
+ from tb join h on h.chrom = tb.chrom and h.pos = tb.pos join q on q.chrom = tb.chrom and q.pos = tb.pos join fl on fl.chrom = tb.chrom and fl.pos = tb.pos join ql on ql.chrom = tb.chrom and ql.pos = tb.pos""")
+def _merge_info_fields(r, s, c):
+    one = merge.grouped(r.withColumn("info", F.expr(INFOS)), s)
+    calls = c.withColumn("dp", F.expr(DEPTH)).withColumn("gq", F.expr(QUALITY))
+    found = merge.info_fields(one, merge.samples(r, one, calls, s, carried=("dp", "gq")))
+    flags = [k.lower() for k in merge.INFO_FLAGS]
+    return found.select("chrom", "pos", F.array_join(F.col("ac").cast("array<string>"), ",").alias("ac"), F.round(F.try_element_at("af", F.lit(1)), 6).alias("af_first"), "an", "dp", F.round("mq", 6).alias("mq"), "mq0", "ns", F.round("qd", 6).alias("qd"), *flags)
+
+
 HEADERS = "select file_idx, k as ord, case k % 3 when 0 then 'FILTER' when 1 then 'FORMAT' else 'INFO' end as kind, concat('entry', cast((k + file_idx * 2) % 7 as string)) as text from (select distinct file_idx from file_samples) f cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4) x"
 
 

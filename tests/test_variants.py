@@ -121,6 +121,35 @@ def test_merge_example(spark):
     assert fields.select(merge.merged_format(F.col("f"))).first()[0] == "GT:GQ:DP:HQ:RD"
 
 
+def test_merged_info_example(spark):
+    """Four files, nine samples: depth, mapping quality and flags of the merged record; counts follow the genotypes."""
+    records = spark.createDataFrame(
+        [(0, 1, "1", 5, ".", "A", "T", 20.0, "PASS", "NS=3;DP=14;H2"), (1, 2, "1", 5, ".", "A", "G", 30.0, "q", "DP=10;XH3"), (2, 3, "1", 5, ".", "A", "CT", 10.0, "q10", "AF=0.5;DB"), (3, 4, "1", 5, ".", "A", "T", None, ".", None)],
+        "file_idx int, variant_id long, chrom string, pos long, id string, ref string, alt string, qual double, filter string, info string",
+    )
+    files = spark.createDataFrame([(0, "a"), (0, "b"), (0, "c"), (1, "d"), (1, "e"), (1, "f"), (2, "g"), (3, "h"), (3, "i")], "file_idx int, sample_id string")
+    calls = spark.createDataFrame(
+        [(1, "a", 1, 1, 40, 20), (1, "b", 0, 1, 60, 10), (1, "c", 0, 0, 50, 30), (2, "d", 1, 1, None, None), (2, "e", 0, 1, None, None), (2, "f", 0, 0, None, None), (3, "g", 1, 1, None, 30), (4, "h", 1, 1, None, None), (4, "i", 0, 1, None, None)],
+        "variant_id long, sample_id string, a1 int, a2 int, dp int, gq int",
+    )
+    one = merge.grouped(records, files)
+    found = merge.info_fields(one, merge.samples(records, one, calls, files, carried=("dp", "gq")))
+    row = found.first()
+    assert (row["ac"], row["an"], row["dp"], row["mq0"], row["ns"]) == ([6, 3, 2], 18, 150, 5, 9)
+    assert (round(row["mq"], 3), round(row["qd"], 3)) == (15.986, 0.119) and [row[k] for k in ("db", "h2", "h3", "somatic")] == [True, True, False, False]
+    assert found.select(merge.info_text(("DP", "H2", "H3", "MQ", "QD", "AC", "none"))).first()[0] == "DP=150;H2;MQ=15.986;QD=0.119;AC=6,3,2"
+    assert found.select(merge.info_text(())).first()[0] == "."
+
+
+def test_merged_counts_have_no_bound_on_alternates(spark):
+    alternates = ["C", "G", "T", "AC", "AG", "AT"]
+    records = spark.createDataFrame([(0, 1, "1", 5, ".", "A", ",".join(alternates), 1.0, ".")], "file_idx int, variant_id long, chrom string, pos long, id string, ref string, alt string, qual double, filter string")
+    files = spark.createDataFrame([(0, "a"), (0, "b")], "file_idx int, sample_id string")
+    calls = spark.createDataFrame([(1, "a", 6, 6), (1, "b", 5, None)], "variant_id long, sample_id string, a1 int, a2 int")
+    one = merge.grouped(records, files)
+    assert tuple(merge.recomputed_info(one, merge.samples(records, one, calls, files)).first()) == ("1", 5, "0,0,0,0,1,2", 3, 2)
+
+
 VCF = "##fileformat=VCFv4.1\n##FILTER=<ID=q10>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n2\t5\trs1\tA\tT\t40\tPASS\tDP=50\tGT:DP\t0/1:3\t1|1:4\n1\t21111111111\t.\tAC\tA\t.\tq10\tDP=5;H2\tDP:GT\t3:./.\t4:0/0\n"
 
 
