@@ -17,7 +17,8 @@ def field_index(fields: Column, name: str) -> Column:
 
 
 def sample_field(sample: Column, fields: Column, name: str) -> Column:
-    return F.try_element_at(F.split(sample, ":"), F.array_position(fields, name).cast("int"))
+    """A field of a sample's text; null where FORMAT or the sample lacks it."""
+    return F.try_element_at(F.split(sample, ":"), F.nullif(F.array_position(fields, name), F.lit(0)).cast("int"))
 
 
 def allele(gt: Column, k: int) -> Column:

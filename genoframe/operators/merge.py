@@ -79,6 +79,13 @@ def samples(records: DataFrame, one: DataFrame, calls: DataFrame, file_samples:
     return joined.select("chrom", "pos", "sample_id", gt.alias("gt"), *carried)
 
 
+def sample_texts(merged: DataFrame, order: DataFrame) -> DataFrame:
+    """(chrom, pos, samples): the genotypes of a position as an array in the order of files and of their columns, as a record holds them."""
+    placed = merged.join(F.broadcast(order.select("sample_id", "file_idx", "sample_idx")), "sample_id")  # a row a sample
+    every = F.array_sort(F.collect_list(F.struct("file_idx", "sample_idx", "gt")))
+    return placed.groupBy("chrom", "pos").agg(F.transform(every, lambda x: x["gt"]).alias("samples"))
+
+
 #: INFO fields that a merge can write anew, and those of them that are flags.
 INFO_FIELDS = ("AC", "AF", "AN", "DB", "DP", "H2", "H3", "MQ0", "MQ", "NS", "QD", "SOMATIC", "VALIDATED")
 INFO_FLAGS = ("DB", "H2", "H3", "SOMATIC", "VALIDATED")

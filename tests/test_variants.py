@@ -9,7 +9,8 @@ from genoframe.functions.genotype import code, coverage_label, info_map, info_te
 from genoframe.functions.mathx import chi_square_p, fisher_two_sided
 from genoframe.operators import filters, gwas, mdr, merge
 from genoframe.operators.registry import ORACLES, QUERIES
-from genoframe.sources import tables, vcf
+from genoframe.__main__ import options, run
+from genoframe.sources import cohort, tables, vcf
 from genoframe.streaming import filters as stream_filters
 from pyspark.sql import functions as F
 
@@ -177,3 +178,39 @@ def test_tables_round_trip(spark, tmp_path):
     got = {(r["variant_idx"], r["sample_idx"]): (r["code"], r["affected"]) for r in tables.read_epi(spark, f"{tmp_path}/d.bin").collect()}
     assert got == {(v, s): (x, s < 1) for v, row in enumerate(codes) for s, x in enumerate(row)}
     assert filters.parse_regions("1:5-9,X:3,2") == [("1", 5, 9), ("X", 3, 3), ("2", 0, 1 << 62)]
+
+
+ONE = "##fileformat=VCFv4.1\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tdad\tmum\n1\t5\trs1\tA\tT\t40\tPASS\tDP=50;H2\tGT:DP:GQ\t0/1:3:10\t1|1:4:0\n2\t9\t.\tAC\tA\t.\tq10\tDP=5\tDP:GT\t3:0/0\t4:0/1\n"
+TWO = "##fileformat=VCFv4.1\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tkid\n1\t5\t.\tA\tG\t10\tPASS\tDP=7\tGT:DP\t0/1:5\n"
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text(ONE)
+    (tmp_path / "b.vcf").write_text(TWO)
+    (tmp_path / "f.ped").write_text("F dad 0 0 1 2\nF mum 0 0 2 1\n")
+    a, b, out = (f"{tmp_path}/{x}" for x in ("a.vcf", "b.vcf", "out"))
+    lines = lambda path: sorted(r["value"] for r in spark.read.text(path).collect())
+    run(spark, options(["filter", "--vcf", a, "--out", f"{out}/f", "--quality", "30", "--region", "1:1-10"]))
+    assert lines(f"{out}/f/filtered") == ONE.splitlines()[2:3] and lines(f"{out}/f/rejected") == ONE.splitlines()[3:]
+    run(spark, options(["split", "--vcf", a, "--out", f"{out}/s"]))
+    assert lines(f"{out}/s/part=chromosome_2") == ONE.splitlines()[3:]
+    run(spark, options(["merge", "--vcf", a, b, "--out", f"{out}/m", "--info-fields", "DP,H2,NS,AC"]))
+    assert lines(f"{out}/m/records") == ["1\t5\trs1\tA\tT,G\t30\tPASS\tDP=12;H2;NS=3;AC=3,1\tGT\t0/1\t1/1\t0/2", "2\t9\t.\tAC\tA\t0\tq10\tDP=7;NS=2;AC=1\tGT\t0/0\t0/1\t./."]
+    with pytest.raises(ValueError, match="more than one file"):
+        run(spark, options(["merge", "--vcf", a, a.replace("a.vcf", "c.vcf"), "--out", f"{out}/x"])) if (tmp_path / "c.vcf").write_text(ONE) else None
+    run(spark, options(["stats", "--vcf", a, "--out", f"{out}/t"]))
+    assert {(r["pos"], r["c0"], r["c1"]) for r in spark.read.parquet(f"{out}/t").collect()} == {(5, 1, 3), (9, 3, 1)}
+    run(spark, options(["assoc", "--vcf", a, "--ped", f"{tmp_path}/f.ped", "--out", f"{out}/g"]))
+    assert {(r["pos"], r["a1_count"], r["u2_count"]) for r in spark.read.csv(f"{out}/g", sep="\t", header=True).collect()} == {("5", "1", "2"), ("9", "2", "1")}
+
+
+def test_generations_become_nuclear_families(spark):
+    rows = [("F", "gd", "0", "0", "1", 1), ("F", "gm", "0", "0", "2", 1), ("F", "dad", "gd", "gm", "1", 2), ("F", "mum", "0", "0", "2", 1), ("F", "k1", "dad", "mum", "1", 2), ("F", "k2", "dad", "mum", "2", 1), ("F", "lost", "dad", "gone", "1", 2), ("G", "k1", "dad", "mum", "1", 2)]
+    ped = spark.createDataFrame(rows, "family_id string, sample_id string, father_id string, mother_id string, sex string, condition int")
+    got = sorted((r["family_id"], r["role"], r["sample_id"], r["sex"], r["condition"]) for r in cohort.nuclear_families(ped).collect())
+    assert got == [("F:dad:mum", 0, "dad", 1, 2), ("F:dad:mum", 1, "mum", 2, 1), ("F:dad:mum", 2, "k1", 1, 2), ("F:dad:mum", 2, "k2", 2, 1), ("F:gd:gm", 0, "gd", 1, 1), ("F:gd:gm", 1, "gm", 2, 1), ("F:gd:gm", 2, "dad", 1, 2)]
+
+
+def test_sam_text(spark, tmp_path):
+    (tmp_path / "s1.sam").write_text("@HD\tVN:1\nr1\t0\t1\t100\t60\t5S10M2I3D5M\t*\t0\t0\tA\tB\nr2\t4\t1\t100\t0\t10M\t*\t0\t0\tA\tB\nr3\t0\t*\t0\t0\t*\t*\t0\t0\tA\tB\n")
+    assert [tuple(r) for r in cohort.read_sam(spark, f"{tmp_path}/s1.sam").collect()] == [("s1", "1", 100, 117)]
