@@ -30,7 +30,7 @@ from genoframe.llm.token_counts import SEGMENT, SPACE, PieceVocabulary
 
 N_BEST, MAX_WORDS, MAX_UNITS = 3, 300_000, 300_000
 NEVER = -1e9
-NOTHING = (None, False)
+NOTHING, NONE = (None, False), float("-inf")
 
 
 class Segmenter(common.Memo):
@@ -46,6 +46,13 @@ class Segmenter(common.Memo):
         self.edges = {p: (s, np.array([vocabulary.ids[p]], "<u2").tobytes()) for p, s in vocabulary.scores.items()}
         #: Of pieces and their beginnings: the edge, and whether a longer piece begins so.
         self.known = {p: (self.edges.get(p), p in vocabulary.prefixes) for p in (*vocabulary.prefixes, *self.edges)}
+        #: The same by characters: each node's edge and the nodes that follow it.
+        self.trie: dict = {}
+        for piece, e in self.edges.items():
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, [None, {}])[1]
+            node.setdefault(piece[-1], [None, {}])[0] = e
         self.units = common.Memo(MAX_UNITS)
         self.spelled = {i: p.replace(SPACE, " ").encode() for p, i in vocabulary.ids.items()} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
 
@@ -71,22 +78,36 @@ class Segmenter(common.Memo):
         return best, into
 
     def first(self, unit: str) -> tuple[bytes, float, float]:
-        """Ids and score of the best path, and the loss of the second: it leaves the best path by one edge at one place."""
+        """Ids and score of the best path, and the loss of the second: it leaves the best path by one edge at one place.
+
+        The forward pass keeps the best and the second score of the edges into each place."""
         if len(unit) == 1:
             score, ids = self.edges.get(unit) or self.edge(unit)
             return ids, score, np.inf
-        best, into = self.forward(unit)
-        at, ids, loss = len(unit), b"", np.inf
+        size = len(unit)
+        best, second, taken, came = [0.0] + [NONE] * size, [NONE] * (size + 1), [b""] * (size + 1), [0] * (size + 1)
+        for start in range(size):
+            so_far, node, end = best[start], self.trie, start
+            for c in unit[start:]:
+                end += 1
+                e, node = node.get(c, NOTHING)
+                if e is None and end == start + 1:
+                    e = self.edge(c)
+                if e is not None:
+                    score, ids = e
+                    score += so_far
+                    if score > best[end]:
+                        second[end], best[end], taken[end], came[end] = best[end], score, ids, start
+                    elif score > second[end]:
+                        second[end] = score
+                if not node:
+                    break
+        at, parts, loss = size, [], np.inf
         while at:
-            here, taken = best[at], None
-            for start, e in into[at]:
-                d = here - best[start] - e[0]
-                if taken is None and d <= 0:
-                    taken = start, e[1]
-                elif d < loss:
-                    loss = d
-            at, ids = taken[0], taken[1] + ids
-        return ids, best[-1], max(loss, 0.0)
+            loss = min(loss, best[at] - second[at])
+            parts.append(taken[at])
+            at = came[at]
+        return b"".join(parts[::-1]), best[-1], loss
 
     def search(self, unit: str) -> list[tuple[float, bytes]]:
         """The N best (score, ids) of a unit, by backward A-star over exact forward scores."""

@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -76,7 +77,8 @@ class PieceVocabulary:
 
     def units(self, segment: str) -> list[str]:
         """Parts between which no piece can span."""
-        cuts = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in self.inside]
+        inside = self.inside
+        cuts = [k for k, pair in enumerate(map(add, segment, segment[1:]), 1) if pair not in inside]
         return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)]
 
 
