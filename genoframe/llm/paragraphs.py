@@ -1,20 +1,27 @@
-"""Operator 6, substring dedup: MinHash banding of paragraphs, exact Jaccard checks, removals by component.
+"""Operator 6, substring dedup: MinHash banding of paragraphs, exact checks, removals by component.
 
-A paragraph is a line of at least min_words words (long enough to be no common phrase). Paragraphs of one word sequence are
-one item; items that agree in a band are compared on their full sets of five-word shingles (neardup.links, bands
-tuned for high recall); components of links that occur in two documents or more are repeated passages. Of each
-class the occurrence with the least (doc_id, paragraph) stays, the others are removed.
+Two kinds of paragraphs cover all text:
 
-Null and empty texts have no paragraphs; a passage repeated within one document alone is no class; repeated rows count as
-one document; rows with a null doc_id never are the second document of a class; an empty table gives no rows.
+* Lines of at least min_words words. Lines of one word sequence are one item; items that agree in a band are compared on
+  their full sets of five-word shingles (neardup.links, bands tuned for high recall); components of links that occur in
+  two documents or more are repeated. Of each class the occurrence with the least (document, paragraph) stays.
+* All runs of min_words words, over line ends and within longer lines (passages). A run's band key is the minimum
+  of the hashes of its shingles of half its words: equal runs have equal minima, so none is missed. Runs whose minimum
+  occurs in two documents are compared whole, by a 64-bit hash; those also in an earlier document are removed, and the
+  runs of a document that overlap are given as one span. Spans within a line that is given already aren't given again.
+
+A document is a doc_id and text; they go by (doc_id, nulls last; hash of the text). Null and empty texts have no
+paragraphs; what repeats within one document alone is no class; repeated rows count as one document; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoframe.llm import common, neardup
@@ -33,15 +40,16 @@ def paragraphs(text: str, min_words: int) -> Iterator[tuple[int, int, int, list[
 
 
 def found_paragraphs(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
-    """doc_id, para, start_char, end_char, n_words, id (hash of the words), sig."""
-    schema = pa.schema([("doc_id", pa.int64()), ("para", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("n_words", pa.int64()), ("id", pa.string()), ("sig", pa.binary())])
+    """row_key, doc_id, text_hash, para, start_char, end_char, n_words, id (hash of the words), sig."""
+    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("para", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("n_words", pa.int64()), ("id", pa.string()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, k, s, e, len(w), sequence_hash(w), neardup.signature(neardup.shingles(w), hashes).tobytes()) for d, t in zip(b.column("doc_id").to_pylist(), common.texts(b.column("text")), strict=True) for k, s, e, w in paragraphs(t, min_words)]
-            yield common.batch(schema, **dict(zip(schema.names, zip(*rows, strict=True) if rows else [[]] * 7, strict=True)))
+            keys = zip(*(b.column(c).to_pylist() for c in ("row_key", "doc_id", "text_hash")), strict=True)
+            rows = [(*key, k, s, e, len(w), sequence_hash(w), neardup.signature(neardup.shingles(w), hashes).tobytes()) for key, t in zip(keys, common.texts(b.column("text")), strict=True) for k, s, e, w in paragraphs(t, min_words)]
+            yield common.batch(schema, **dict(zip(schema.names, zip(*rows, strict=True) if rows else [[]] * 9, strict=True)))
 
-    return docs.mapInArrow(run, "doc_id long, para long, start_char long, end_char long, n_words long, id string, sig binary")
+    return docs.mapInArrow(run, "row_key long, doc_id long, text_hash long, para long, start_char long, end_char long, n_words long, id string, sig binary")
 
 
 def bodies(docs: DataFrame, min_words: int) -> DataFrame:
@@ -55,30 +63,156 @@ def bodies(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "id string, text string")
 
 
+def grams(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of width words, from those of runs of powers of two."""
+    if len(h) < width:
+        return np.zeros(0, np.uint64)
+    power, size, out, done = h, 1, None, 0
+    while True:
+        if width & size:
+            part = power[done:]
+            out = part if out is None else neardup.mixed(out[: len(part)] * neardup.PRIME + part)
+            done += size
+        if 2 * size > width:
+            return out
+        power = neardup.mixed(power[:-size] * neardup.PRIME + power[size:])
+        size *= 2
+
+
+def minima(raw: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and for each run of min_words words the least hash of its shingles of half its words."""
+    words = neardup.words_of(raw)
+    if len(words) < min_words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h = np.fromiter(map(neardup.word_hashes().__getitem__, words), np.uint64, len(words))
+    half = (min_words + 1) // 2
+    low, wide, size = neardup.mixed(grams(h, half)), min_words - half + 1, 1
+    while 2 * size <= wide:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    return h, low if size == wide else np.minimum(low[: size - wide], low[wide - size :])
+
+
+def prints(docs: DataFrame, min_words: int) -> DataFrame:
+    """row_key and low, the distinct minima of the document's runs."""
+    schema = pa.schema([("row_key", pa.int64()), ("low", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(minima(x, min_words)[1]) for x in common.raw_texts(b.column("text"))]
+            keys = np.repeat(b.column("row_key").to_numpy(), [len(x) for x in own])
+            yield common.batch(schema, row_key=keys, low=np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))
+
+    return docs.mapInArrow(run, "row_key long, low long")
+
+
+RUNS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "low": pa.int64(), "at": pa.int32(), "run": pa.list_(pa.int64()), "para": pa.list_(pa.int32()), "start_char": pa.list_(pa.int32()), "end_char": pa.list_(pa.int32())}
+RUNS_DDL = "doc_id long, text_hash long, low long, at int, run array<long>, para array<int>, start_char array<int>, end_char array<int>"
+
+
+def runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """The runs of min_words words whose minimum is among lows: hash, line of the first word, characters from and to.
+
+    A row has consecutive runs of one minimum, half of min_words at most, so that they all overlap; at: first word of the first."""
+    schema = pa.schema(list(RUNS.items()))
+
+    def some(raw: bytes, lows: list[int]) -> tuple[np.ndarray, ...]:
+        h, low = minima(raw, min_words)
+        at = np.flatnonzero(np.isin(low, np.array(lows, np.int64).view(np.uint64)))
+        signs = np.frombuffer(raw, np.uint8)
+        blank = (signs == 32) | (signs >= 9) & (signs <= 13)
+        edge = np.diff(np.r_[True, blank, True].astype(np.int8))
+        starts, ends = np.flatnonzero(edge < 0)[at], np.flatnonzero(edge > 0)[at + min_words - 1]
+        chars, lines = np.r_[0, np.cumsum(signs & 0xC0 != 0x80)], np.r_[0, np.cumsum(signs == 10)]
+        low, place = low[at].view(np.int64), np.arange(len(at))
+        new = np.r_[True, (np.diff(at) != 1) | (np.diff(low) != 0)][: len(at)]
+        first = np.flatnonzero(new | ((place - np.maximum.accumulate(np.where(new, place, 0))) % max(1, min_words // 2) == 0))
+        return first, low[first], at[first], grams(h, min_words)[at].view(np.int64), lines[starts], chars[starts], chars[ends]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text_hash, raw, lows in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), common.raw_texts(b.column("text")), b.column("lows").to_pylist(), strict=True):
+                first, low, at, *own = some(raw, lows)
+                ends = pa.array(np.r_[first, len(own[0])], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, RUNS[c].value_type)) for c, x in zip(list(RUNS)[4:], own, strict=True)]
+                yield common.batch(schema, doc_id=[doc] * len(low), text_hash=[text_hash] * len(low), low=low, at=at, **dict(zip(list(RUNS)[4:], lists, strict=True)))
+
+    return docs.mapInArrow(run, RUNS_DDL)
+
+
+SPAN = {"row_key": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "para": pa.int64(), "start_char": pa.int64(), "end_char": pa.int64(), "n_words": pa.int64(), "class_doc_id": pa.int64(), "class_para": pa.int64(), "removed": pa.bool_()}
+SPAN_DDL = "row_key long, doc_id long, text_hash long, para long, start_char long, end_char long, n_words long, class_doc_id long, class_para long, removed boolean"
+
+
+def passages(docs: DataFrame, min_words: int) -> DataFrame:
+    """Spans of a document's overlapping runs that stay, and of those that are removed; the class is that of a span's first run."""
+    schema = pa.schema(list(SPAN.items()))
+    near = Window.partitionBy("low")
+    common_ = prints(docs, min_words).select("row_key", "low", F.min("row_key").over(near).alias("a"), F.max("row_key").over(near).alias("z")).where("a <> z")
+    lows = common_.groupBy("row_key").agg(F.collect_set("low").alias("lows"))
+    found = runs(docs.join(lows, "row_key").select("doc_id", "text_hash", "text", "lows"), min_words).repartition("low")
+    found = found.select("low", "doc_id", "text_hash", F.col("at").alias("place"), F.posexplode(F.arrays_zip("run", "para", "start_char", "end_char")).alias("k", "x"))
+    found = found.select("low", "doc_id", "text_hash", "place", (F.col("place") + F.col("k")).alias("at"), "x.*", F.xxhash64("doc_id", "text_hash").alias("row_key"))
+    same = Window.partitionBy("low", "run")  # equal runs have equal minima: no shuffle beyond that by minimum
+    order = same.orderBy(F.col("doc_id").asc_nulls_last(), "text_hash", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.select("*", F.first(F.struct("row_key", "doc_id", "para")).over(order).alias("stays"), F.min("row_key").over(same).alias("a"), F.max("row_key").over(same).alias("z")).where("a <> z")
+    start = F.min(F.struct("at", "para", "start_char", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"))).alias("start")
+    found = found.groupBy("low", "row_key", "doc_id", "text_hash", "place", (F.col("row_key") != F.col("stays.row_key")).alias("removed")).agg(start, F.max(F.struct("at", "end_char")).alias("end"))
+    own = F.struct("start.*", F.col("end.at").alias("last"), F.col("end.end_char").alias("end_char"))
+    rows = found.groupBy("row_key", "doc_id", "text_hash", "removed").agg(F.collect_list(own).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, out = b.column("runs"), []
+            for k, (key, doc, text_hash, removed) in enumerate(zip(*(b.column(c).to_pylist() for c in ("row_key", "doc_id", "text_hash", "removed")), strict=True)):
+                x = lists[k].values
+                at = x.field("at").to_numpy()
+                sort = np.argsort(at, kind="stable")
+                para, start, end, stays, final = (x.field(c).to_numpy(zero_copy_only=False)[sort] for c in ("para", "start_char", "end_char", "class_para", "last"))
+                at = at[sort]
+                first = np.flatnonzero(np.r_[True, at[1:] - final[:-1] > min_words])
+                last = np.r_[first[1:], len(at)] - 1
+                stays_id = x.field("class_doc_id").take(pa.array(sort[first])).to_pylist()
+                for i, j, d in zip(first.tolist(), last.tolist(), stays_id, strict=True):
+                    out.append((key, doc, text_hash, int(para[i]), int(start[i]), int(end[j]), int(final[j] - at[i]) + min_words, d, int(stays[i]), removed))
+            yield common.batch(schema, **dict(zip(schema.names, zip(*out, strict=True) if out else [[]] * 10, strict=True)))
+
+    return rows.mapInArrow(run, SPAN_DDL)
+
+
 def repeated(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, para, start_char, end_char, n_words, class_doc_id and class_para (the occurrence that stays), removed."""
+    """doc_id, text_hash, para (line), start_char, end_char, n_words, class_doc_id and class_para (the occurrence that stays), removed."""
     common.small_batches(docs.sparkSession)
     bands, rows = neardup.tuned(percent, miss=2e-5, most=16)  # unlike paragraphs share no shingles, so few rows do
     hashes = -(-bands * rows // neardup.BATCH) * neardup.BATCH
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).withColumn("row_key", F.xxhash64("doc_id", "text_hash"))
     found = common.stored(found_paragraphs(docs, min_words, hashes), "paragraphs")
     label = neardup.links(found.select("id", "sig"), bodies(docs, min_words), percent, bands, rows, lambda: neardup.jaccard_at_least(percent))
     places = found.drop("sig").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     places = common.stored(places, "places")
-    classes = places.groupBy("label").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "para")).alias("stays")).where("low <> high")
+    common.dropped(docs.sparkSession, found)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "para", "row_key")
+    classes = places.groupBy("label").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high"), F.min(order).alias("stays")).where("low <> high")
     out = places.join(classes.select("label", "stays"), "label")
-    return out.select("doc_id", "para", "start_char", "end_char", "n_words", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"), (~F.expr("doc_id <=> stays.doc_id and para = stays.para")).alias("removed"))
+    lines = out.select("row_key", "doc_id", "text_hash", "para", "start_char", "end_char", "n_words", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"), (~F.expr("row_key = stays.row_key and para = stays.para")).alias("removed"))
+    lines = common.stored(lines, "lines")
+    given = lines.select("row_key", "removed", F.col("start_char").alias("line_start"), F.col("end_char").alias("line_end")).distinct()
+    spans = passages(docs, min_words)
+    spans = spans.join(given, (spans["row_key"] == given["row_key"]) & (spans["start_char"] >= F.col("line_start")) & (spans["end_char"] <= F.col("line_end")) & (given["removed"] | ~spans["removed"]), "left_anti")
+    return lines.unionByName(spans).drop("row_key")
 
 
 def without_repeats(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with removed paragraphs cut from text and n_chars counted anew; rows that had words and have none left go."""
-    gone = repeated(docs, percent, min_words).where("removed and doc_id is not null").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("para").alias("gone"))
-    lines = F.transform(F.split("text", "\n"), lambda x, k: F.when(~F.array_contains("gone", k.cast("long")), x))
-    rest = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"))
-    joined = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left").withColumn("text", rest)
-    joined = joined.where("gone is null or length(trim(text)) > 0").withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    """docs with removed lines and passages cut from text and n_chars counted anew; rows that had words and have none left go."""
+    cuts = F.array_sort(F.collect_set(F.struct(F.col("start_char").cast("int").alias("s"), F.col("end_char").cast("int").alias("e"))))
+    gone = repeated(docs, percent, min_words).where("removed").groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(cuts.alias("gone"))
+    # A cut of whole lines takes their line end along.
+    ends = "x.e + if((x.s = 0 or substring(text, x.s, 1) = '\\n') and substring(text, x.e + 1, 1) = '\\n', 1, 0)"
+    left = f"aggregate(gone, struct('' as kept, 0 as at), (a, x) -> struct(concat(a.kept, substring(text, a.at + 1, greatest(x.s - a.at, 0))) as kept, greatest(a.at, {ends}) as at), a -> if(a.at >= length(text), regexp_replace(a.kept, '\\n$', ''), concat(a.kept, substring(text, a.at + 1))))"
+    joined = docs.join(gone, F.expr("doc_id <=> gone_id") & (F.xxhash64(docs["text"]) == F.col("gone_hash")), "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(left)))
+    joined = joined.where("gone is null or text rlike '[^ \\t\\n\\r\\f\\x0B]'").withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return joined.select(*docs.columns)
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(common.read(spark, sf_dir, "documents"))
+    return repeated(common.read(spark, sf_dir, "documents")).drop("text_hash")

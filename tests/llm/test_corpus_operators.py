@@ -159,3 +159,32 @@ def test_stages_return_documents(spark):
         assert kept.columns == docs.columns, name
         kept = spark.createDataFrame(kept.toPandas(), docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, kept, "/root/testdata/sf0.001").where("not decoded_same").count() == 0
+
+
+def test_repeated_passages_against_all_runs(spark):
+    """Passages over several short lines and within longer ones, against every run of 50 words."""
+    r = random.Random(12)
+    shared = [words(r, 70), words(r, 51), words(r, 200)]
+    over_lines = "\n".join(" ".join(shared[0][k : k + 9]) for k in range(0, 70, 9))
+    texts = [
+        "é intro\n" + over_lines + "\nend of it", " ".join([*words(r, 40), *shared[0], *words(r, 70)]), " ".join([*words(r, 30), *shared[1], *words(r, 90)]),
+        " ".join(words(r, 80)) + "\n" + "\n".join(["ünd", *(w.upper() for w in shared[1]), "x y"]), " ".join(shared[2]), "\n".join([*words(r, 8), *shared[2][20:140]]), " ".join(words(r, 49)), " ".join(words(r, 49)), None, "",
+    ]
+    rows = [(3 * i if i else None, t, "en", "s", None, "x") for i, t in enumerate(texts)]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    tokens = [(t or "").encode().lower().split() for t in texts]
+    seen, want = set(), {}
+    for i in order:
+        mine = [tuple(tokens[i][k : k + 50]) for k in range(len(tokens[i]) - 49)]
+        want[rows[i][0], texts[i]] = {j for k, x in enumerate(mine) if x in seen for j in range(k, k + 50)}
+        seen.update(mine)
+    docs = spark.createDataFrame(rows, DDL)
+    got = {(d, t): set() for d, t, *_ in rows}
+    text_of = {d: t for d, t, *_ in rows}
+    for x in paragraphs.repeated(docs).where("removed").collect():
+        t = text_of[x["doc_id"]]
+        before = len(t[: x["start_char"]].encode().split())
+        got[x["doc_id"], t] |= set(range(before, before + len(t[x["start_char"] : x["end_char"]].encode().split())))
+    assert got == want and sum(map(bool, want.values())) == 3
+    left = {x["doc_id"]: x["text"] for x in paragraphs.without_repeats(docs).collect()}
+    assert left[None] == "é intro\nend of it" and left[3] == texts[1] and left[9].endswith("\nünd\nx y") and len(left) == len(rows)
