@@ -18,9 +18,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9 at a similarity of 0.8: of each group the document with the least doc_id stays; rows without words stay."""
-    gone = minhash.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    rest = docs.join(gone, F.expr("doc_id <=> gone_id"), "left_anti")
+    """Operator 9 at a similarity of 0.8: of each group the row with the least doc_id (nulls last) and text hash stays; rows without words stay."""
+    gone = minhash.copies(docs, percent=80).select(F.col("doc_id").alias("gone_id"), "text_hash")
+    rest = docs.join(gone, F.expr("doc_id <=> gone_id") & (F.xxhash64(docs["text"]) == F.col("text_hash")), "left_anti")
     return rest.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 

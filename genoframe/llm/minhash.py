@@ -45,6 +45,25 @@ def classes(docs: DataFrame, hashes: int, key: str = "doc_id", text: str = "text
     return rows.mapInArrow(run, "doc_id long, same string, n_shingles long, sig binary")
 
 
+def _labelled(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+    """doc_id, same, label (null without words) of every row: the component of its word sequence."""
+    bands, rows = neardup.tuned(percent)
+    hashes = -(-bands * rows // neardup.BATCH) * neardup.BATCH
+    all_ = common.stored(classes(docs, hashes, key, text), "classes")
+    body = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_named, "id string, text string")
+    label = neardup.links(all_.where("same is not null").select(F.col("same").alias("id"), "sig"), body, percent, bands, rows, lambda: neardup.jaccard_at_least(percent))
+    return all_.select("doc_id", "same").join(label, F.col("same") == F.col("id"), "left").select("doc_id", "same", F.coalesce("label", "same").alias("label"))
+
+
+def copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id and text_hash of the rows to remove: of each component the row with the least (doc_id, nulls last; text_hash) stays."""
+    own = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = common.stored(_labelled(own, percent, "row_key", "text").where("same is not null").select(F.col("doc_id").alias("row_key"), "label").distinct(), "copies")
+    named = rows.join(own.select("row_key", "doc_id", "text_hash").distinct(), "row_key")
+    stays = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_key")).alias("stays"))
+    return named.join(stays, "label").where("row_key <> stays.row_key").select("doc_id", "text_hash")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, for links at a Jaccard similarity of percent / 100 or more."""
     bands, rows = neardup.tuned(percent)

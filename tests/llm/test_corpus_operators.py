@@ -188,3 +188,20 @@ def test_repeated_passages_against_all_runs(spark):
     assert got == want and sum(map(bool, want.values())) == 3
     left = {x["doc_id"]: x["text"] for x in paragraphs.without_repeats(docs).collect()}
     assert left[None] == "é intro\nend of it" and left[3] == texts[1] and left[9].endswith("\nünd\nx y") and len(left) == len(rows)
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    """A stage takes the copy alone, not the other rows of its doc_id, null or not."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    a, b, c, d, shared = (" ".join(words(r, 80)) for _ in range(5))
+    near = b.replace(b.split()[40], "changed", 1)
+    rows = [(1, a), (None, a), (None, "clean one"), (None, ""), (None, None), (None, b), (None, near), (7, c), (8, c), (8, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x") for i, t in rows], DDL)
+    left = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert sum(x in left for x in ((None, b), (None, near))) == 1
+    assert {x for x in left if x[1] not in (b, near)} == {(1, a), (None, "clean one"), (None, ""), (None, None), (7, c), (8, d)} and len(left) == 7
+    rows = [(1, f"x\n{shared}"), (2, f"one\n{shared}\nend"), (2, f"two\n{d}\nend"), (None, f"three\n{shared}"), (None, f"four\n{c}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in rows], DDL)
+    left = {(x["doc_id"], x["text"]) for x in corpus_pipeline.substring_stage(spark, docs, "").collect()}
+    assert left == {rows[0], (2, "one\nend"), rows[2], (None, "three"), rows[4]}
