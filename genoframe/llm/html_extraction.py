@@ -5,8 +5,8 @@ successor's word count and link density, whether it stands in an article, and wh
 is named for something else (menu, advert, comments, ...). A decision tree, grown on the small labelled
 table below, marks the blocks of the main text.
 
-Null, empty and tagless-empty pages give an empty text; unclosed tags, comments and raw elements run to the end; deep
-or very long pages are read in one pass; equal pages give equal rows; page_id and url pass through, null or not.
+Null, empty and tagless-empty pages give an empty text; unclosed tags, comments and raw elements run to the end, but li, tr
+and td to their next sibling; deep or very long pages are read in one pass; equal pages give equal rows; page_id and url pass through, null or not.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from genoframe.llm import common
 RAW = "script|style|noscript|template|title|textarea|iframe|object|svg|math|select|button"
 BLOCK_TAGS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = set("article aside blockquote body details dialog div dl fieldset figure footer form header li main nav ol section table td tr ul".split())
+#: Start tag -> open containers that it closes, unless one of the others has been opened since.
+SIBLINGS = {"li": (("li",), tuple(sorted(CONTAINERS - {"li", "div"}))), "td": (("td",), ("tr", "table")), "tr": (("tr", "td"), ("table",))}
 OTHER_TAGS = set("nav aside footer form dialog".split())
 OTHER_NAMES = set("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 
@@ -149,6 +151,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """(text, words, link density, in an article, in a part named for something else) in page order."""
     out: list[tuple[str, int, float, int, int]] = []
     open_tags: list[tuple[str, int, int]] = []  # name, article, other
+    places: dict[str, list[int]] = {}  # where each name stands in open_tags
     parts: list[str] = []
     linked: list[str] = []
     in_link = article = other = 0
@@ -162,6 +165,14 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             parts.clear()
             linked.clear()
 
+    def cut(k: int) -> None:
+        """Close all containers from place k on."""
+        nonlocal article, other
+        while len(open_tags) > k:
+            tag, inside, odd = open_tags.pop()
+            places[tag].pop()
+            article, other = article - inside, other - odd
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -187,18 +198,22 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             if not ends:
                 if m[4].endswith("/"):
                     continue
+                if name in SIBLINGS:
+                    ends_at, within = SIBLINGS[name]
+                    bound = max((places[x][-1] for x in within if places.get(x)), default=-1)
+                    first = min((k for x in ends_at if places.get(x) and (k := places[x][-1]) > bound), default=None)
+                    if first is not None:
+                        cut(first)
                 found = NAMED.findall(m[4])
                 named = {p.lower() for x in found for p in PART.findall("".join(x))}
                 odd = int(name in OTHER_TAGS or (name == "header" and not article) or (name != "body" and bool(named & OTHER_NAMES)))
                 inside = int(name in ("article", "main"))
+                places.setdefault(name, []).append(len(open_tags))
                 open_tags.append((name, inside, odd))
                 article, other = article + inside, other + odd
             else:
-                k = next((k for k in range(len(open_tags) - 1, max(-1, len(open_tags) - 200), -1) if open_tags[k][0] == name), None)
-                if k is not None:
-                    for _, inside, odd in open_tags[k:]:
-                        article, other = article - inside, other - odd
-                    del open_tags[k:]
+                if places.get(name):
+                    cut(places[name][-1])
     if at < len(page):
         parts.append(page[at:])
         if in_link:

@@ -91,6 +91,18 @@ def test_html_extraction():
     assert html_extraction.extract("") == html_extraction.extract("<p>") == html_extraction.extract("<script>unclosed") == ""
 
 
+@pytest.mark.parametrize("n", [1, 250, 5000])
+def test_html_extraction_closes_at_any_depth(n):
+    body = "<article><h1>The title</h1><p>First part of the text.</p></article><footer>nobody</footer>"
+    want = "The title\n\nFirst part of the text."
+    assert html_extraction.extract("<nav><ul>" + "<li><a href=x>Menu</a>" * n + "</ul></nav>" + body) == want
+    assert html_extraction.extract("<nav>" + "<div>" * n + "Menu</nav>" + body) == want
+    inner = html_extraction.blocks("<article><table>" + "<tr><td>one<td>two" * n + "</table></article><p>after</p>")
+    assert [b[3] for b in inner] == [1] * (2 * n) + [0]
+    nested = html_extraction.blocks("<ul><li class=menu>a<ul><li>b<li>c</ul>d<li>e</ul>f")
+    assert [(b[0], b[4]) for b in nested] == [("a", 1), ("b", 1), ("c", 1), ("d", 1), ("e", 0), ("f", 0)]
+
+
 def brute(machine, text, n):
     text = token_counts.SPACE + text.replace(" ", token_counts.SPACE)
     out = []
