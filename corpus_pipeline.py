@@ -35,7 +35,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: piece ids of the best segmentation, scores of the N best, and a check of the round trip."""
+    """Operator 10: piece ids and scores of the N best segmentations, and a check of each round trip."""
     return nbest.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

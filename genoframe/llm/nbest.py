@@ -169,6 +169,9 @@ class Segmenter(common.Memo):
         """Score and changed segments of the N best segmentations. Only the N - 1 segments of least loss can change."""
         near = nsmallest(self.n - 1, range(len(parts)), key=[x[2] for x in parts].__getitem__)
         paths = {k: self.paths(SPACE + words[k]) for k in near if parts[k][2] < np.inf}
+        for k, found in paths.items():  # of equal scores the search may have put another path first
+            if found[0][1] != parts[k][0]:
+                paths[k] = [(found[0][0], parts[k][0]), *[x for x in found if x[1] != parts[k][0]]][: self.n]
         total = float(sum([x[1] for x in parts]))
         chosen = combos([(x[0][0] - x[r][0], k, r) for k, x in paths.items() for r in range(1, len(x))], self.n)
         return [(total - loss, {k: paths[k][r][1] for k, r in way.items()}) for loss, way in chosen]
@@ -178,13 +181,29 @@ class Segmenter(common.Memo):
         words, parts = self.segments(text)
         return b"".join([x[0] for x in parts]), [score for score, _ in self.ways(words, parts)]
 
+    def every(self, text: str) -> tuple[list[bytes], list[float], bool]:
+        """Ids and scores of the N best segmentations, and whether each decodes to the text (marks as spaces)."""
+        words, parts = self.segments(text)
+        best = [x[0] for x in parts]
+        ids, ways, same = [b"".join(best)], self.ways(words, parts), True
+        for _, way in ways[1:]:
+            other = best.copy()
+            for k, x in way.items():
+                other[k] = x
+                same = same and self.bytes_of(x) == self.bytes_of(best[k])  # decoding joins the bytes of the segments
+            ids.append(b"".join(other))
+        return ids, [score for score, _ in ways], same and self.decode(ids[0]) == text.replace(SPACE, " ")
+
     def nbest(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations, as (score, ids)."""
         words, parts = self.segments(text)
         return [(score, np.frombuffer(b"".join([way.get(k, x[0]) for k, x in enumerate(parts)]), "<u2").tolist()) for score, way in self.ways(words, parts)]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u2").tolist())).decode(errors="replace")[1:]
+        return self.bytes_of(ids).decode(errors="replace")[1:]
+
+    def bytes_of(self, ids: bytes) -> bytes:
+        return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u2").tolist()))
 
 
 def combos(options: list[tuple[float, int, int]], n: int) -> list[tuple[float, dict[int, int]]]:
@@ -209,20 +228,19 @@ def segmenter(path: str, n: int) -> Segmenter:
 
 
 def encoded(docs: DataFrame, model: str, n: int = N_BEST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_pieces, ids (little-endian 16-bit numbers), ids_crc32, scores (best first), decoded_same of every whole text."""
+    """doc_id; n_pieces, ids (little-endian 16-bit numbers) and ids_crc32 of the best segmentation; other_ids of ranks 2 to N; scores (best first); decoded_same, of all N."""
     common.small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("scores", pa.list_(pa.float64())), ("decoded_same", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("other_ids", pa.list_(pa.binary())), ("scores", pa.list_(pa.float64())), ("decoded_same", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = segmenter(model, n)
         for b in batches:
-            texts = common.texts(b.column("text"))
-            got = [machine.encode(x) for x in texts]
-            same = [machine.decode(ids) == x.replace(SPACE, " ") for (ids, _), x in zip(got, texts, strict=True)]
-            yield common.batch(schema, doc_id=b.column("doc_id"), n_pieces=[len(x) // 2 for x, _ in got], ids=[x for x, _ in got], ids_crc32=[zlib.crc32(x) for x, _ in got], scores=[s for _, s in got], decoded_same=same)
+            got = [machine.every(x) for x in common.texts(b.column("text"))]
+            best = [ids[0] for ids, _, _ in got]
+            yield common.batch(schema, doc_id=b.column("doc_id"), n_pieces=[len(x) // 2 for x in best], ids=best, ids_crc32=[zlib.crc32(x) for x in best], other_ids=[ids[1:] for ids, _, _ in got], scores=[s for _, s, _ in got], decoded_same=[x for _, _, x in got])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids binary, ids_crc32 long, scores array<double>, decoded_same boolean")
+    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids binary, ids_crc32 long, other_ids array<binary>, scores array<double>, decoded_same boolean")
 
 
 def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,3 +149,22 @@ def test_segments_of_plain_words_go_past_the_pattern():
     other = token_planes.SegmentIds(public_tokenizers.path("word_bpe_49k.json"))
     assert not other.cuttable
     assert np.frombuffer(other.encode("Ab c, d"), other.kind).tolist() == other.library.encode("Ab c, d", add_special_tokens=False).ids
+
+
+def test_all_segmentations_are_given(spark):
+    r = random.Random(13)
+    texts = ["", None, "aaaa aaaa", "the end of it all", *("".join(r.choice(["a", "th", "e ", " ", "in", "é", "语", "ab", "🙂"]) for _ in range(r.randint(1, 9))) for _ in range(60))]
+    machine = nbest.segmenter(PIECES, 3)
+    got = nbest.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES).collect()
+    assert len(got) == len(texts) and all(x["decoded_same"] for x in got)
+    for x in got:
+        text = texts[x["doc_id"]] or ""
+        ids = [bytes(y) for y in (x["ids"], *x["other_ids"])]
+        assert len(set(ids)) == len(ids) == len(x["scores"]) == len(machine.nbest(text)) and {machine.decode(y) for y in ids} == {text}
+        assert [np.frombuffer(y, "<u2").tolist() for y in ids] == [y for _, y in machine.nbest(text)]
+        if text.isascii():
+            assert x["scores"] == pytest.approx([sum(score_of(machine, i) for i in np.frombuffer(y, "<u2").tolist()) for y in ids])
+
+
+def score_of(machine, i):
+    return next(s for p, s in machine.v.scores.items() if machine.v.ids[p] == i)
