@@ -208,5 +208,10 @@ def media_features(media: DataFrame) -> DataFrame:
     return media.mapInArrow(parse, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>")
 
 
+def stored_features(docs: DataFrame) -> DataFrame:
+    """media_features of the streams as read back from storage."""
+    return media_features(common.stored(media_table(docs), "media"))
+
+
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(media_table(common.read(spark, sf_dir, "documents")))
+    return stored_features(common.read(spark, sf_dir, "documents"))

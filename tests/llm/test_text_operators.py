@@ -168,3 +168,10 @@ def test_all_segmentations_are_given(spark):
 
 def score_of(machine, i):
     return next(s for p, s in machine.v.scores.items() if machine.v.ids[p] == i)
+
+
+def test_media_is_stored_and_read_back(spark):
+    docs = spark.createDataFrame([(1, "héllo"), (2, None), (None, "x" * 500)], "doc_id long, text string")
+    got = transport_stream.stored_features(docs)
+    assert any("/media-" in x for x in got.inputFiles())
+    assert sorted(map(str, got.collect())) == sorted(map(str, transport_stream.media_features(transport_stream.media_table(docs)).collect()))
