@@ -9,8 +9,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch: bounds a Python worker's memory where texts are long.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch: bound a Python worker's memory where texts are long.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,8 +18,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Fewer rows a batch for this session, so that a batch of very long texts fits a worker."""
+    """Smaller batches for this session (plans read the setting when they run), so that very long texts fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

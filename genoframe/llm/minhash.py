@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -32,14 +33,14 @@ def classes(docs: DataFrame, hashes: int, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, n, sig = [], [], []
-            for x in common.raw_texts(b.column("text")):
-                words = neardup.words_of(x)
-                found = neardup.shingles(words)
-                same.append(sequence_hash(words))
-                n.append(len(found))
-                sig.append(neardup.signature(found, hashes).tobytes() if words else b"")
-            yield common.batch(schema, doc_id=b.column("doc_id"), same=same, n_shingles=n, sig=sig)
+            words = [neardup.words_of(x) for x in common.raw_texts(b.column("text"))]
+            h, ends = neardup.hashes_of(words)
+            some = np.flatnonzero(np.diff(ends, prepend=0))
+            rows, starts = neardup.shingle_rows(h, ends[some - 1] * (some > 0), ends[some])
+            n, sig = np.zeros(len(words), np.int64), [b""] * len(words)
+            for k, own, low in zip(some.tolist(), np.split(rows, starts[1:]), neardup.signatures(rows, starts, hashes), strict=True) if len(some) else ():
+                n[k], sig[k] = len(np.unique(own)), low.tobytes()
+            yield common.batch(schema, doc_id=b.column("doc_id"), same=[sequence_hash(x) for x in words], n_shingles=n, sig=sig)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, same string, n_shingles long, sig binary")

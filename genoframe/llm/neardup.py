@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from math import comb
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from genoframe.llm import common
 from genoframe.llm.components import components
 
-SHINGLE, BLOCK, BATCH = 5, 256, 16
+SHINGLE, BLOCK, BATCH, SALTS = 5, 256, 16, 8
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,33 +56,53 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of width words, from the words' hashes."""
+    n = max(0, len(h) - width + 1)
+    total = np.full(n, width, np.uint64)
+    for k in range(width):
+        total = mixed(total * PRIME + h[k : n + k])
+    return total
+
+
+def hashes_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all lists' words in a row, and the place behind each list's last."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    size = int(ends[-1]) if len(ends) else 0
+    return np.fromiter(map(word_hashes().__getitem__, chain.from_iterable(words)), np.uint64, size), ends
+
+
 def shingles(words: list[bytes]) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of SHINGLE words; of the whole sequence where it is shorter."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(words))
-    total = np.full(len(words) - width + 1, width, np.uint64)
-    for k in range(width):
-        total = mixed(total * PRIME + h[k : len(h) - width + 1 + k])
-    return np.unique(total)
+    h, _ = hashes_of([words])
+    return np.unique(rolled(h, min(SHINGLE, len(words)))) if words else np.zeros(0, np.uint64)
+
+
+def shingle_rows(h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of several sequences (none empty) of h in a row, repeats and all, and where each sequence's begin."""
+    size = ends - begins
+    n = np.maximum(size - SHINGLE + 1, 1)
+    starts = np.cumsum(n) - n
+    total = rolled(h, SHINGLE)
+    where = np.arange(int(n.sum())) + np.repeat(begins - starts, n)
+    out = total[np.minimum(where, len(total) - 1)] if len(total) else np.zeros(len(where), np.uint64)
+    for i in np.flatnonzero(size < SHINGLE):
+        out[starts[i]] = rolled(h[begins[i] : ends[i]], size[i])[0]
+    return out, starts
 
 
 @lru_cache(8)
-def multipliers(hashes: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(20240229)
-    return r.integers(0, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, hashes, np.uint64)
+def multipliers(hashes: int) -> np.ndarray:
+    return np.random.default_rng(20240229).integers(0, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(hashed: np.ndarray, hashes: int) -> np.ndarray:
-    """Minima of hashes multiply-shift functions."""
-    a, b = multipliers(hashes)
-    low = np.full(hashes, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(hashed), 2048):
-        part = hashed[None, k : k + 2048] * a[:, None]
-        part += b[:, None]
-        low = np.minimum(low, (part >> np.uint64(32)).astype(np.uint32).min(1))
-    return low
+def signatures(rows: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
+    """A row of minima of hashes multiply-shift functions for each sequence of shingle_rows."""
+    out = np.empty((len(starts), hashes), np.uint32)
+    if len(starts):
+        for k, a in enumerate(multipliers(hashes)):
+            out[:, k] = np.minimum.reduceat((rows * a).view(np.uint32)[1::2], starts)  # high halves of little-endian numbers
+    return out
 
 
 def tuned(percent: int, miss: float = 1e-5, most: int = 24) -> tuple[int, int]:
@@ -94,10 +115,10 @@ def tuned(percent: int, miss: float = 1e-5, most: int = 24) -> tuple[int, int]:
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Signed 64-bit key of each band, different for different bands."""
-    total = np.arange(1, bands + 1, dtype=np.uint64) * PRIME
+    """Signed 64-bit keys, a row of bands for each row of sig, different for different bands."""
+    total = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * PRIME, (len(sig), bands))
     for k in range(rows):
-        total = mixed(total * PRIME + sig[: bands * rows].reshape(bands, rows)[:, k])
+        total = mixed(total * PRIME + sig[:, k : bands * rows : rows])
     return total.view(np.int64)
 
 
@@ -181,7 +202,7 @@ def links(items: DataFrame, bodies: DataFrame, percent: int, bands: int, rows: i
 
     def bands_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield common.batch(schema, id=b.column("id"), band=[band_keys(s, bands, rows) for s in sigs(b.column("sig"))])
+            yield common.batch(schema, id=b.column("id"), band=list(band_keys(sigs(b.column("sig")), bands, rows)))
 
     every = items.dropDuplicates(["id"]).mapInArrow(bands_of, "id string, band array<long>").select("id", F.explode("band").alias("bucket"))
     every = common.stored(every, "bands")
@@ -201,10 +222,16 @@ def links(items: DataFrame, bodies: DataFrame, percent: int, bands: int, rows: i
     return components(first.unionByName(second).unionByName(last))
 
 
+def salted(members: DataFrame, by_bucket: DataFrame) -> DataFrame:
+    """members joined with a row for each bucket; a large bucket's members go to SALTS tasks."""
+    by_bucket = by_bucket.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(77)), F.lit(SALTS)).cast("int")).join(by_bucket, ["bucket", "salt"]).drop("salt")
+
+
 def _unsettled(known: DataFrame) -> DataFrame:
     """Members of the buckets with more than one label. Equal labels mean linked items, unequal ones not the contrary."""
     many = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return known.join(many, "bucket")
+    return salted(known, many)
 
 
 def _open(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -215,7 +242,7 @@ def _meet(open_: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
     """One pair for each item: it and the first hub, in this turn's order, of its buckets; the hub precedes it in that order."""
     order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("hub"), F.col("label").alias("hub_label"))
     hubs = open_.groupBy("bucket").agg(F.min(order).alias("hub"))
-    pick = open_.join(hubs, "bucket").where("label <> hub.hub_label").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("a"), F.col("hub.hub").alias("b"))
+    pick = salted(open_, hubs).where("label <> hub.hub_label").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("a"), F.col("hub.hub").alias("b"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.col("sig").alias("sig_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.col("sig").alias("sig_b"))
     return pick.join(left, "a").join(right, "b")
@@ -224,41 +251,42 @@ def _meet(open_: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
 def _blocks(open_: DataFrame, texts: DataFrame, check: Callable, percent: int, bands: int, rows: int, miss: float) -> DataFrame:
     """Links between the components that still share a bucket."""
     sizes = open_.groupBy("bucket").agg(F.count("*").alias("n"))
-    dealt = open_.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = salted(open_, sizes).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "label")
-    full = copies.join(texts, "id")
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket, p, q = (k.as_py() for k in key)
-        order = np.argsort(np.array(table.column("label").to_pylist(), object), kind="stable")
-        table = table.take(pa.array(order))
-        ids, label, own = table.column("id").to_pylist(), table.column("label").to_pylist(), np.array(table.column("own").to_pylist())
-        text = table.column("text").to_pylist()
-        sig = sigs(table.column("sig").combine_chunks())
-        keys = np.stack([band_keys(s, bands, rows) for s in sig])
-        root = {x: x for x in label}
-
-        def top(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        test, out = check(), []
-        for i in range(len(ids) - 1):
-            later = np.arange(i + 1, len(ids))
-            if p != q:
-                later = later[own[later] != own[i]]
-            later = later[[top(label[j]) != top(label[i]) for j in later]] if len(later) else later
-            if not len(later):
-                continue
-            same = keys[later] == keys[i]
-            later = later[keys[i][same.argmax(1)] == bucket]  # else a band before this one has the pair
-            later = later[plausible(sig[later], np.broadcast_to(sig[i], (len(later), sig.shape[1])), percent, miss)]
-            for j in later:
-                if (x := top(label[i])) != (y := top(label[j])) and test(text[i], text[j]):
-                    root[x] = y
-                    out.append((ids[i], ids[j]))
-        return pa.table({"a": [x for x, _ in out], "b": [x for _, x in out]}, schema=PAIR)
-
-    return full.groupBy("bucket", "p", "q").applyInArrow(run, "a string, b string")
+    full = copies.join(texts, "id").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "label")
+
+    def linked(rows_: list[tuple], test: Callable[[str, str], bool]) -> Iterator[tuple[str, str]]:
+        """Links that join components among the rows of one pair of blocks."""
+        bucket, p, q = rows_[0][:3]
+        own, sig = np.array([r[3] for r in rows_]), np.stack([r[7] for r in rows_])
+        keys, root = band_keys(sig, bands, rows), np.unique([r[5] for r in rows_], return_inverse=True)[1]
+        later = np.arange(len(rows_))
+        for a in range(0, len(rows_) - 1, step := max(1, 8192 // len(rows_))):
+            i, j = np.nonzero(later[None, :] > later[a : a + step, None])
+            i += a
+            ok = root[i] != root[j] if p == q else (root[i] != root[j]) & (own[i] != own[j])
+            i, j = i[ok], j[ok]
+            same = keys[i] == keys[j]
+            ok = keys[i, same.argmax(1)] == bucket  # else a band before this one has the pair
+            i, j = i[ok], j[ok]
+            ok = plausible(sig[i], sig[j], percent, miss)
+            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                if root[x] != root[y] and test(rows_[x][6], rows_[y][6]):
+                    root[root == root[y]] = root[x]
+                    yield rows_[x][4], rows_[y][4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test, held = check(), []
+        for b in batches:
+            out = []
+            for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "p", "q", "own", "id", "label", "text")), sigs(b.column("sig")), strict=True):
+                if held and held[0][:3] != r[:3]:
+                    out += linked(held, test)
+                    held = []
+                held.append(r)
+            yield common.batch(PAIR, a=[x for x, _ in out], b=[x for _, x in out])
+        out = list(linked(held, test)) if held else []
+        yield common.batch(PAIR, a=[x for x, _ in out], b=[x for _, x in out])
+
+    return full.mapInArrow(run, "a string, b string")

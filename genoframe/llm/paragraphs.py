@@ -1,18 +1,20 @@
 """Operator 6, substring dedup: MinHash banding of paragraphs, exact checks, removals by component.
 
-Two kinds of paragraphs cover all text:
+Documents of one word sequence are a class at once: all but the first are repeats as a whole. The first one's text goes
+on in two kinds of paragraphs, which together cover all of it:
 
 * Lines of at least min_words words. Lines of one word sequence are one item; items that agree in a band are compared on
-  their full sets of five-word shingles (neardup.links, bands tuned for high recall); components of links that occur in
-  two documents or more are repeated. Of each class the occurrence with the least (document, paragraph) stays.
+  their full sets of five-word shingles (neardup.links, bands tuned for high recall). Of each component of links that occurs
+  at two places the first stays.
 * All runs of min_words words, over line ends and within longer lines (passages). A run's band key is the minimum
-  of the hashes of its shingles of half its words: equal runs have equal minima, so none is missed. Runs whose minimum
-  occurs in two documents are compared whole, by a 64-bit hash; those also in an earlier document are removed, and the
-  runs of a document that overlap are given as one span. Spans within a line that is given already aren't given again.
-
-A document is a doc_id and text; they go by (doc_id, nulls last; hash of the text). Null and empty texts have no
-paragraphs; what repeats within one document alone is no class; repeated rows count as one document; an empty table
-gives no rows.
+  of the hashes of its shingles of half its words: equal runs have equal minima, so none is missed, and neighbouring runs mostly
+  share theirs, so few are kept. Runs whose minimum occurs at two places are compared whole, by a 64-bit hash; those that occur
+  earlier too are removed, and a document's runs that overlap are given as one span. Spans within a line that is given
+  already aren't given again.
+
+Places go by (document, word); a document is a doc_id and text, in the order of (doc_id, nulls last; hash of the text). Repeats
+within one document count if they don't overlap. min_words bounds what is removed: what is shorter stays. Null and
+empty texts have no paragraphs; repeated rows count as one document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.llm import common, neardup
@@ -30,37 +32,52 @@ from genoframe.llm.minhash import sequence_hash
 MIN_WORDS = 50
 
 
-def paragraphs(text: str, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(number, start, end, words) of the paragraphs that are long enough; every line has a number."""
-    at = 0
-    for k, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * min_words - 1 and len(words := neardup.words_of(line)) >= min_words:
-            yield k, at, at + len(line), words
-        at += len(line) + 1
-
-
-def found_paragraphs(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
-    """row_key, doc_id, text_hash, para, start_char, end_char, n_words, id (hash of the words), sig."""
-    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("para", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("n_words", pa.int64()), ("id", pa.string()), ("sig", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = zip(*(b.column(c).to_pylist() for c in ("row_key", "doc_id", "text_hash")), strict=True)
-            rows = [(*key, k, s, e, len(w), sequence_hash(w), neardup.signature(neardup.shingles(w), hashes).tobytes()) for key, t in zip(keys, common.texts(b.column("text")), strict=True) for k, s, e, w in paragraphs(t, min_words)]
-            yield common.batch(schema, **dict(zip(schema.names, zip(*rows, strict=True) if rows else [[]] * 9, strict=True)))
-
-    return docs.mapInArrow(run, "row_key long, doc_id long, text_hash long, para long, start_char long, end_char long, n_words long, id string, sig binary")
-
+class Marked:
+    """Texts joined by line ends, with the places of words and lines."""
 
-def bodies(docs: DataFrame, min_words: int) -> DataFrame:
-    schema = pa.schema([("id", pa.string()), ("text", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(sequence_hash(w), t[s:e]) for t in common.texts(b.column("text")) for _, s, e, w in paragraphs(t, min_words)]
-            yield common.batch(schema, id=[x for x, _ in rows], text=[x for _, x in rows])
-
-    return docs.mapInArrow(run, "id string, text string")
+    def __init__(self, raw: list[bytes]) -> None:
+        self.text = b"\n".join(raw)
+        self.begins = np.cumsum([0, *(len(x) + 1 for x in raw)])  # of texts, in bytes
+        signs = np.frombuffer(self.text, np.uint8)
+        blank = (signs == 32) | (signs >= 9) & (signs <= 13)
+        edge = np.diff(np.r_[True, blank, True].astype(np.int8))
+        self.starts, self.ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+        self.breaks = np.flatnonzero(signs == 10)
+        self.words = neardup.words_of(self.text)
+        self.first = np.searchsorted(self.starts, self.begins)  # word of each text
+        self.h, _ = neardup.hashes_of([self.words])
+        self.chars = None if self.text.isascii() else np.r_[0, np.cumsum(signs & 0xC0 != 0x80)]
+
+    def char(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Characters from the text's beginning, of byte places in texts."""
+        return at - self.begins[doc] if self.chars is None else self.chars[at] - self.chars[self.begins[doc]]
+
+    def line_of(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Numbers of lines, of byte places in texts."""
+        return np.searchsorted(self.breaks, at) - np.searchsorted(self.breaks, self.begins[doc])
+
+    def lines(self, min_words: int) -> tuple[np.ndarray, ...]:
+        """Text, first byte, last byte, first word, last word of the lines of min_words words or more."""
+        starts, ends = np.r_[0, self.breaks + 1], np.r_[self.breaks, len(self.text)]
+        one, two = np.searchsorted(self.starts, starts), np.searchsorted(self.starts, ends)
+        long = np.flatnonzero(two - one >= min_words)
+        return np.searchsorted(self.begins, starts[long], "right") - 1, starts[long], ends[long], one[long], two[long]
+
+    def runs(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of min_words words within one text: first word, and the least hash of the run's shingles of half its words."""
+        half = (min_words + 1) // 2
+        low, wide, size = neardup.mixed(grams(self.h, half)), min_words - half + 1, 1
+        if len(low) < wide:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while 2 * size <= wide:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        low = low if size == wide else np.minimum(low[: size - wide], low[wide - size :])
+        inside = np.ones(len(low), bool)
+        for end in self.first[1:]:
+            inside[max(0, end - min_words + 1) : end] = False
+        at = np.flatnonzero(inside)
+        return at, low[at].view(np.int64)
 
 
 def grams(h: np.ndarray, width: int) -> np.ndarray:
@@ -79,127 +96,166 @@ def grams(h: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-def minima(raw: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words, and for each run of min_words words the least hash of its shingles of half its words."""
-    words = neardup.words_of(raw)
-    if len(words) < min_words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(neardup.word_hashes().__getitem__, words), np.uint64, len(words))
-    half = (min_words + 1) // 2
-    low, wide, size = neardup.mixed(grams(h, half)), min_words - half + 1, 1
-    while 2 * size <= wide:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    return h, low if size == wide else np.minimum(low[: size - wide], low[wide - size :])
+LINE = {"para": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(), "n_words": pa.int32(), "id": pa.string(), "sig": pa.binary()}
+LINE_DDL = "para int, start_char int, end_char int, n_words int, id string, sig binary"
+
 
+def digests(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
+    """A row each text of min_words words or more: its identity, hash of the word sequence, span of the words, long lines, and the distinct minima
+    of its runs, each with whether it occurs at two places that may not overlap."""
+    lows = pa.list_(pa.struct([("low", pa.int64()), ("twice", pa.bool_())]))
+    schema = pa.schema([
+        ("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("same", pa.string()), ("n_words", pa.int32()), ("para", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()),
+        ("lines", pa.list_(pa.struct(list(LINE.items())))), ("lows", lows),
+    ])
 
-def prints(docs: DataFrame, min_words: int) -> DataFrame:
-    """row_key and low, the distinct minima of the document's runs."""
-    schema = pa.schema([("row_key", pa.int64()), ("low", pa.int64())])
+    def lists(values: pa.Array, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values).cast(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.unique(minima(x, min_words)[1]) for x in common.raw_texts(b.column("text"))]
-            keys = np.repeat(b.column("row_key").to_numpy(), [len(x) for x in own])
-            yield common.batch(schema, row_key=keys, low=np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))
-
-    return docs.mapInArrow(run, "row_key long, low long")
-
-
-RUNS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "low": pa.int64(), "at": pa.int32(), "run": pa.list_(pa.int64()), "para": pa.list_(pa.int32()), "start_char": pa.list_(pa.int32()), "end_char": pa.list_(pa.int32())}
-RUNS_DDL = "doc_id long, text_hash long, low long, at int, run array<long>, para array<int>, start_char array<int>, end_char array<int>"
+            m = Marked(common.raw_texts(b.column("text")))
+            n, size = len(b), np.diff(m.first)
+            doc, start, end, one, two = m.lines(min_words)
+            rows, begins = neardup.shingle_rows(m.h, one, two)
+            sig = neardup.signatures(rows, begins, hashes)
+            parts = [m.line_of(start, doc), m.char(start, doc), m.char(end, doc), two - one, [sequence_hash(m.words[i:j]) for i, j in zip(one.tolist(), two.tolist(), strict=True)], [x.tobytes() for x in sig]]
+            lines = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(parts, LINE.values(), strict=True)], list(LINE))
+            at, low = m.runs(min_words)
+            owner = np.searchsorted(m.first, at, "right") - 1
+            new = np.flatnonzero(np.r_[True, (np.diff(low) != 0) | (np.diff(owner) != 0)][: len(at)])
+            last = np.r_[new[1:], len(at)][: len(new)] - 1
+            order = np.lexsort((new, low[new], owner[new]))
+            low_, owner_, first, last = low[new][order], owner[new][order], at[new][order], at[last][order]
+            heads = np.flatnonzero(np.r_[True, (np.diff(low_) != 0) | (np.diff(owner_) != 0)][: len(low_)])
+            far = np.maximum.reduceat(last, heads) - first[heads] >= min_words if len(heads) else np.zeros(0, bool)
+            own = pa.StructArray.from_arrays([pa.array(low_[heads]), pa.array(far, pa.bool_())], ["low", "twice"])
+            full = np.flatnonzero(size >= min_words)
+            from_, to = m.starts[m.first[full]], m.ends[m.first[full + 1] - 1]
+            out = pa.RecordBatch.from_arrays([
+                *(b.column(c).take(pa.array(full)) for c in ("row_key", "doc_id", "text_hash")), pa.array([sequence_hash(m.words[m.first[k] : m.first[k + 1]]) for k in full], pa.string()),
+                pa.array(size[full], pa.int32()), pa.array(m.line_of(from_, full), pa.int32()), pa.array(m.char(from_, full), pa.int32()), pa.array(m.char(to, full), pa.int32()),
+                lists(lines, doc, n, schema.field("lines").type).take(pa.array(full)), lists(own, owner_[heads], n, lows).take(pa.array(full)),
+            ], schema=schema)
+            yield out
+
+    return docs.mapInArrow(run, f"row_key long, doc_id long, text_hash long, same string, n_words int, para int, start_char int, end_char int, lines array<struct<{LINE_DDL.replace(' ', ': ').replace(',:', ',')}>>, lows array<struct<low: long, twice: boolean>>")
+
+
+RUNS = {"at": pa.int32(), "run": pa.int64(), "para": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32()}
 
 
 def runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """The runs of min_words words whose minimum is among lows: hash, line of the first word, characters from and to.
-
-    A row has consecutive runs of one minimum, half of min_words at most, so that they all overlap; at: first word of the first."""
-    schema = pa.schema(list(RUNS.items()))
+    """For each row of docs (identity, text, lows) the runs whose minimum is among lows: place in words, hash, line of the first word, characters from and to."""
+    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), *((c, pa.list_(t)) for c, t in RUNS.items())])
 
-    def some(raw: bytes, lows: list[int]) -> tuple[np.ndarray, ...]:
-        h, low = minima(raw, min_words)
-        at = np.flatnonzero(np.isin(low, np.array(lows, np.int64).view(np.uint64)))
-        signs = np.frombuffer(raw, np.uint8)
-        blank = (signs == 32) | (signs >= 9) & (signs <= 13)
-        edge = np.diff(np.r_[True, blank, True].astype(np.int8))
-        starts, ends = np.flatnonzero(edge < 0)[at], np.flatnonzero(edge > 0)[at + min_words - 1]
-        chars, lines = np.r_[0, np.cumsum(signs & 0xC0 != 0x80)], np.r_[0, np.cumsum(signs == 10)]
-        low, place = low[at].view(np.int64), np.arange(len(at))
-        new = np.r_[True, (np.diff(at) != 1) | (np.diff(low) != 0)][: len(at)]
-        first = np.flatnonzero(new | ((place - np.maximum.accumulate(np.where(new, place, 0))) % max(1, min_words // 2) == 0))
-        return first, low[first], at[first], grams(h, min_words)[at].view(np.int64), lines[starts], chars[starts], chars[ends]
+    def some(raw: bytes, lows: list[int]) -> list[list]:
+        m = Marked([raw])
+        at, low = m.runs(min_words)
+        at = at[np.isin(low, np.array(lows, np.int64))]
+        starts, ends, doc = m.starts[at], m.ends[at + min_words - 1], np.zeros(len(at), np.int64)
+        return [[x] for x in (at, grams(m.h, min_words)[at].view(np.int64), m.line_of(starts, doc), m.char(starts, doc), m.char(ends, doc))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text_hash, raw, lows in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), common.raw_texts(b.column("text")), b.column("lows").to_pylist(), strict=True):
-                first, low, at, *own = some(raw, lows)
-                ends = pa.array(np.r_[first, len(own[0])], pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x, RUNS[c].value_type)) for c, x in zip(list(RUNS)[4:], own, strict=True)]
-                yield common.batch(schema, doc_id=[doc] * len(low), text_hash=[text_hash] * len(low), low=low, at=at, **dict(zip(list(RUNS)[4:], lists, strict=True)))
+            keys = [b.column(c) for c in ("row_key", "doc_id", "text_hash")]
+            for k, (raw, lows) in enumerate(zip(common.raw_texts(b.column("text")), b.column("lows").to_pylist(), strict=True)):
+                lists = [pa.array(x, schema.field(c).type) for c, x in zip(RUNS, some(raw, lows), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(x.slice(k, 1) for x in keys), *lists], schema=schema)
 
-    return docs.mapInArrow(run, RUNS_DDL)
+    return docs.mapInArrow(run, "row_key long, doc_id long, text_hash long, at array<int>, run array<long>, para array<int>, start_char array<int>, end_char array<int>")
 
 
-SPAN = {"row_key": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "para": pa.int64(), "start_char": pa.int64(), "end_char": pa.int64(), "n_words": pa.int64(), "class_doc_id": pa.int64(), "class_para": pa.int64(), "removed": pa.bool_()}
-SPAN_DDL = "row_key long, doc_id long, text_hash long, para long, start_char long, end_char long, n_words long, class_doc_id long, class_para long, removed boolean"
+SPAN = {"row_key": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "para": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(), "n_words": pa.int32(), "class_doc_id": pa.int64(), "class_para": pa.int32(), "removed": pa.bool_()}
+SPAN_DDL = "row_key long, doc_id long, text_hash long, para int, start_char int, end_char int, n_words int, class_doc_id long, class_para int, removed boolean"
 
 
-def passages(docs: DataFrame, min_words: int) -> DataFrame:
+def place(*more: str) -> F.Column:
+    """The order of places: documents by (doc_id, nulls last; text_hash), then more."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", *more)
+
+
+def passages(docs: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
     """Spans of a document's overlapping runs that stay, and of those that are removed; the class is that of a span's first run."""
+    lows = firsts.select("row_key", F.explode("lows").alias("x")).select("row_key", "x.*")
+    shared = lows.groupBy("low").agg(F.min("row_key").alias("a"), F.max("row_key").alias("z"), F.max("twice").alias("twice")).where("a <> z or twice").select("low")
+    wanted = lows.join(shared, "low").groupBy("row_key").agg(F.collect_set("low").alias("lows"))
+    found = common.stored(runs(docs.join(wanted, "row_key").dropDuplicates(["row_key"]), min_words), "runs")
+    each = found.select("row_key", "doc_id", "text_hash", F.explode(F.arrays_zip("run", "at", "para")).alias("x")).select("row_key", "doc_id", "text_hash", "x.*")
+    ends = each.groupBy("run").agg(F.min(place("at", "para")).alias("stays"), F.max(place("at", "para")).alias("last"))
+    away = F.expr("not (last.doc_id <=> stays.doc_id and last.text_hash = stays.text_hash)")
+    ends = ends.where(away | (F.col("last.at") - F.col("stays.at") >= min_words)).select("run", "stays")
+    own = F.expr("doc_id <=> stays.doc_id and text_hash = stays.text_hash")
+    removed = ~own | (F.col("at") - F.col("stays.at") >= min_words)
+    marked = each.join(ends, "run").where(removed | (own & (F.col("at") == F.col("stays.at"))))
+    marked = marked.groupBy("row_key").agg(F.collect_list(F.struct("at", removed.alias("removed"), F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"))).alias("marks"))
     schema = pa.schema(list(SPAN.items()))
-    near = Window.partitionBy("low")
-    common_ = prints(docs, min_words).select("row_key", "low", F.min("row_key").over(near).alias("a"), F.max("row_key").over(near).alias("z")).where("a <> z")
-    lows = common_.groupBy("row_key").agg(F.collect_set("low").alias("lows"))
-    found = runs(docs.join(lows, "row_key").select("doc_id", "text_hash", "text", "lows"), min_words).repartition("low")
-    found = found.select("low", "doc_id", "text_hash", F.col("at").alias("place"), F.posexplode(F.arrays_zip("run", "para", "start_char", "end_char")).alias("k", "x"))
-    found = found.select("low", "doc_id", "text_hash", "place", (F.col("place") + F.col("k")).alias("at"), "x.*", F.xxhash64("doc_id", "text_hash").alias("row_key"))
-    same = Window.partitionBy("low", "run")  # equal runs have equal minima: no shuffle beyond that by minimum
-    order = same.orderBy(F.col("doc_id").asc_nulls_last(), "text_hash", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = found.select("*", F.first(F.struct("row_key", "doc_id", "para")).over(order).alias("stays"), F.min("row_key").over(same).alias("a"), F.max("row_key").over(same).alias("z")).where("a <> z")
-    start = F.min(F.struct("at", "para", "start_char", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"))).alias("start")
-    found = found.groupBy("low", "row_key", "doc_id", "text_hash", "place", (F.col("row_key") != F.col("stays.row_key")).alias("removed")).agg(start, F.max(F.struct("at", "end_char")).alias("end"))
-    own = F.struct("start.*", F.col("end.at").alias("last"), F.col("end.end_char").alias("end_char"))
-    rows = found.groupBy("row_key", "doc_id", "text_hash", "removed").agg(F.collect_list(own).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, out = b.column("runs"), []
-            for k, (key, doc, text_hash, removed) in enumerate(zip(*(b.column(c).to_pylist() for c in ("row_key", "doc_id", "text_hash", "removed")), strict=True)):
-                x = lists[k].values
-                at = x.field("at").to_numpy()
-                sort = np.argsort(at, kind="stable")
-                para, start, end, stays, final = (x.field(c).to_numpy(zero_copy_only=False)[sort] for c in ("para", "start_char", "end_char", "class_para", "last"))
-                at = at[sort]
-                first = np.flatnonzero(np.r_[True, at[1:] - final[:-1] > min_words])
-                last = np.r_[first[1:], len(at)] - 1
-                stays_id = x.field("class_doc_id").take(pa.array(sort[first])).to_pylist()
-                for i, j, d in zip(first.tolist(), last.tolist(), stays_id, strict=True):
-                    out.append((key, doc, text_hash, int(para[i]), int(start[i]), int(end[j]), int(final[j] - at[i]) + min_words, d, int(stays[i]), removed))
+            out = []
+            for k, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("row_key", "doc_id", "text_hash")), strict=True)):
+                at, para, start, end = (b.column(c)[k].values.to_numpy() for c in ("at", "para", "start_char", "end_char"))
+                marks = b.column("marks")[k].values
+                place_, gone = marks.field("at").to_numpy(), marks.field("removed").to_numpy(zero_copy_only=False)
+                for removed in (False, True):
+                    own = np.flatnonzero(gone == removed)
+                    own = own[np.argsort(place_[own], kind="stable")]
+                    x = place_[own]
+                    heads = np.flatnonzero(np.r_[True, np.diff(x) > min_words][: len(x)])
+                    tails = np.r_[heads[1:], len(x)][: len(heads)] - 1
+                    i, j = np.searchsorted(at, x[heads]), np.searchsorted(at, x[tails])
+                    classes = marks.take(pa.array(own[heads])).to_pylist()
+                    out += [(*key, int(para[f]), int(start[f]), int(end[t]), int(at[t] - at[f]) + min_words, c["class_doc_id"], c["class_para"], removed) for f, t, c in zip(i, j, classes, strict=True)]
             yield common.batch(schema, **dict(zip(schema.names, zip(*out, strict=True) if out else [[]] * 10, strict=True)))
 
-    return rows.mapInArrow(run, SPAN_DDL)
+    return found.select("row_key", "doc_id", "text_hash", "at", "para", "start_char", "end_char").join(marked, "row_key").mapInArrow(run, SPAN_DDL)
 
 
 def repeated(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash, para (line), start_char, end_char, n_words, class_doc_id and class_para (the occurrence that stays), removed."""
+    """doc_id, text_hash, para (line), start_char, end_char, n_words, class_doc_id and class_para (the place that stays), removed."""
     common.small_batches(docs.sparkSession)
     bands, rows = neardup.tuned(percent, miss=2e-5, most=16)  # unlike paragraphs share no shingles, so few rows do
     hashes = -(-bands * rows // neardup.BATCH) * neardup.BATCH
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).withColumn("row_key", F.xxhash64("doc_id", "text_hash"))
-    found = common.stored(found_paragraphs(docs, min_words, hashes), "paragraphs")
-    label = neardup.links(found.select("id", "sig"), bodies(docs, min_words), percent, bands, rows, lambda: neardup.jaccard_at_least(percent))
-    places = found.drop("sig").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    places = common.stored(places, "places")
-    common.dropped(docs.sparkSession, found)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "para", "row_key")
-    classes = places.groupBy("label").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high"), F.min(order).alias("stays")).where("low <> high")
-    out = places.join(classes.select("label", "stays"), "label")
-    lines = out.select("row_key", "doc_id", "text_hash", "para", "start_char", "end_char", "n_words", F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"), (~F.expr("row_key = stays.row_key and para = stays.para")).alias("removed"))
-    lines = common.stored(lines, "lines")
-    given = lines.select("row_key", "removed", F.col("start_char").alias("line_start"), F.col("end_char").alias("line_end")).distinct()
-    spans = passages(docs, min_words)
-    spans = spans.join(given, (spans["row_key"] == given["row_key"]) & (spans["start_char"] >= F.col("line_start")) & (spans["end_char"] <= F.col("line_end")) & (given["removed"] | ~spans["removed"]), "left_anti")
-    return lines.unionByName(spans).drop("row_key")
+    found = common.stored(digests(docs, min_words, hashes), "digests")
+    span = ["row_key", "doc_id", "text_hash", "para", "start_char", "end_char", "n_words"]
+
+    # Whole documents
+    whole = found.groupBy("same").agg(F.min(place("row_key", "para")).alias("stays"), F.max(place("row_key")).alias("last")).select("same", "stays", (F.col("stays.row_key") != F.col("last.row_key")).alias("many"))
+    all_ = found.join(whole, "same").withColumn("removed", F.col("row_key") != F.col("stays.row_key"))
+    copies = all_.where("many").select(*span, F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"), "removed").distinct()
+    firsts = common.stored(all_.where("not removed").select("row_key", "doc_id", "text_hash", "lines", "lows"), "firsts")
+
+    # Lines
+    lines = firsts.select("row_key", "doc_id", "text_hash", F.explode("lines").alias("line")).select("row_key", "doc_id", "text_hash", "line.*")
+    bodies = docs.join(firsts.where("size(lines) > 0").select("row_key"), "row_key", "left_semi")
+    label = neardup.links(lines.select("id", "sig"), line_texts(bodies, min_words), percent, bands, rows, lambda: neardup.jaccard_at_least(percent))
+    places = common.stored(lines.drop("sig").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "places")
+    order = place("para", "row_key")
+    classes = places.groupBy("label").agg(F.min(order).alias("stays"), F.max(order).alias("last")).where("stays <> last").select("label", "stays")
+    kept = F.expr("row_key = stays.row_key and para = stays.para")
+    lines = common.stored(places.join(classes, "label").select(*span, F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"), (~kept).alias("removed")).distinct(), "lines")
+
+    # Passages
+    given = lines.select("row_key", F.col("removed").alias("gone"), F.col("start_char").alias("line_start"), F.col("end_char").alias("line_end"))
+    spans = passages(docs, firsts, min_words).alias("s")
+    inside = F.expr("s.row_key = g.row_key and s.start_char >= g.line_start and s.end_char <= g.line_end and (g.gone or not s.removed)")
+    spans = spans.join(given.alias("g"), inside, "left_anti")
+    return copies.unionByName(lines).unionByName(spans).drop("row_key")
+
+
+def line_texts(docs: DataFrame, min_words: int) -> DataFrame:
+    """id and text of the long lines."""
+    schema = pa.schema([("id", pa.string()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = Marked(common.raw_texts(b.column("text")))
+            _, start, end, one, two = (x.tolist() for x in m.lines(min_words))
+            yield common.batch(schema, id=[sequence_hash(m.words[i:j]) for i, j in zip(one, two, strict=True)], text=pa.array([m.text[i:j] for i, j in zip(start, end, strict=True)], pa.binary()).cast(pa.string()))
+
+    return docs.mapInArrow(run, "id string, text string")
 
 
 def without_repeats(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
