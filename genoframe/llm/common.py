@@ -34,22 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: later steps don't run its plan again."""
+    """df written as Parquet in the shared folder and read back: later steps don't run its plan again.
+
+    The plan's shuffle files go once the driver's garbage is collected, which is asked for here, else they'd pile up on the executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _left.setdefault(spark.sparkContext.applicationId, []).append(path)
     atexit.register(_sweep, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_left: dict[str, list[str]] = {}
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table that stored() wrote; it must not be read afterwards."""
-    for name in df.inputFiles()[:1]:
-        _sweep(spark, name.rsplit("/", 1)[0])
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that stored() gave back; they must not be read afterwards."""
+    for df in tables:
+        _sweep(df.sparkSession, df.stored_at)
 
 
 def _sweep(spark: SparkSession, path: str) -> None:

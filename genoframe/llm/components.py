@@ -25,7 +25,7 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
         small = large.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(near.select("u", F.col("m").alias("v")))
         new = common.stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        common.dropped(edges.sparkSession, edges)
+        common.dropped(edges)
         edges = new
         if now == before or now[0] == 0:
             break

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +21,20 @@ from pyspark.sql import functions as F
 from genoframe.llm import common, neardup
 
 
-def sequence_hash(words: list[bytes]) -> str | None:
-    return xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else None
+def sequence_hash(words: list[bytes]) -> bytes | None:
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
 
 
-def classes(docs: DataFrame, hashes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, same (hash of the lower-cased word sequence; null without words), n_shingles, sig."""
-    common.small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.string()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """row_key, doc_id, text: equal rows have equal keys."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("row_key"), "doc_id", "text")
+
+
+def classes(rows: DataFrame, hashes: int) -> DataFrame:
+    """row_key, doc_id, same (hash of the lower-cased word sequence; null without words), n_shingles, sig."""
+    common.small_batches(rows.sparkSession)
+    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("same", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -40,54 +45,40 @@ def classes(docs: DataFrame, hashes: int, key: str = "doc_id", text: str = "text
             n, sig = np.zeros(len(words), np.int64), [b""] * len(words)
             for k, own, low in zip(some.tolist(), np.split(rows, starts[1:]), neardup.signatures(rows, starts, hashes), strict=True) if len(some) else ():
                 n[k], sig[k] = len(np.unique(own)), low.tobytes()
-            yield common.batch(schema, doc_id=b.column("doc_id"), same=[sequence_hash(x) for x in words], n_shingles=n, sig=sig)
+            yield common.batch(schema, row_key=b.column("row_key"), doc_id=b.column("doc_id"), same=[sequence_hash(x) for x in words], n_shingles=n, sig=sig)
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, same string, n_shingles long, sig binary")
+    return rows.mapInArrow(run, "row_key long, doc_id long, same binary, n_shingles long, sig binary")
 
 
-def _labelled(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
-    """doc_id, same, label (null without words) of every row: the component of its word sequence."""
-    bands, rows = neardup.tuned(percent)
-    hashes = -(-bands * rows // neardup.BATCH) * neardup.BATCH
-    all_ = common.stored(classes(docs, hashes, key, text), "classes")
-    body = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_named, "id string, text string")
-    label = neardup.links(all_.where("same is not null").select(F.col("same").alias("id"), "sig"), body, percent, bands, rows, lambda: neardup.jaccard_at_least(percent))
-    return all_.select("doc_id", "same").join(label, F.col("same") == F.col("id"), "left").select("doc_id", "same", F.coalesce("label", "same").alias("label"))
+def _labelled(rows: DataFrame, percent: int) -> DataFrame:
+    """row_key, doc_id, same, n_shingles, label (null without words) of every row: the component of its word sequence."""
+    bands, size = neardup.tuned(percent)
+    hashes = -(-bands * size // neardup.BATCH) * neardup.BATCH
+    all_ = common.stored(classes(rows, hashes), "classes")
+
+    def bodies(wanted: DataFrame) -> DataFrame:
+        one = all_.withColumnRenamed("same", "id").join(wanted, "id").groupBy("id").agg(F.min("row_key").alias("row_key"))
+        return rows.join(one, "row_key").select("id", "text")
+
+    label = neardup.links(all_.where("same is not null").select(F.col("same").alias("id"), "sig"), bodies, percent, bands, size, lambda: neardup.jaccard_at_least(percent))
+    return all_.drop("sig").join(label, F.col("same") == F.col("id"), "left").withColumn("label", F.coalesce("label", "same")).drop("id")
 
 
 def copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id and text_hash of the rows to remove: of each component the row with the least (doc_id, nulls last; text_hash) stays."""
-    own = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = common.stored(_labelled(own, percent, "row_key", "text").where("same is not null").select(F.col("doc_id").alias("row_key"), "label").distinct(), "copies")
-    named = rows.join(own.select("row_key", "doc_id", "text_hash").distinct(), "row_key")
+    own = keyed(docs)
+    rows = common.stored(_labelled(own, percent).where("same is not null").select("row_key", "label").distinct(), "copies")
+    named = rows.join(own.select("row_key", "doc_id", F.xxhash64("text").alias("text_hash")).distinct(), "row_key")
     stays = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_key")).alias("stays"))
     return named.join(stays, "label").where("row_key <> stays.row_key").select("doc_id", "text_hash")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, for links at a Jaccard similarity of percent / 100 or more."""
-    bands, rows = neardup.tuned(percent)
-    hashes = -(-bands * rows // neardup.BATCH) * neardup.BATCH
-    all_ = common.stored(classes(docs, hashes, key, text), "classes")
-    body = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_named, "id string, text string")
-    items = all_.where("same is not null").select(F.col("same").alias("id"), "sig")
-    label = neardup.links(items, body, percent, bands, rows, lambda: neardup.jaccard_at_least(percent))
-    firsts = all_.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("first"))
-    named = firsts.join(label, firsts["same"] == label["id"], "left").select("same", "first", F.coalesce("label", "same").alias("label"))
-    lowest = common.stored(named, "named")
-    least = lowest.groupBy("label").agg(F.min("first").alias("component_id"))
-    found = all_.select("doc_id", "same", "n_shingles").join(lowest.join(least, "label").select("same", "component_id"), "same", "left")
+    found = common.stored(_labelled(keyed(docs, key, text), percent), "labelled")
+    least = found.where("same is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     component = F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
-
-
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.string()), ("text", pa.string())])
-    for b in batches:
-        b = b.filter(pc.greater(pc.fill_null(pc.binary_length(b.column("text")), 0), 0))
-        words = [neardup.words_of(x) for x in common.raw_texts(b.column("text"))]
-        yield common.batch(schema, id=[sequence_hash(x) for x in words], text=b.column("text"))
+    return found.join(least, "label", "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

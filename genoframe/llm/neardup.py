@@ -175,7 +175,7 @@ def sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.uint32).reshape(len(raw), -1) if raw else np.zeros((0, BATCH), np.uint32)
 
 
-PAIR = pa.schema([("a", pa.string()), ("b", pa.string())])
+PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def verified(pairs: DataFrame, check: Callable[[], Callable[[str, str], bool]], percent: int, miss: float) -> DataFrame:
@@ -190,36 +190,39 @@ def verified(pairs: DataFrame, check: Callable[[], Callable[[str, str], bool]],
             x = x.filter(pa.array(good, pa.bool_()))
             yield common.batch(PAIR, a=x.column("a"), b=x.column("b"))
 
-    return pairs.mapInArrow(run, "a string, b string")
+    return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def links(items: DataFrame, bodies: DataFrame, percent: int, bands: int, rows: int, check: Callable[[], Callable[[str, str], bool]], miss: float = 1e-6) -> DataFrame:
+def links(items: DataFrame, bodies: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, check: Callable[[], Callable[[str, str], bool]], miss: float = 1e-6) -> DataFrame:
     """(id, label) for the items that are linked with another: components of the links that were found and verified.
 
-    items: id (string), sig, any number of equal rows an id. bodies: id, text, at least one row for each id. check makes the exact test of two texts."""
-    spark = items.sparkSession
-    schema = pa.schema([("id", pa.string()), ("band", pa.list_(pa.int64()))])
+    items: id (binary), sig, any number of equal rows an id. bodies gives (id, text), at least one row for each id of a table of ids. check makes
+    the exact test of two texts."""
+    schema = pa.schema([("id", pa.binary()), ("band", pa.list_(pa.int64()))])
 
     def bands_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield common.batch(schema, id=b.column("id"), band=list(band_keys(sigs(b.column("sig")), bands, rows)))
+            keys = band_keys(sigs(b.column("sig")), bands, rows)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), bands).cast(schema.field("band").type)], schema=schema)
 
-    every = items.dropDuplicates(["id"]).mapInArrow(bands_of, "id string, band array<long>").select("id", F.explode("band").alias("bucket"))
+    every = items.dropDuplicates(["id"]).mapInArrow(bands_of, "id binary, band array<long>").select("id", F.explode("band").alias("bucket"))
     every = common.stored(every, "bands")
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = common.stored(every.join(shared, "bucket"), "members")
-    common.dropped(spark, every)
+    common.dropped(every)
     wanted = members.select("id").distinct()
-    one = bodies.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    one = bodies(wanted).groupBy("id").agg(F.first("text").alias("text"))
     texts = common.stored(one.join(items.dropDuplicates(["id"]), "id").select("id", "text", "sig"), "candidates")
     first = common.stored(verified(_meet(members.withColumn("label", F.col("id")), texts, 0), check, percent, miss), "links")
     label = first.alias("x").join(first.alias("y"), F.col("x.b") == F.col("y.a"), "left").select(F.col("x.a").alias("id"), F.coalesce("y.b", "x.b").alias("label"))
     open_ = common.stored(_open(members, label), "open")
     second = common.stored(verified(_meet(open_, texts, 1), check, percent, miss), "links")
     moved = second.join(open_.select(F.col("id").alias("b"), "label").distinct(), "b").select(F.col("a").alias("id"), F.col("label").alias("to"))
-    open_ = open_.join(moved, "id", "left").select("bucket", "id", F.coalesce("to", "label").alias("label"))
-    last = _blocks(common.stored(_unsettled(open_), "open"), texts, check, percent, bands, rows, miss)
-    return components(first.unionByName(second).unionByName(last))
+    rest = common.stored(_unsettled(open_.join(moved, "id", "left").select("bucket", "id", F.coalesce("to", "label").alias("label"))), "open")
+    last = _blocks(rest, texts, check, percent, bands, rows, miss)
+    out = components(first.unionByName(second).unionByName(last))
+    common.dropped(members, texts, open_, rest, first, second)
+    return out
 
 
 def salted(members: DataFrame, by_bucket: DataFrame) -> DataFrame:
@@ -256,37 +259,52 @@ def _blocks(open_: DataFrame, texts: DataFrame, check: Callable, percent: int, b
     copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "label")
     full = copies.join(texts, "id").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "label")
 
-    def linked(rows_: list[tuple], test: Callable[[str, str], bool]) -> Iterator[tuple[str, str]]:
-        """Links that join components among the rows of one pair of blocks."""
-        bucket, p, q = rows_[0][:3]
-        own, sig = np.array([r[3] for r in rows_]), np.stack([r[7] for r in rows_])
-        keys, root = band_keys(sig, bands, rows), np.unique([r[5] for r in rows_], return_inverse=True)[1]
-        later = np.arange(len(rows_))
-        for a in range(0, len(rows_) - 1, step := max(1, 8192 // len(rows_))):
-            i, j = np.nonzero(later[None, :] > later[a : a + step, None])
-            i += a
-            ok = root[i] != root[j] if p == q else (root[i] != root[j]) & (own[i] != own[j])
+    def linked(groups: list[list[tuple]], test: Callable[[str, str], bool]) -> Iterator[tuple[bytes, bytes]]:
+        """Links that join components within each pair of blocks. Pairs of all groups are sifted together; groups of one batch, a large one alone."""
+        flat = [r for g in groups for r in g]
+        sig = np.stack([r[7] for r in flat])
+        keys, bucket, own = band_keys(sig, bands, rows), np.array([r[0] for r in flat]), np.array([r[3] for r in flat])
+        both = np.array([r[1] == r[2] for r in flat])  # p = q: all pairs of the block
+        root = np.unique([b"%d " % k + r[5] for k, g in enumerate(groups) for r in g], return_inverse=True)[1]
+
+        def tested(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+            ok = (root[i] != root[j]) & (both[i] | (own[i] != own[j]))
             i, j = i[ok], j[ok]
             same = keys[i] == keys[j]
-            ok = keys[i, same.argmax(1)] == bucket  # else a band before this one has the pair
+            ok = keys[i, same.argmax(1)] == bucket[i]  # else a band before this one has the pair
             i, j = i[ok], j[ok]
             ok = plausible(sig[i], sig[j], percent, miss)
             for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                if root[x] != root[y] and test(rows_[x][6], rows_[y][6]):
+                if root[x] != root[y] and test(flat[x][6], flat[y][6]):
                     root[root == root[y]] = root[x]
-                    yield rows_[x][4], rows_[y][4]
+                    yield flat[x][4], flat[y][4]
+
+        at, held, size = 0, [], 0
+        for g in groups:
+            later = np.arange(at, at + len(g))
+            at += len(g)
+            for a in range(0, len(g) - 1, step := max(1, 8192 // len(g))):
+                i, j = np.nonzero(later[None, :] > later[a : a + step, None])
+                held.append((i + later[a], j + later[0]))
+                size += len(i)
+                if size >= 8192:
+                    yield from tested(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield from tested(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test, held = check(), []
+        test, groups = check(), []
         for b in batches:
-            out = []
             for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "p", "q", "own", "id", "label", "text")), sigs(b.column("sig")), strict=True):
-                if held and held[0][:3] != r[:3]:
-                    out += linked(held, test)
-                    held = []
-                held.append(r)
+                if groups and groups[-1][0][:3] == r[:3]:
+                    groups[-1].append(r)
+                else:
+                    groups.append([r])
+            done, groups = groups[:-1], groups[-1:]
+            out = list(linked(done, test)) if done else []
             yield common.batch(PAIR, a=[x for x, _ in out], b=[x for _, x in out])
-        out = list(linked(held, test)) if held else []
+        out = list(linked(groups, test)) if groups else []
         yield common.batch(PAIR, a=[x for x, _ in out], b=[x for _, x in out])
 
-    return full.mapInArrow(run, "a string, b string")
+    return full.mapInArrow(run, "a binary, b binary")

@@ -96,8 +96,8 @@ def grams(h: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-LINE = {"para": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(), "n_words": pa.int32(), "id": pa.string(), "sig": pa.binary()}
-LINE_DDL = "para int, start_char int, end_char int, n_words int, id string, sig binary"
+LINE = {"para": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(), "n_words": pa.int32(), "id": pa.binary(), "sig": pa.binary()}
+LINE_DDL = "para int, start_char int, end_char int, n_words int, id binary, sig binary"
 
 
 def digests(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
@@ -105,7 +105,7 @@ def digests(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
     of its runs, each with whether it occurs at two places that may not overlap."""
     lows = pa.list_(pa.struct([("low", pa.int64()), ("twice", pa.bool_())]))
     schema = pa.schema([
-        ("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("same", pa.string()), ("n_words", pa.int32()), ("para", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()),
+        ("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("same", pa.binary()), ("n_words", pa.int32()), ("para", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()),
         ("lines", pa.list_(pa.struct(list(LINE.items())))), ("lows", lows),
     ])
 
@@ -133,41 +133,48 @@ def digests(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
             full = np.flatnonzero(size >= min_words)
             from_, to = m.starts[m.first[full]], m.ends[m.first[full + 1] - 1]
             out = pa.RecordBatch.from_arrays([
-                *(b.column(c).take(pa.array(full)) for c in ("row_key", "doc_id", "text_hash")), pa.array([sequence_hash(m.words[m.first[k] : m.first[k + 1]]) for k in full], pa.string()),
+                *(b.column(c).take(pa.array(full)) for c in ("row_key", "doc_id", "text_hash")), pa.array([sequence_hash(m.words[m.first[k] : m.first[k + 1]]) for k in full], pa.binary()),
                 pa.array(size[full], pa.int32()), pa.array(m.line_of(from_, full), pa.int32()), pa.array(m.char(from_, full), pa.int32()), pa.array(m.char(to, full), pa.int32()),
                 lists(lines, doc, n, schema.field("lines").type).take(pa.array(full)), lists(own, owner_[heads], n, lows).take(pa.array(full)),
             ], schema=schema)
             yield out
 
-    return docs.mapInArrow(run, f"row_key long, doc_id long, text_hash long, same string, n_words int, para int, start_char int, end_char int, lines array<struct<{LINE_DDL.replace(' ', ': ').replace(',:', ',')}>>, lows array<struct<low: long, twice: boolean>>")
+    return docs.mapInArrow(run, f"row_key long, doc_id long, text_hash long, same binary, n_words int, para int, start_char int, end_char int, lines array<struct<{LINE_DDL.replace(' ', ': ').replace(',:', ',')}>>, lows array<struct<low: long, twice: boolean>>")
 
 
-RUNS = {"at": pa.int32(), "run": pa.int64(), "para": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32()}
+RUNS = {"at": pa.int32(), "para": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(), "slot": pa.int32(), "run": pa.int64()}
 
 
 def runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """For each row of docs (identity, text, lows) the runs whose minimum is among lows: place in words, hash, line of the first word, characters from and to."""
-    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), *((c, pa.list_(t)) for c, t in RUNS.items())])
+    """For each row of docs (ord, text, lows) the runs whose minimum is among lows: place in words, line of the first word, characters from and
+    to, and slot: the run's number among the row's distinct runs, whose hashes are in run."""
+    schema = pa.schema([("ord", pa.int64()), *((c, pa.list_(t)) for c, t in RUNS.items())])
 
-    def some(raw: bytes, lows: list[int]) -> list[list]:
-        m = Marked([raw])
-        at, low = m.runs(min_words)
-        at = at[np.isin(low, np.array(lows, np.int64))]
-        starts, ends, doc = m.starts[at], m.ends[at + min_words - 1], np.zeros(len(at), np.int64)
-        return [[x] for x in (at, grams(m.h, min_words)[at].view(np.int64), m.line_of(starts, doc), m.char(starts, doc), m.char(ends, doc))]
+    def lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [b.column(c) for c in ("row_key", "doc_id", "text_hash")]
-            for k, (raw, lows) in enumerate(zip(common.raw_texts(b.column("text")), b.column("lows").to_pylist(), strict=True)):
-                lists = [pa.array(x, schema.field(c).type) for c, x in zip(RUNS, some(raw, lows), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(x.slice(k, 1) for x in keys), *lists], schema=schema)
+            m, n, lows = Marked(common.raw_texts(b.column("text"))), len(b), b.column("lows")
+            at, low = m.runs(min_words)
+            owner = np.searchsorted(m.first, at, "right") - 1
+            ends = np.searchsorted(owner, np.arange(n + 1))
+            use = np.concatenate([np.zeros(0, bool), *(np.isin(low[ends[k] : ends[k + 1]], lows[k].values.to_numpy()) for k in range(n))])
+            at, owner = at[use], owner[use]
+            run_ = grams(m.h, min_words)[at].view(np.int64)
+            order = np.lexsort((run_, owner))
+            heads = np.r_[True, (np.diff(run_[order]) != 0) | (np.diff(owner[order]) != 0)][: len(order)]
+            own, place_ = order[heads], np.cumsum(heads) - 1
+            slot = np.empty(len(order), np.int64)
+            slot[order] = place_ - np.searchsorted(owner[own], owner[order])
+            starts, stops = m.starts[at], m.ends[at + min_words - 1]
+            parts = [at - m.first[owner], m.line_of(starts, owner), m.char(starts, owner), m.char(stops, owner), slot]
+            yield pa.RecordBatch.from_arrays([b.column("ord"), *(lists(x, owner, n, t) for x, t in zip(parts, RUNS.values(), strict=False)), lists(run_[own], owner[own], n, pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "row_key long, doc_id long, text_hash long, at array<int>, run array<long>, para array<int>, start_char array<int>, end_char array<int>")
+    return docs.mapInArrow(run, "ord long, at array<int>, para array<int>, start_char array<int>, end_char array<int>, slot array<int>, run array<long>")
 
 
-SPAN = {"row_key": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "para": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(), "n_words": pa.int32(), "class_doc_id": pa.int64(), "class_para": pa.int32(), "removed": pa.bool_()}
-SPAN_DDL = "row_key long, doc_id long, text_hash long, para int, start_char int, end_char int, n_words int, class_doc_id long, class_para int, removed boolean"
+SPAN = {"ord": pa.int64(), "para": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(), "n_words": pa.int32(), "class_ord": pa.int64(), "removed": pa.bool_()}
 
 
 def place(*more: str) -> F.Column:
@@ -176,44 +183,55 @@ def place(*more: str) -> F.Column:
 
 
 def passages(docs: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
-    """Spans of a document's overlapping runs that stay, and of those that are removed; the class is that of a span's first run."""
+    """Spans of a document's overlapping runs that stay, and of those that are removed; the class is that of a span's first run.
+
+    firsts: row_key, doc_id, text_hash, lows. Documents with a shared minimum are numbered in their order (ord): numbers combine before shuffles."""
     lows = firsts.select("row_key", F.explode("lows").alias("x")).select("row_key", "x.*")
     shared = lows.groupBy("low").agg(F.min("row_key").alias("a"), F.max("row_key").alias("z"), F.max("twice").alias("twice")).where("a <> z or twice").select("low")
     wanted = lows.join(shared, "low").groupBy("row_key").agg(F.collect_set("low").alias("lows"))
-    found = common.stored(runs(docs.join(wanted, "row_key").dropDuplicates(["row_key"]), min_words), "runs")
-    each = found.select("row_key", "doc_id", "text_hash", F.explode(F.arrays_zip("run", "at", "para")).alias("x")).select("row_key", "doc_id", "text_hash", "x.*")
-    ends = each.groupBy("run").agg(F.min(place("at", "para")).alias("stays"), F.max(place("at", "para")).alias("last"))
-    away = F.expr("not (last.doc_id <=> stays.doc_id and last.text_hash = stays.text_hash)")
-    ends = ends.where(away | (F.col("last.at") - F.col("stays.at") >= min_words)).select("run", "stays")
-    own = F.expr("doc_id <=> stays.doc_id and text_hash = stays.text_hash")
-    removed = ~own | (F.col("at") - F.col("stays.at") >= min_words)
-    marked = each.join(ends, "run").where(removed | (own & (F.col("at") == F.col("stays.at"))))
-    marked = marked.groupBy("row_key").agg(F.collect_list(F.struct("at", removed.alias("removed"), F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"))).alias("marks"))
+    wanted = wanted.join(firsts.select("row_key", "doc_id", "text_hash").dropDuplicates(["row_key"]), "row_key").orderBy(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    wanted = common.stored(wanted.withColumn("ord", F.monotonically_increasing_id()), "wanted")
+    found = common.stored(runs(docs.join(wanted.select("row_key", "ord", "lows"), "row_key").select("ord", "text", "lows").dropDuplicates(["ord"]), min_words), "runs")
+    each = found.select("ord", F.posexplode("run").alias("k", "run"))
+    ends = each.groupBy("run").agg(F.min("ord").alias("stays"), F.max("ord").alias("last")).where("stays < last").select("run", "stays")
+    marks = each.join(ends, "run").groupBy("ord").agg(F.collect_list(F.struct("k", "stays")).alias("marks"))
     schema = pa.schema(list(SPAN.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for k, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("row_key", "doc_id", "text_hash")), strict=True)):
-                at, para, start, end = (b.column(c)[k].values.to_numpy() for c in ("at", "para", "start_char", "end_char"))
-                marks = b.column("marks")[k].values
-                place_, gone = marks.field("at").to_numpy(), marks.field("removed").to_numpy(zero_copy_only=False)
-                for removed in (False, True):
-                    own = np.flatnonzero(gone == removed)
-                    own = own[np.argsort(place_[own], kind="stable")]
-                    x = place_[own]
-                    heads = np.flatnonzero(np.r_[True, np.diff(x) > min_words][: len(x)])
-                    tails = np.r_[heads[1:], len(x)][: len(heads)] - 1
-                    i, j = np.searchsorted(at, x[heads]), np.searchsorted(at, x[tails])
-                    classes = marks.take(pa.array(own[heads])).to_pylist()
-                    out += [(*key, int(para[f]), int(start[f]), int(end[t]), int(at[t] - at[f]) + min_words, c["class_doc_id"], c["class_para"], removed) for f, t, c in zip(i, j, classes, strict=True)]
-            yield common.batch(schema, **dict(zip(schema.names, zip(*out, strict=True) if out else [[]] * 10, strict=True)))
-
-    return found.select("row_key", "doc_id", "text_hash", "at", "para", "start_char", "end_char").join(marked, "row_key").mapInArrow(run, SPAN_DDL)
+            for k, doc in enumerate(b.column("ord").to_pylist()):
+                at, para, start, end, slot = (b.column(c)[k].values.to_numpy() for c in list(RUNS)[:5])
+                if not len(at):
+                    continue
+                stays, own = np.full(slot.max() + 1, -1, np.int64), b.column("marks")[k]
+                if own.is_valid:
+                    stays[own.values.field("k").to_numpy()] = own.values.field("stays").to_numpy()
+                first = np.full(len(stays), -1, np.int64)
+                first[slot[::-1]] = at[::-1]
+                again = at - first[slot] >= min_words
+                twice = np.zeros(len(stays), bool)
+                twice[slot[again]] = True
+                earlier = (stays[slot] >= 0) & (stays[slot] < doc)
+                gone = earlier | again
+                kept = ~gone & (at == first[slot]) & ((stays[slot] == doc) | twice[slot])
+                for removed, those in ((False, kept), (True, gone)):
+                    x = np.flatnonzero(those)
+                    i = x[np.r_[True, np.diff(at[x]) > min_words][: len(x)]]
+                    j = x[np.r_[np.diff(at[x]) > min_words, True][: len(x)]]
+                    classes = np.where(earlier[i], stays[slot[i]], doc)
+                    out += zip([doc] * len(i), para[i].tolist(), start[i].tolist(), end[j].tolist(), (at[j] - at[i] + min_words).tolist(), classes.tolist(), [removed] * len(i), strict=True)
+            yield common.batch(schema, **dict(zip(schema.names, zip(*out, strict=True) if out else [[]] * 7, strict=True)))
+
+    spans = found.drop("run").join(marks, "ord", "left").mapInArrow(run, "ord long, para int, start_char int, end_char int, n_words int, class_ord long, removed boolean")
+    spans = spans.join(wanted.select("ord", "row_key", "doc_id", "text_hash"), "ord").join(wanted.select(F.col("ord").alias("class_ord"), F.col("doc_id").alias("class_doc_id")), "class_ord")
+    out = common.stored(spans.select("row_key", "doc_id", "text_hash", "para", "start_char", "end_char", "n_words", "class_doc_id", "removed"), "spans")
+    common.dropped(wanted, found)
+    return out
 
 
 def repeated(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash, para (line), start_char, end_char, n_words, class_doc_id and class_para (the place that stays), removed."""
+    """doc_id, text_hash, para (line), start_char, end_char, n_words, class_doc_id (document of the place that stays), removed."""
     common.small_batches(docs.sparkSession)
     bands, rows = neardup.tuned(percent, miss=2e-5, most=16)  # unlike paragraphs share no shingles, so few rows do
     hashes = -(-bands * rows // neardup.BATCH) * neardup.BATCH
@@ -222,40 +240,45 @@ def repeated(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, key
     span = ["row_key", "doc_id", "text_hash", "para", "start_char", "end_char", "n_words"]
 
     # Whole documents
-    whole = found.groupBy("same").agg(F.min(place("row_key", "para")).alias("stays"), F.max(place("row_key")).alias("last")).select("same", "stays", (F.col("stays.row_key") != F.col("last.row_key")).alias("many"))
-    all_ = found.join(whole, "same").withColumn("removed", F.col("row_key") != F.col("stays.row_key"))
-    copies = all_.where("many").select(*span, F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"), "removed").distinct()
-    firsts = common.stored(all_.where("not removed").select("row_key", "doc_id", "text_hash", "lines", "lows"), "firsts")
+    whole = found.groupBy("same").agg(F.min(place("row_key")).alias("stays"), F.max(place("row_key")).alias("last")).where("stays.row_key <> last.row_key").select("same", "stays")
+    copies = common.stored(found.select("same", *span).join(whole, "same").select(*span, F.col("stays.doc_id").alias("class_doc_id"), (F.col("row_key") != F.col("stays.row_key")).alias("removed")).distinct(), "copies")
+    others = copies.where("removed").select("row_key")
+    firsts = lambda *columns: found.select("row_key", "doc_id", "text_hash", *columns).join(others, "row_key", "left_anti")
 
     # Lines
-    lines = firsts.select("row_key", "doc_id", "text_hash", F.explode("lines").alias("line")).select("row_key", "doc_id", "text_hash", "line.*")
-    bodies = docs.join(firsts.where("size(lines) > 0").select("row_key"), "row_key", "left_semi")
-    label = neardup.links(lines.select("id", "sig"), line_texts(bodies, min_words), percent, bands, rows, lambda: neardup.jaccard_at_least(percent))
-    places = common.stored(lines.drop("sig").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "places")
+    bare = F.expr("transform(lines, x -> struct(x.para, x.start_char, x.end_char, x.n_words, x.id)) as lines")
+    places = firsts(bare).select("row_key", "doc_id", "text_hash", F.explode("lines").alias("line")).select("row_key", "doc_id", "text_hash", "line.*")
+    items = found.select(F.explode("lines").alias("line")).select("line.id", "line.sig")
+    label = neardup.links(items, lambda wanted: line_texts(docs, found, wanted), percent, bands, rows, lambda: neardup.jaccard_at_least(percent))
+    places = common.stored(places.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id"), "places")
     order = place("para", "row_key")
     classes = places.groupBy("label").agg(F.min(order).alias("stays"), F.max(order).alias("last")).where("stays <> last").select("label", "stays")
     kept = F.expr("row_key = stays.row_key and para = stays.para")
-    lines = common.stored(places.join(classes, "label").select(*span, F.col("stays.doc_id").alias("class_doc_id"), F.col("stays.para").alias("class_para"), (~kept).alias("removed")).distinct(), "lines")
+    lines = common.stored(places.join(classes, "label").select(*span, F.col("stays.doc_id").alias("class_doc_id"), (~kept).alias("removed")).distinct(), "lines")
+    common.dropped(places)
 
     # Passages
     given = lines.select("row_key", F.col("removed").alias("gone"), F.col("start_char").alias("line_start"), F.col("end_char").alias("line_end"))
-    spans = passages(docs, firsts, min_words).alias("s")
+    spans = passages(docs, firsts("lows"), min_words).alias("s")
+    common.dropped(found)
     inside = F.expr("s.row_key = g.row_key and s.start_char >= g.line_start and s.end_char <= g.line_end and (g.gone or not s.removed)")
     spans = spans.join(given.alias("g"), inside, "left_anti")
     return copies.unionByName(lines).unionByName(spans).drop("row_key")
 
 
-def line_texts(docs: DataFrame, min_words: int) -> DataFrame:
-    """id and text of the long lines."""
-    schema = pa.schema([("id", pa.string()), ("text", pa.string())])
+def line_texts(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and text of the wanted lines, each from one place; a document's lines are cut out together."""
+    lines = found.select("row_key", F.explode("lines").alias("x")).select("row_key", "x.id", "x.start_char", "x.end_char")
+    one = lines.join(wanted, "id").groupBy("id").agg(F.min(F.struct("row_key", "start_char", "end_char")).alias("x"))
+    cuts = one.groupBy("x.row_key").agg(F.collect_list(F.struct("id", "x.start_char", "x.end_char")).alias("cuts"))
+    schema = pa.schema([("id", pa.binary()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = Marked(common.raw_texts(b.column("text")))
-            _, start, end, one, two = (x.tolist() for x in m.lines(min_words))
-            yield common.batch(schema, id=[sequence_hash(m.words[i:j]) for i, j in zip(one, two, strict=True)], text=pa.array([m.text[i:j] for i, j in zip(start, end, strict=True)], pa.binary()).cast(pa.string()))
+            some = [(x["id"], t[x["start_char"] : x["end_char"]]) for t, cuts in zip(common.texts(b.column("text")), b.column("cuts").to_pylist(), strict=True) for x in cuts]
+            yield common.batch(schema, id=[x for x, _ in some], text=[x for _, x in some])
 
-    return docs.mapInArrow(run, "id string, text string")
+    return docs.join(cuts, "row_key").select("text", "cuts").mapInArrow(run, "id binary, text string")
 
 
 def without_repeats(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
