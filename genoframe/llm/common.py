@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: bound a Python worker's memory where texts are long.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
@@ -62,6 +63,11 @@ def _sweep(spark: SparkSession, path: str) -> None:
         return
 
 
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs without the rows of bad (doc_id, text_hash), which goes by a doc_id, null or not, and the hash of its text. docs may have any other columns."""
+    return docs.alias("d").join(bad.select("doc_id", "text_hash").distinct().alias("b"), F.expr("d.doc_id <=> b.doc_id and xxhash64(d.text) = b.text_hash"), "left_anti")
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

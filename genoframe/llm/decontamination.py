@@ -1,21 +1,22 @@
 """Operator 2, benchmark decontamination by template windows.
 
 Texts become canonical tokens: numbers, units and names are typed placeholders (slots), other words their lower-case
-letters. Windows of WINDOW tokens with at least LITERAL literal ones are hashed; those of the benchmark meet
+letters. Windows of WINDOW tokens with at least LITERAL literal ones are hashed as templates, windows richer in slots by their words as they
+are, and items shorter than a window (but of SHORTEST tokens or more) whole, by their words. The benchmark's meet
 those of all documents in a hash join. A bitmap of the benchmark's hashes, of one fixed size however large
 the benchmark, keeps most document windows from the shuffle; what passes it is joined exactly.
-For each document and item the windows of one alignment must replace each slot value consistently (one value always
-by the same one, and back); then the share of the item's tokens they cover decides. Equal slots make an exact
-leak, others a re-parameterised one.
+A document's windows that stand about where an item's would, allowing for WINDOW words put in or left out, are one occurrence. Within it each
+slot value of the item must be replaced by one value throughout (two may get the same one): windows against the commoner choice don't count.
+The largest share of the item's tokens that an occurrence covers decides. Equal slots make an exact leak, others a re-parameterised one.
 
-Null and empty texts and items, and items of fewer than WINDOW tokens, match nothing; a row is given for each leaking row of
-documents and item; repeated items give a row each time under their own item_id.
+Null and empty texts and items, and items of fewer than SHORTEST tokens, match nothing; a row is given for each leaking row of
+documents and item; repeated items give a row each time under their own item_id; a window's slots count once, however often rows repeat.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from genoframe.llm import common
 
-WINDOW, LITERAL, COVERED, BITS = 8, 5, 0.5, 24
+WINDOW, LITERAL, SHORTEST, COVERED, BITS = 8, 5, 5, 0.5, 24
 # Written numbers and units of measure.
 NUMBERS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = set("mm cm km kg mg lb lbs oz ml kb mb gb tb hz khz mhz ghz kw kwh meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres mile miles inch inches foot feet yard yards pound pounds ounce ounces second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split())
@@ -56,14 +57,14 @@ def canonical(word: str) -> tuple[str, str, str, bool] | None:
 
 
 class Canon(dict):
-    """word -> its row in the arrays: hash within a sentence and at its start; slot within (1), at the start (2), ends a sentence (4). Row 0: no token."""
+    """word -> its row in the arrays: hash within a sentence, at its start, and of the letters; slot within (1), at the start (2), ends a sentence (4). Row 0: no token."""
 
     CAPACITY = 400_000
 
     def __init__(self) -> None:
         super().__init__()
         self.n = 1
-        self.hash = np.zeros((1 << 19, 2), np.uint64)
+        self.hash = np.zeros((1 << 19, 3), np.uint64)
         self.flags = np.zeros(1 << 19, np.uint8)
 
     def __missing__(self, word: str) -> int:
@@ -75,7 +76,7 @@ class Canon(dict):
         if self.n == len(self.flags):
             self.hash, self.flags = np.r_[self.hash, np.zeros_like(self.hash)], np.r_[self.flags, np.zeros_like(self.flags)]
         h = xxhash.xxh64_intdigest(kind)
-        self.hash[self.n] = (h if name is kind else xxhash.xxh64_intdigest(name), h)
+        self.hash[self.n] = (h if name is kind else xxhash.xxh64_intdigest(name), h, h if kind is low else xxhash.xxh64_intdigest(low))
         self.flags[self.n] = (name is not low) + 2 * (kind is not low) + 4 * ends
         self[word] = self.n
         self.n += 1
@@ -87,10 +88,28 @@ def canon() -> Canon:
     return Canon()
 
 
+def rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of width tokens (width: 1 or more), put together from runs of powers of two."""
+    power, size, out, done = h, 1, None, 0
+    while True:
+        if width & size:
+            part = power[done:]
+            out = part if out is None else mixed(out[: len(part)] * MULTIPLIER + part)
+            done += size
+        if 2 * size > width:
+            return out
+        power = mixed(power[: max(0, len(power) - size)] * MULTIPLIER + power[size:])
+        size *= 2
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * MULTIPLIER
+
+
 class Windows:
-    """Hashes of a text's windows, whether each has literals enough, and the tokens of a window."""
+    """Hashes of a text's windows, their places and widths, and the tokens of a window. short: widths of whole short items to look for."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, short: tuple[int, ...] | None = None) -> None:
         memo = canon()
         if len(memo) > memo.CAPACITY:
             memo.clear()
@@ -99,28 +118,36 @@ class Windows:
         code = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
         self.words, self.place = words, np.flatnonzero(code)
         code = code[self.place]
-        self.tokens = len(code)
-        n = max(0, len(code) - WINDOW + 1)
+        self.tokens = n = len(code)
         flags = memo.flags[code]
-        first = np.r_[True, flags[:-1] & 4 > 0][: len(code)]
-        h = np.where(first, memo.hash[code, 1], memo.hash[code, 0])
+        first = np.r_[True, flags[:-1] & 4 > 0][:n]
         self.slot = np.where(first, flags & 2, flags & 1) > 0
-        total = np.zeros(n, np.uint64)
-        for k in range(WINDOW if n else 0):
-            total = (total ^ (total >> np.uint64(29))) * MULTIPLIER + h[k : n + k]
-        self.hash = total ^ (total >> np.uint64(31))
-        count = np.r_[0, np.cumsum(self.slot)]
-        self.good = WINDOW - (count[WINDOW:] - count[: max(0, len(count) - WINDOW)]) >= LITERAL
-
-    def slots(self, k: int) -> list[str | None]:
-        return [canonical(self.words[self.place[j]])[2] if self.slot[j] else None for j in range(k, k + WINDOW)]
+        if short is None:  # an item
+            short = (n,) if SHORTEST <= n < WINDOW else ()
+        plain = memo.hash[code, 2] + np.uint64(1)
+        parts = []
+        if n >= WINDOW:
+            count = np.r_[0, np.cumsum(self.slot)]
+            good = WINDOW - (count[WINDOW:] - count[:-WINDOW]) >= LITERAL
+            total = rolled(np.where(first, memo.hash[code, 1], memo.hash[code, 0]), WINDOW)
+            if not good.all():
+                total = np.where(good, total, rolled(plain, WINDOW))
+            parts.append((total, WINDOW))
+        parts += [(rolled(plain, w) + np.uint64(w), w) for w in short if n >= w]
+        self.hash = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
+        self.hash ^= self.hash >> np.uint64(31)
+        self.at = np.concatenate([np.arange(len(x)) for x, _ in parts]) if parts else np.zeros(0, np.int64)
+        self.width = np.repeat([w for _, w in parts], [len(x) for x, _ in parts])
+
+    def slots(self, k: int, width: int) -> list[str | None]:
+        return [canonical(self.words[self.place[j]])[2] if self.slot[j] else None for j in range(k, k + width)]
 
 
 HITS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string())), ("n_tokens", pa.int32())])
 HITS_DDL = "row long, id long, hash long, at int, slots array<string>, n_tokens int"
 
 
-def window_rows(table: DataFrame, bitmap=None) -> DataFrame:
+def window_rows(table: DataFrame, bitmap=None, short: tuple[int, ...] | None = None) -> DataFrame:
     """The windows of (row, id, text), or those whose hash the bitmap may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,35 +155,45 @@ def window_rows(table: DataFrame, bitmap=None) -> DataFrame:
         for b in batches:
             out = []
             for row, doc, text in zip(b.column("row").to_pylist(), b.column("id").to_pylist(), common.texts(b.column("text")), strict=True):
-                w = Windows(text)
-                h, good = w.hash, w.good
+                w = Windows(text, short)
+                use = np.arange(len(w.hash))
                 if bits is not None:
-                    place = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                    good = good & (bits[place >> 3] >> (place & 7)) & 1 > 0
-                for k in np.flatnonzero(good).tolist():
-                    out.append((row, doc, int(h[k].view(np.int64)), k, w.slots(k), w.tokens))
+                    place = (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
+                    use = np.flatnonzero((bits[place >> 3] >> (place & 7)) & 1)
+                for h, k, width in zip(w.hash[use].view(np.int64).tolist(), w.at[use].tolist(), w.width[use].tolist(), strict=True):
+                    out.append((row, doc, h, k, w.slots(k, width), w.tokens))
             yield common.batch(HITS, **dict(zip(HITS.names, zip(*out, strict=True) if out else [[]] * 6, strict=True)))
 
     return table.mapInArrow(run, HITS_DDL)
 
 
 def judged(rows: list[dict]) -> tuple[float, bool, int, int, int] | None:
-    """Coverage, exactness, windows, first and last token in the document, from one document's and item's windows."""
-    by = defaultdict(list)
+    """Coverage, exactness, windows, first and last token in the document: the best occurrence in one document's and item's windows."""
+    rows = sorted(rows, key=lambda r: (r["at"] - r["item_at"], r["at"]))
+    occurrences: list[list[dict]] = []
     for r in rows:
-        by[r["at"] - r["item_at"]].append(r)
-    covered, places, exact, n = set(), [], True, 0
-    for group in by.values():
-        there: dict[str, str] = {}
-        back: dict[str, str] = {}
-        pairs = {(x, y) for r in group for x, y in zip(r["item_slots"], r["slots"], strict=True) if x is not None and y is not None}
-        if any(there.setdefault(x, y) != y or back.setdefault(y, x) != x for x, y in sorted(pairs)):
-            continue
-        exact &= all(x == y for x, y in pairs)
-        n += len(group)
-        places += [r["at"] for r in group]
-        covered.update(k for r in group for k in range(r["item_at"], r["item_at"] + WINDOW))
-    return (len(covered) / rows[0]["item_tokens"], exact, n, min(places), max(places) + WINDOW - 1) if n else None
+        if occurrences and r["at"] - r["item_at"] - (occurrences[-1][-1]["at"] - occurrences[-1][-1]["item_at"]) <= WINDOW:
+            occurrences[-1].append(r)
+        else:
+            occurrences.append([r])
+    found = [x for x in map(occurrence, occurrences) if x]
+    return max(found, key=lambda x: (x[0], x[1], x[2], -x[3])) if found else None
+
+
+def occurrence(rows: list[dict]) -> tuple[float, bool, int, int, int] | None:
+    """What the windows of one occurrence cover, under one choice for each slot value of the item: the commonest, of equals the value itself, then the least."""
+    pairs = [{(x, y) for x, y in zip(r["item_slots"], r["slots"], strict=True) if x is not None} for r in rows]
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for own in pairs:
+        for x, y in own:
+            votes[x][y or x] += 1
+    chosen = {x: min(c, key=lambda y, c=c, x=x: (-c[y], y != x, y)) for x, c in votes.items()}
+    fit = [(r, own) for r, own in zip(rows, pairs, strict=True) if all(chosen[x] == (y or x) for x, y in own)]
+    if not fit:
+        return None
+    covered = {k for r, _ in fit for k in range(r["item_at"], r["item_at"] + len(r["item_slots"]))}
+    last = max(r["at"] + len(r["slots"]) for r, _ in fit) - 1
+    return len(covered) / fit[0][0]["item_tokens"], all(x == (y or x) for _, own in fit for x, y in own), len(fit), min(r["at"] for r, _ in fit), last
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
@@ -171,7 +208,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> Da
         bits[w] = b
     bitmap = spark.sparkContext.broadcast(bits.tobytes())
     own = docs.select(F.xxhash64("text").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    hits = window_rows(own, bitmap)
+    lengths = items.where(F.col("n_tokens") < WINDOW).select("n_tokens").distinct().collect()  # WINDOW rows at most
+    hits = window_rows(own, bitmap, tuple(sorted(r[0] for r in lengths)))
     pairs = hits.join(items.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens")), "hash")
     one = pairs.groupBy("id", "row", "item_id").agg(F.collect_set(F.struct("at", "item_at", "slots", "item_slots", "item_tokens")).alias("rows"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("coverage", pa.float64()), ("n_windows", pa.int64()), ("first_token", pa.int64()), ("last_token", pa.int64()), ("text_hash", pa.int64())])
@@ -190,8 +228,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> Da
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that leak a benchmark item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id"), "text_hash").distinct()
-    return docs.join(bad, F.expr("doc_id <=> bad_id") & (F.xxhash64(docs["text"]) == F.col("text_hash")), "left_anti")
+    return common.without(docs, leaks(docs, benchmark))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

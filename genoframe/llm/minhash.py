@@ -64,13 +64,16 @@ def _labelled(rows: DataFrame, percent: int) -> DataFrame:
     return all_.drop("sig").join(label, F.col("same") == F.col("id"), "left").withColumn("label", F.coalesce("label", "same")).drop("id")
 
 
-def copies(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id and text_hash of the rows to remove: of each component the row with the least (doc_id, nulls last; text_hash) stays."""
+def without_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs with one row of each component: that with the least (doc_id, nulls last; hash of the text), once. Rows without words stay, repeated ones too."""
     own = keyed(docs)
-    rows = common.stored(_labelled(own, percent).where("same is not null").select("row_key", "label").distinct(), "copies")
-    named = rows.join(own.select("row_key", "doc_id", F.xxhash64("text").alias("text_hash")).distinct(), "row_key")
-    stays = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_key")).alias("stays"))
-    return named.join(stays, "label").where("row_key <> stays.row_key").select("doc_id", "text_hash")
+    rows = common.stored(_labelled(own, percent).where("same is not null").groupBy("row_key", "doc_id", "label").agg((F.count("*") > 1).alias("many")), "copies")
+    stays = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("stays"))
+    marks = rows.join(stays, "label").select("row_key", (F.col("row_key") != F.col("stays.row_key")).alias("gone"), "many").where("gone or many")
+    key = F.expr("xxhash64(cast(d.doc_id as long), xxhash64(d.text)) = m.row_key")
+    left = docs.alias("d").join(marks.alias("m"), key, "left").where("not coalesce(m.gone, false)")
+    once = left.where("m.many is not null").select("d.*").dropDuplicates(["doc_id", "text"])
+    return left.where("m.many is null").select("d.*").unionByName(once)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,7 +155,11 @@ def runs(docs: DataFrame, min_words: int) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
+            ords = pa.array([last, *b.column("ord").to_pylist()])
+            last = ords[-1].as_py()
+            b = b.filter(pc.fill_null(pc.not_equal(ords[1:], ords[:-1]), True))  # equal rows come from the join one after another
             m, n, lows = Marked(common.raw_texts(b.column("text"))), len(b), b.column("lows")
             at, low = m.runs(min_words)
             owner = np.searchsorted(m.first, at, "right") - 1
@@ -191,7 +196,7 @@ def passages(docs: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
     wanted = lows.join(shared, "low").groupBy("row_key").agg(F.collect_set("low").alias("lows"))
     wanted = wanted.join(firsts.select("row_key", "doc_id", "text_hash").dropDuplicates(["row_key"]), "row_key").orderBy(F.col("doc_id").isNull(), "doc_id", "text_hash")
     wanted = common.stored(wanted.withColumn("ord", F.monotonically_increasing_id()), "wanted")
-    found = common.stored(runs(docs.join(wanted.select("row_key", "ord", "lows"), "row_key").select("ord", "text", "lows").dropDuplicates(["ord"]), min_words), "runs")
+    found = common.stored(runs(docs.join(wanted.select("row_key", "ord", "lows"), "row_key").select("ord", "text", "lows"), min_words), "runs")
     each = found.select("ord", F.posexplode("run").alias("k", "run"))
     ends = each.groupBy("run").agg(F.min("ord").alias("stays"), F.max("ord").alias("last")).where("stays < last").select("run", "stays")
     marks = each.join(ends, "run").groupBy("ord").agg(F.collect_list(F.struct("k", "stays")).alias("marks"))
@@ -225,7 +230,7 @@ def passages(docs: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
 
     spans = found.drop("run").join(marks, "ord", "left").mapInArrow(run, "ord long, para int, start_char int, end_char int, n_words int, class_ord long, removed boolean")
     spans = spans.join(wanted.select("ord", "row_key", "doc_id", "text_hash"), "ord").join(wanted.select(F.col("ord").alias("class_ord"), F.col("doc_id").alias("class_doc_id")), "class_ord")
-    out = common.stored(spans.select("row_key", "doc_id", "text_hash", "para", "start_char", "end_char", "n_words", "class_doc_id", "removed"), "spans")
+    out = common.stored(spans.select("row_key", "doc_id", "text_hash", "para", "start_char", "end_char", "n_words", "class_doc_id", "removed").distinct(), "spans")
     common.dropped(wanted, found)
     return out
 
@@ -284,13 +289,17 @@ def line_texts(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFram
 def without_repeats(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with removed lines and passages cut from text and n_chars counted anew; rows that had words and have none left go."""
     cuts = F.array_sort(F.collect_set(F.struct(F.col("start_char").cast("int").alias("s"), F.col("end_char").cast("int").alias("e"))))
-    gone = repeated(docs, percent, min_words).where("removed").groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(cuts.alias("gone"))
+    gone = repeated(docs, percent, min_words).where("removed").groupBy("doc_id", "text_hash").agg(cuts.alias("cuts"))
     # A cut of whole lines takes their line end along.
-    ends = "x.e + if((x.s = 0 or substring(text, x.s, 1) = '\\n') and substring(text, x.e + 1, 1) = '\\n', 1, 0)"
-    left = f"aggregate(gone, struct('' as kept, 0 as at), (a, x) -> struct(concat(a.kept, substring(text, a.at + 1, greatest(x.s - a.at, 0))) as kept, greatest(a.at, {ends}) as at), a -> if(a.at >= length(text), regexp_replace(a.kept, '\\n$', ''), concat(a.kept, substring(text, a.at + 1))))"
-    joined = docs.join(gone, F.expr("doc_id <=> gone_id") & (F.xxhash64(docs["text"]) == F.col("gone_hash")), "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(left)))
-    joined = joined.where("gone is null or text rlike '[^ \\t\\n\\r\\f\\x0B]'").withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return joined.select(*docs.columns)
+    ends = "x.e + if((x.s = 0 or substring(d.text, x.s, 1) = '\\n') and substring(d.text, x.e + 1, 1) = '\\n', 1, 0)"
+    left = f"aggregate(g.cuts, struct('' as kept, 0 as at), (a, x) -> struct(concat(a.kept, substring(d.text, a.at + 1, greatest(x.s - a.at, 0))) as kept, greatest(a.at, {ends}) as at), a -> if(a.at >= length(d.text), regexp_replace(a.kept, '\\n$', ''), concat(a.kept, substring(d.text, a.at + 1))))"
+    joined = docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and xxhash64(d.text) = g.text_hash"), "left")
+    text = F.expr(f"if(g.cuts is null, d.text, {left})")
+    other = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
+    rows = joined.select(text.alias("text"), F.expr("g.cuts is null as whole"), F.col("d.n_chars").alias("n_chars"), F.struct(*other).alias("rest"))
+    rows = rows.where("whole or text rlike '[^ \\t\\n\\r\\f\\x0B]'")
+    size = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return rows.select(*({"text": F.col("text"), "n_chars": size.alias("n_chars")}.get(c, F.col(f"rest.`{c}`")) for c in docs.columns))
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

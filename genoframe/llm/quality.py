@@ -214,8 +214,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rejected rows."""
-    bad = scored(docs, labels, threshold).where("not keep").select(F.col("doc_id").alias("bad_id"), "text_hash").distinct()
-    return docs.join(bad, F.expr("doc_id <=> bad_id") & (F.xxhash64(docs["text"]) == F.col("text_hash")), "left_anti")
+    return common.without(docs, scored(docs, labels, threshold).where("not keep"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import groupby
 from operator import add
 
 import pyarrow as pa
@@ -166,14 +167,12 @@ class CountTransducer(common.Memo):
         return sum(self.segment(x) if not x.startswith(SPACE) or x.startswith(SPACE * 2) else self[x[1:]] for x in SEGMENT.findall(text))
 
     def chunk(self, text: str) -> tuple[str, bool, int, str]:
-        """State map of a chunk: (open head, has a reset, tokens between, open tail)."""
-        first = re.search(f"[^{SPACE}]{SPACE}", text)
-        if not first:
+        """State map of a chunk: (open head, has a reset, tokens between, open tail). Resets are where no piece can span, so heads and tails are short."""
+        inside = self.v.inside
+        start = next((k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside), None)
+        if start is None:
             return text, False, 0, ""
-        start = first.start() + 1
-        end = text.rfind(SPACE)
-        while end > start and text[end - 1] == SPACE:
-            end -= 1
+        end = next(k for k in range(len(text) - 1, 0, -1) if text[k - 1 : k + 1] not in inside)
         return text[:start], True, self.segments(text[start:end]) if end > start else 0, text[end:]
 
     def compose(self, a: tuple, b: tuple) -> tuple:
@@ -186,7 +185,10 @@ class CountTransducer(common.Memo):
         return a[0], True, a[2] + self.segments(a[3] + b[0]) + b[2], b[3]
 
     def scan(self, maps: list[tuple]) -> list[tuple]:
-        """Inclusive prefix compositions, in steps that double the reach; each step's compositions are independent."""
+        """Inclusive prefix compositions, in steps that double the reach; each step's compositions are independent.
+
+        Chunks in a row without a reset are one open head, put together at once."""
+        maps = [x for reset, group in groupby(maps, lambda x: x[1]) for x in (group if reset else [("".join(x[0] for x in group), False, 0, "")])]
         step = 1
         while step < len(maps):
             maps = [self.compose(maps[k - step], x) if k >= step else x for k, x in enumerate(maps)]

@@ -120,6 +120,23 @@ def test_leaks(spark):
     assert decontamination.leaks(spark.createDataFrame(rows_of(texts), DDL), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_short_dense_and_repeated_items(spark):
+    r = random.Random(14)
+    filler = lambda n: " ".join(words(r, n))
+    dense = "Sort 12, 7, 30, 5, 4, 18, 3, 2 and 9"
+    rolls = "A baker makes 12 rolls each morning before the shop opens and sells 9 rolls to the school near the river every day"
+    texts = [
+        f"{filler(30)} {dense} {filler(30)}", f"{filler(20)}. {rolls.replace('12', '7').replace('9', '7')}. {filler(9)}", f"{filler(9)} who wrote the old song {filler(5)}",
+        f"{rolls[:55]} {filler(300)} {rolls[55:]}", filler(50), f"{filler(4)}. {rolls}", f"{filler(4)}. {rolls}", None,
+    ]
+    bench = spark.createDataFrame([(1, dense), (2, rolls), (3, "Who wrote the old song"), (4, "Who wrote"), (2, rolls), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, "en", "s", None, 1, 2, 3) for i, t in enumerate(texts)] + [(5, texts[5], "en", "s", None, 1, 2, 3)], "doc_id long, text string, lang string, source string, n_chars long, text_hash long, bad_id long, id long")
+    got = [(x["doc_id"], x["item_id"], x["kind"]) for x in decontamination.leaks(docs, bench).collect()]
+    assert {x for x in got if x[0] != 3} == {(0, 1, "exact"), (1, 2, "reparameterised"), (2, 3, "exact"), (5, 2, "exact"), (6, 2, "exact")}
+    assert all(x["coverage"] < 0.75 for x in decontamination.leaks(docs, bench).where("doc_id = 3").collect())
+    assert {x["doc_id"] for x in decontamination.without_leaks(docs, bench).collect()} - {3} == {4, 7}
+
+
 def test_maxent_base_and_normalisation(spark):
     r = random.Random(9)
     texts = [" ".join(r.choice(["the", "cat", "dog", "runs", "far", f"x{r.randint(0, 400)}"]) for _ in range(r.randint(1, 60))) for _ in range(150)] + [None, "", "The CAT"]
@@ -191,6 +208,24 @@ def test_repeated_passages_against_all_runs(spark):
     assert left[None] == "é intro\nend of it" and left[3] == texts[1] and left[9].endswith("\nünd\nx y") and len(left) == len(rows)
 
 
+def test_stages_with_clashing_columns_and_empty_tables(spark):
+    """Extra columns of any name pass through all stages; empty tables stay empty; repeated rows without words stay."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(15)
+    names = ["text_hash", "gone", "gone_id", "bad_id", "label", "id", "row_key", "many", "d", "m", "g", "cuts", "whole", "rest"]
+    shared = " ".join(words(r, 90))
+    texts = [f"{shared}\n" + " ".join(words(r, 60 + 90 * k)) for k in range(2)] + ["", "", None, " ".join(words(r, 40))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in names)
+    docs = spark.createDataFrame([(None if k in (2, 3) else k, t, "en", "s", 7, *range(len(names))) for k, t in enumerate(texts)], schema)
+    for rows in (docs, docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, rows, "/root/testdata/sf0.001")
+            assert got.columns == docs.columns
+            left = got.count()
+            assert left == 0 if rows is not docs else left >= 5
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() == rows.count()
+
+
 def test_stages_with_null_and_repeated_ids(spark):
     """A stage takes the copy alone, not the other rows of its doc_id, null or not."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")

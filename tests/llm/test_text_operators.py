@@ -37,6 +37,20 @@ def test_chunk_maps_compose_to_the_whole(monkeypatch):
     assert [machine.count(x[:4000]) for x in texts if len(x) <= 4000] == [n for x, n in zip(texts, whole, strict=True) if len(x) <= 4000]
 
 
+@pytest.mark.parametrize("part", ["语文字", "ab", "x", "Zm9vYmFy", "▁", "é語"])
+def test_long_texts_without_spaces_are_counted_in_linear_time(part):
+    import time
+
+    import sentencepiece
+
+    machine, library = token_counts.CountTransducer(token_counts.PieceVocabulary(PIECES)), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    text = part * (300_000 // len(part))
+    assert machine.count(text) == len(library.encode(text))
+    began = time.time()
+    machine.count(part * (3_000_000 // len(part)))
+    assert time.time() - began < 30
+
+
 def test_segment_ids_equal_the_library():
     memo = token_planes.segment_ids(public_tokenizers.path("byte_bpe_50k.json"))
     for x in odd_texts(600):
