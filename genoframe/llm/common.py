@@ -5,13 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: bound a Python worker's memory where texts are long.
-BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,8 +65,10 @@ def _sweep(spark: SparkSession, path: str) -> None:
 
 
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """docs without the rows of bad (doc_id, text_hash), which goes by a doc_id, null or not, and the hash of its text. docs may have any other columns."""
-    return docs.alias("d").join(bad.select("doc_id", "text_hash").distinct().alias("b"), F.expr("d.doc_id <=> b.doc_id and xxhash64(d.text) = b.text_hash"), "left_anti")
+    """docs without the rows of bad (doc_id, text_hash), which goes by a doc_id, null or not, and the hash of its text. docs may have any other columns.
+
+    bad grows with docs, so it isn't broadcast at any size."""
+    return docs.alias("d").join(bad.select("doc_id", "text_hash").distinct().hint("merge").alias("b"), F.expr("d.doc_id <=> b.doc_id and xxhash64(d.text) = b.text_hash"), "left_anti")
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -82,6 +85,24 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_kept: list = []
+
+
+def sole(make):
+    """make's last result is kept, and those of other functions so marked are let go: a worker that serves several operators holds one's memo at a time."""
+    cached = lru_cache(1)(make)
+
+    @wraps(make)
+    def get(*args):
+        if _kept[:1] != [cached]:
+            for other in _kept:
+                other.cache_clear()
+            _kept[:] = [cached]
+        return cached(*args)
+
+    return get
+
+
 class Memo(dict):
     """A bounded memo. When full it keeps what it has, and is emptied once as many more keys were missed (the data have changed)."""
 

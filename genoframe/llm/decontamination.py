@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +82,7 @@ class Canon(dict):
         return self.n - 1
 
 
-@lru_cache(1)
+@common.sole
 def canon() -> Canon:
     return Canon()
 

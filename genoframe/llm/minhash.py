@@ -58,7 +58,7 @@ def _labelled(rows: DataFrame, percent: int) -> DataFrame:
 
     def bodies(wanted: DataFrame) -> DataFrame:
         one = all_.withColumnRenamed("same", "id").join(wanted, "id").groupBy("id").agg(F.min("row_key").alias("row_key"))
-        return rows.join(one, "row_key").select("id", "text")
+        return rows.join(one.hint("merge"), "row_key").select("id", "text")
 
     label = neardup.links(all_.where("same is not null").select(F.col("same").alias("id"), "sig"), bodies, percent, bands, size, lambda: neardup.jaccard_at_least(percent))
     return all_.drop("sig").join(label, F.col("same") == F.col("id"), "left").withColumn("label", F.coalesce("label", "same")).drop("id")
@@ -71,7 +71,7 @@ def without_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     stays = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("stays"))
     marks = rows.join(stays, "label").select("row_key", (F.col("row_key") != F.col("stays.row_key")).alias("gone"), "many").where("gone or many")
     key = F.expr("xxhash64(cast(d.doc_id as long), xxhash64(d.text)) = m.row_key")
-    left = docs.alias("d").join(marks.alias("m"), key, "left").where("not coalesce(m.gone, false)")
+    left = docs.alias("d").join(marks.hint("merge").alias("m"), key, "left").where("not coalesce(m.gone, false)")
     once = left.where("m.many is not null").select("d.*").dropDuplicates(["doc_id", "text"])
     return left.where("m.many is null").select("d.*").unionByName(once)
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush, nsmallest
 
 import numpy as np
@@ -222,7 +221,7 @@ def combos(options: list[tuple[float, int, int]], n: int) -> list[tuple[float, d
     return out
 
 
-@lru_cache(2)
+@common.sole
 def segmenter(path: str, n: int) -> Segmenter:
     return Segmenter(PieceVocabulary(path), n)
 

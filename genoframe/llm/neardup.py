@@ -32,17 +32,6 @@ SHINGLE, BLOCK, BATCH, SALTS = 5, 256, 16, 8
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(1)
-def word_hashes() -> common.Memo:
-    class Hashes(common.Memo):
-        def __missing__(self, word: bytes) -> int:
-            found = xxhash.xxh64_intdigest(word)
-            self.keep(word, found)
-            return found
-
-    return Hashes(500_000)
-
-
 def words_of(text: bytes | str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case."""
     if not text:
@@ -69,7 +58,7 @@ def hashes_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all lists' words in a row, and the place behind each list's last."""
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
     size = int(ends[-1]) if len(ends) else 0
-    return np.fromiter(map(word_hashes().__getitem__, chain.from_iterable(words)), np.uint64, size), ends
+    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, size), ends
 
 
 def shingles(words: list[bytes]) -> np.ndarray:

@@ -196,7 +196,7 @@ def passages(docs: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
     wanted = lows.join(shared, "low").groupBy("row_key").agg(F.collect_set("low").alias("lows"))
     wanted = wanted.join(firsts.select("row_key", "doc_id", "text_hash").dropDuplicates(["row_key"]), "row_key").orderBy(F.col("doc_id").isNull(), "doc_id", "text_hash")
     wanted = common.stored(wanted.withColumn("ord", F.monotonically_increasing_id()), "wanted")
-    found = common.stored(runs(docs.join(wanted.select("row_key", "ord", "lows"), "row_key").select("ord", "text", "lows"), min_words), "runs")
+    found = common.stored(runs(docs.join(wanted.select("row_key", "ord", "lows").hint("merge"), "row_key").select("ord", "text", "lows"), min_words), "runs")
     each = found.select("ord", F.posexplode("run").alias("k", "run"))
     ends = each.groupBy("run").agg(F.min("ord").alias("stays"), F.max("ord").alias("last")).where("stays < last").select("run", "stays")
     marks = each.join(ends, "run").groupBy("ord").agg(F.collect_list(F.struct("k", "stays")).alias("marks"))
@@ -283,7 +283,7 @@ def line_texts(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFram
             some = [(x["id"], t[x["start_char"] : x["end_char"]]) for t, cuts in zip(common.texts(b.column("text")), b.column("cuts").to_pylist(), strict=True) for x in cuts]
             yield common.batch(schema, id=[x for x, _ in some], text=[x for _, x in some])
 
-    return docs.join(cuts, "row_key").select("text", "cuts").mapInArrow(run, "id binary, text string")
+    return docs.join(cuts.hint("merge"), "row_key").select("text", "cuts").mapInArrow(run, "id binary, text string")
 
 
 def without_repeats(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
@@ -293,7 +293,7 @@ def without_repeats(docs: DataFrame, percent: int = 80, min_words: int = MIN_WOR
     # A cut of whole lines takes their line end along.
     ends = "x.e + if((x.s = 0 or substring(d.text, x.s, 1) = '\\n') and substring(d.text, x.e + 1, 1) = '\\n', 1, 0)"
     left = f"aggregate(g.cuts, struct('' as kept, 0 as at), (a, x) -> struct(concat(a.kept, substring(d.text, a.at + 1, greatest(x.s - a.at, 0))) as kept, greatest(a.at, {ends}) as at), a -> if(a.at >= length(d.text), regexp_replace(a.kept, '\\n$', ''), concat(a.kept, substring(d.text, a.at + 1))))"
-    joined = docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and xxhash64(d.text) = g.text_hash"), "left")
+    joined = docs.alias("d").join(gone.hint("merge").alias("g"), F.expr("d.doc_id <=> g.doc_id and xxhash64(d.text) = g.text_hash"), "left")
     text = F.expr(f"if(g.cuts is null, d.text, {left})")
     other = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
     rows = joined.select(text.alias("text"), F.expr("g.cuts is null as whole"), F.col("d.n_chars").alias("n_chars"), F.struct(*other).alias("rest"))

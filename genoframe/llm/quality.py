@@ -13,7 +13,6 @@ value of its own; repeated rows are scored alike; without labels of both kinds e
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ STATS, SURE = 2048, 4.5
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&"
 
 
-@lru_cache(1)
+@common.sole
 def word_slots() -> common.Memo:
     class Slots(common.Memo):
         def __missing__(self, word: bytes) -> int:

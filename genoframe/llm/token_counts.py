@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import groupby
 from operator import add
@@ -205,7 +204,7 @@ class CountTransducer(common.Memo):
         return self.segments(head) + inner + (self.segments(tail) if tail else 0)
 
 
-@lru_cache(2)
+@common.sole
 def transducer(path: str) -> CountTransducer:
     return CountTransducer(PieceVocabulary(path))
 

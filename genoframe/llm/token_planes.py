@@ -22,7 +22,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +139,7 @@ class SegmentIds(common.Memo):
         return self.ids(first) + b"".join(map(self.__getitem__, rest))
 
 
-@lru_cache(2)
+@common.sole
 def segment_ids(path: str) -> SegmentIds:
     return SegmentIds(path)
 
