@@ -43,9 +43,12 @@ def options(argv: list[str] | None) -> argparse.Namespace:
 def run(spark: SparkSession, o: argparse.Namespace) -> None:
     variants, calls, names = cohort.cohort(spark, o.vcf)
     place = variants.select("variant_id", "chrom", "pos", "id", "ref", "alt")
+    if o.tool in ("filter", "split"):
+        lines = [r["value"] for r in vcf.read_headers(spark, o.vcf).where("kind <> 'samples'").collect()]
+        columns = [r["sample_id"] for r in names.orderBy("file_idx", "sample_idx").collect()]
     if o.tool == "split":
         label = chromosome_label(F.col("chrom")) if o.by == "chromosome" else coverage_label(F.col("dp"), o.intervals)
-        vcf.write_split(variants, label, o.out)
+        vcf.write_split(variants, label, o.out, lines, columns)
         return
     if o.tool in ("assoc", "tdt"):
         ped = tables.read_ped(spark, o.ped, unaffected=o.unaffected, affected=o.affected)
@@ -81,13 +84,10 @@ def run(spark: SparkSession, o: argparse.Namespace) -> None:
         marked = marked.join(found.select("variant_id", "maf", "missing_genotypes"), "variant_id").withColumn("n_samples", F.lit(names.count()))
     marked = chain.mark(marked)
     regions = tables.read_regions(spark, o.region_file, o.region_type) if o.region_file else None
-    if o.region:
-        listed = spark.createDataFrame(filters.parse_regions(o.region), "chrom string, start_pos long, end_pos long")
-        regions = listed if regions is None else regions.select("chrom", "start_pos", "end_pos").unionByName(listed)
-    if regions is not None:
-        inside = filters.overlapping(variants, regions).select("variant_id", F.lit(True).alias("inside"))
+    if o.region or regions is not None:
+        inside = filters.in_regions(variants, filters.parse_regions(o.region or ""), regions).select("variant_id", F.lit(True).alias("inside"))
         marked = marked.join(inside, "variant_id", "left").withColumn("passed", F.col("passed") & F.col("inside").isNotNull())
-    vcf.write_passed_and_rejected(marked, o.out)
+    vcf.write_passed_and_rejected(marked, o.out, [*lines, *chain.headers()], columns)
 
 
 def main(argv: list[str] | None = None) -> None:

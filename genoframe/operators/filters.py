@@ -35,6 +35,10 @@ def variant_type() -> Column:
     return F.when(F.exists(a, lambda x: x.rlike(r"[<\[\]]")), "structural").when((F.length("ref") == 1) & F.forall(a, lambda x: F.length(x) == 1), "snv").otherwise("indel")
 
 
+#: End of a region without a bound.
+WHOLE = 1 << 62
+
+
 class FilterChain:
     """A conjunction of predicates; cheap record predicates come before those over joined statistics."""
 
@@ -48,19 +52,20 @@ class FilterChain:
         return self
 
     def predicate(self) -> Column:
+        """A plain conjunction, null where it isn't decided: Catalyst moves each part below the joins as far as its columns allow."""
         out = F.lit(True)
         for _, _, p in sorted(self.parts, key=lambda x: x[0]):
             out = out & p
-        return F.coalesce(out, F.lit(False))
+        return out
 
     def mark(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("passed", self.predicate())
+        return df.withColumn("passed", F.coalesce(self.predicate(), F.lit(False)))
 
     def passed(self, df: DataFrame) -> DataFrame:
         return df.where(self.predicate())
 
     def rejected(self, df: DataFrame) -> DataFrame:
-        return df.where(~self.predicate())
+        return df.where(~F.coalesce(self.predicate(), F.lit(False)))
 
     def headers(self) -> list[str]:
         return [f'##FILTER=<ID={name},Description="Filter {name}">' for _, name, _ in self.parts]
@@ -73,11 +78,28 @@ def overlapping(variants: DataFrame, regions: DataFrame, bin_size: int = 16384)
     return variants.join(bins, inside, "left_semi")
 
 
+def in_regions(variants: DataFrame, listed: list[tuple[str, int, int]], regions: DataFrame | None = None) -> DataFrame:
+    """Variants in a listed region (chrom, start, end), as parse_regions gives them, or in one of a table. Whole chromosomes need no join."""
+    whole = F.col("chrom").isin([c for c, low, high in listed if (low, high) == (0, WHOLE)])
+    some = [r for r in listed if r[1:] != (0, WHOLE)]
+    # A listed region's bins are laid out by start and end, so an open end is a plain condition too.
+    plain = whole
+    for chrom, low, high in some:
+        if high == WHOLE:
+            plain = plain | ((F.col("chrom") == chrom) & (F.col("pos") >= low))
+    some = [r for r in some if r[2] != WHOLE]
+    if some:
+        table = variants.sparkSession.createDataFrame(some, "chrom string, start_pos long, end_pos long")
+        regions = table if regions is None else regions.select("chrom", "start_pos", "end_pos").unionByName(table)
+    out = variants.where(plain)
+    return out if regions is None else out.unionByName(overlapping(variants.where(~plain), regions))
+
+
 def parse_regions(text: str) -> list[tuple[str, int, int]]:
-    """'chr:start-end,...' as rows; a missing end is the start, missing bounds are the whole chromosome."""
+    """'chr:start-end,...' as rows; a missing end is the start, missing bounds are the whole chromosome; 'chr:start-' runs to its end."""
     out = []
     for part in filter(None, text.split(",")):
         chrom, _, span = part.partition(":")
-        low, _, high = span.partition("-")
-        out.append((chrom, int(low or 0), int(high or low or (1 << 62))))
+        low, dash, high = span.partition("-")
+        out.append((chrom, int(low or 0), int(high or (WHOLE if dash else low) or WHOLE)))
     return out

@@ -16,15 +16,16 @@ def r6(c: Column) -> Column:
 def allelic_counts(variants: DataFrame, calls: DataFrame, ped: DataFrame) -> DataFrame:
     """A1, A2 (affected: reference, alternate alleles) and U1, U2 (unaffected). On X only homozygotes count, once.
 
-    The pedigree is joined by sample before one aggregation by variant, which combines before the shuffle."""
-    x = calls.where("a1 is not null and a2 is not null").join(ped.where("condition in (1, 2)").select("sample_id", "condition"), "sample_id").join(variants.select("variant_id", "chrom"), "variant_id")
-    on_x = F.col("chrom") == "X"
+    Calls meet the pedigree by sample and are added up by variant, which combines before the shuffle; the chromosome, which
+    chooses between the sums, is joined to one row a variant."""
+    x = calls.where("a1 is not null and a2 is not null").join(ped.where("condition in (1, 2)").select("sample_id", "condition"), "sample_id")
     same = F.col("a1") == F.col("a2")
-    ref = F.when(on_x, F.when(same & (F.col("a1") == 0), 1).otherwise(0)).otherwise((F.col("a1") == 0).cast("int") + (F.col("a2") == 0).cast("int"))
-    alt = F.when(on_x, F.when(same & (F.col("a1") > 0), 1).otherwise(0)).otherwise((F.col("a1") > 0).cast("int") + (F.col("a2") > 0).cast("int"))
-    total = lambda what, cond, name: F.sum(F.when(F.col("condition") == cond, what).otherwise(0)).cast("long").alias(name)
-    counts = x.groupBy("variant_id").agg(total(ref, 2, "a1_count"), total(alt, 2, "a2_count"), total(ref, 1, "u1_count"), total(alt, 1, "u2_count"))
-    return variants.select("variant_id").join(counts, "variant_id", "left").na.fill(0)
+    ref, alt = (F.col("a1") == 0).cast("int") + (F.col("a2") == 0).cast("int"), (F.col("a1") > 0).cast("int") + (F.col("a2") > 0).cast("int")
+    kinds = {"ref": ref, "alt": alt, "hom_ref": (same & (F.col("a1") == 0)).cast("int"), "hom_alt": (same & (F.col("a1") > 0)).cast("int")}
+    sums = [F.sum(F.when(F.col("condition") == cond, what).otherwise(0)).cast("long").alias(f"{group}_{name}") for group, cond in (("a", 2), ("u", 1)) for name, what in kinds.items()]
+    counts = variants.select("variant_id", "chrom").join(x.groupBy("variant_id").agg(*sums), "variant_id", "left")
+    chosen = lambda group, allele: F.coalesce(F.when(F.col("chrom") == "X", F.col(f"{group}_hom_{allele}")).otherwise(F.col(f"{group}_{allele}")), F.lit(0)).cast("long")
+    return counts.select("variant_id", *[chosen(g, allele).alias(f"{g}{k}_count") for g in "au" for k, allele in ((1, "ref"), (2, "alt"))])
 
 
 def _frequencies(df: DataFrame) -> DataFrame:

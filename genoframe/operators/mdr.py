@@ -1,7 +1,8 @@
 """Epistasis by multifactor dimensionality reduction: bitmaps, folds, counts, risk, ranking.
 
 A variant's genotype codes are bitmaps over samples; a cell of a combination is the AND of bitmaps, its size a
-bit count. A bitmap here is one 64-bit word; more samples take more words, summed over.
+bit count. A bitmap is one 64-bit word, so a pedigree has SAMPLES samples at most; a larger one is an error, never a wrong count.
+A sample's bit is its place among the pedigree's samples in order of sample_id, a number or a name.
 """
 
 from __future__ import annotations
@@ -16,11 +17,20 @@ from genoframe.functions.genotype import code
 from genoframe.functions.mathx import div
 
 
+SAMPLES = 64
+
+
+def with_bits(ped: DataFrame) -> DataFrame:
+    """ped with each sample's bit. The window over all rows is over SAMPLES samples, else it raises."""
+    place = F.row_number().over(Window.orderBy("sample_id")) - 1
+    error = F.raise_error(F.lit(f"epistasis takes {SAMPLES} samples at most")).cast("long")
+    return ped.withColumn("place", place).withColumn("bit", F.when(F.col("place") < SAMPLES, F.expr("shiftleft(1L, cast(place as int))")).otherwise(error)).drop("place")
+
+
 def bitmaps(calls: DataFrame, ped: DataFrame) -> DataFrame:
-    """variant_id and m0, m1, m2: bit sample_id is set where the sample has that genotype code."""
-    x = calls.join(ped.select("sample_id"), "sample_id").withColumn("code", code(F.col("a1"), F.col("a2")))
-    bit = F.expr("shiftleft(1L, cast(sample_id as int))")
-    return x.groupBy("variant_id").agg(*[F.coalesce(F.bit_or(F.when(F.col("code") == k, bit)), F.lit(0)).cast("long").alias(f"m{k}") for k in range(3)])
+    """variant_id and m0, m1, m2: a sample's bit is set where it has that genotype code."""
+    x = calls.join(with_bits(ped.select("sample_id")), "sample_id").withColumn("code", code(F.col("a1"), F.col("a2")))
+    return x.groupBy("variant_id").agg(*[F.coalesce(F.bit_or(F.when(F.col("code") == k, F.col("bit"))), F.lit(0)).cast("long").alias(f"m{k}") for k in range(3)])
 
 
 def folds(ped: DataFrame, k: int, salt: int = 2654435761, prime: int = 1000003) -> DataFrame:
@@ -32,8 +42,8 @@ def folds(ped: DataFrame, k: int, salt: int = 2654435761, prime: int = 1000003)
 
 def fold_masks(dealt: DataFrame) -> DataFrame:
     """A row a fold: training and testing masks of cases and controls, and the class totals."""
-    bit = F.expr("shiftleft(1L, cast(sample_id as int))")
-    mask = lambda cond, name: F.coalesce(F.bit_or(F.when(F.col("condition") == cond, bit)), F.lit(0)).cast("long").alias(name)
+    dealt = with_bits(dealt)
+    mask = lambda cond, name: F.coalesce(F.bit_or(F.when(F.col("condition") == cond, F.col("bit"))), F.lit(0)).cast("long").alias(name)
     whole = dealt.agg(mask(2, "cases"), mask(1, "controls"))
     test = dealt.groupBy("fold").agg(mask(2, "test_cases"), mask(1, "test_controls"))
     both = test.crossJoin(F.broadcast(whole))  # a row for each fold, one for the whole

@@ -55,11 +55,15 @@ def record_line(samples: bool = True) -> Column:
     return F.concat_ws("\t", *fixed, *(["format", F.array_join("samples", "\t")] if samples else []))
 
 
-def write_vcf(records: DataFrame, headers: list[str], names: list[str], path: str, samples: bool = True) -> None:
-    """A folder of parts in (chrom, pos) order: numbers first, then names. The header stands in a part of its own, ahead of the others."""
-    spark = records.sparkSession
+def write_header(spark: SparkSession, headers: list[str], names: list[str], path: str, samples: bool = True) -> None:
+    """Header lines and the line of columns in path/header."""
     columns = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *names] if samples else [])])
     spark.createDataFrame([(h,) for h in [*headers, columns]], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
+def write_vcf(records: DataFrame, headers: list[str], names: list[str], path: str, samples: bool = True) -> None:
+    """A folder of parts in (chrom, pos) order: numbers first, then names. The header stands in a part of its own, ahead of the others."""
+    write_header(records.sparkSession, headers, names, path, samples)
     ordered(records).select(record_line(samples).alias("value")).write.mode("overwrite").text(f"{path}/records")
 
 
@@ -70,12 +74,14 @@ def ordered(records: DataFrame, chroms: DataFrame | None = None) -> DataFrame:
     return records.orderBy(F.col("chrom").try_cast("int").asc_nulls_last(), "chrom", "pos")
 
 
-def write_passed_and_rejected(marked: DataFrame, path: str) -> None:
-    """Both halves of FilterChain.mark(), below filtered and rejected."""
+def write_passed_and_rejected(marked: DataFrame, path: str, headers: list[str], names: list[str]) -> None:
+    """Both halves of FilterChain.mark(), below filtered and rejected, under one header with the filters' lines."""
+    write_header(marked.sparkSession, headers, names, path)
     for name, keep in (("filtered", F.col("passed")), ("rejected", ~F.col("passed"))):
         ordered(marked.where(keep)).select(record_line().alias("value")).write.mode("overwrite").text(f"{path}/{name}")
 
 
-def write_split(records: DataFrame, label: Column, path: str) -> None:
-    """One folder for each label, upper and lower case alike."""
-    records.select(F.lower(label).alias("part"), record_line().alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+def write_split(records: DataFrame, label: Column, path: str, headers: list[str], names: list[str]) -> None:
+    """One folder for each label, upper and lower case alike, and one header for all."""
+    records.select(F.lower(label).alias("part"), record_line().alias("value")).write.mode("overwrite").partitionBy("part").text(f"{path}/records")
+    write_header(records.sparkSession, headers, names, path)

@@ -193,7 +193,10 @@ def test_command_line(spark, tmp_path):
     run(spark, options(["filter", "--vcf", a, "--out", f"{out}/f", "--quality", "30", "--region", "1:1-10"]))
     assert lines(f"{out}/f/filtered") == ONE.splitlines()[2:3] and lines(f"{out}/f/rejected") == ONE.splitlines()[3:]
     run(spark, options(["split", "--vcf", a, "--out", f"{out}/s"]))
-    assert lines(f"{out}/s/part=chromosome_2") == ONE.splitlines()[3:]
+    assert lines(f"{out}/s/records/part=chromosome_2") == ONE.splitlines()[3:] and lines(f"{out}/s/header") == sorted(ONE.splitlines()[:2])
+    assert lines(f"{out}/f/header") == sorted([*ONE.splitlines()[:2], '##FILTER=<ID=quality,Description="Filter quality">'])
+    run(spark, options(["filter", "--vcf", a, "--out", f"{out}/w", "--region", "2"]))
+    assert lines(f"{out}/w/filtered") == ONE.splitlines()[3:] and lines(f"{out}/w/rejected") == ONE.splitlines()[2:3]
     run(spark, options(["merge", "--vcf", a, b, "--out", f"{out}/m", "--info-fields", "DP,H2,NS,AC"]))
     assert lines(f"{out}/m/records") == ["1\t5\trs1\tA\tT,G\t30\tPASS\tDP=12;H2;NS=3;AC=3,1\tGT\t0/1\t1/1\t0/2", "2\t9\t.\tAC\tA\t0\tq10\tDP=7;NS=2;AC=1\tGT\t0/0\t0/1\t./."]
     with pytest.raises(ValueError, match="more than one file"):
@@ -204,6 +207,35 @@ def test_command_line(spark, tmp_path):
     assert {(r["pos"], r["a1_count"], r["u2_count"]) for r in spark.read.csv(f"{out}/g", sep="\t", header=True).collect()} == {("5", "1", "2"), ("9", "2", "1")}
 
 
+def test_regions_of_any_extent(spark):
+    v = spark.createDataFrame([("1", 5), ("1", 20_000), ("1", 21_111_111_111), ("2", 7), ("X", 3), (None, 3)], "chrom string, pos long")
+    found = lambda text, table=None: sorted((r["chrom"], r["pos"]) for r in filters.in_regions(v, filters.parse_regions(text), table).collect())
+    assert found("2") == [("2", 7)] and found("1:20000-") == [("1", 20_000), ("1", 21_111_111_111)] and found("") == []
+    assert found("1:5,X:1-9,1:1-6") == [("1", 5), ("X", 3)] and found("1,1:5") == [("1", 5), ("1", 20_000), ("1", 21_111_111_111)]
+    assert found("2", spark.createDataFrame([("X", 1, 4), ("2", 1, 9)], "chrom string, start_pos long, end_pos long")) == [("2", 7), ("X", 3)]
+
+
+def test_cheap_filters_go_below_the_join(spark, capsys):
+    v = spark.range(9).selectExpr("id as variant_id", "id as dp", "double(id) as qual")
+    s = spark.range(9).selectExpr("id as variant_id", "id / 10 as maf")
+    filters.FilterChain().add("maf", 0.2).add("quality", 4).passed(v.join(s, "variant_id")).explain()
+    plan = capsys.readouterr().out
+    join = plan[plan.index("Join") :]
+    assert "4.0" not in join.splitlines()[0] and "4.0" in join
+    marked = filters.FilterChain().add("quality", 4).mark(v.withColumn("qual", F.when(F.col("dp") > 2, F.col("qual"))))
+    assert marked.where("passed is null").count() == 0 and marked.where("not passed").count() == 4
+
+
+def test_epistasis_takes_sample_names_and_refuses_too_many(spark):
+    ped = spark.createDataFrame([(f"s{k:02}", 1 + k % 2) for k in range(64)], "sample_id string, condition int")
+    calls = spark.createDataFrame([(1, f"s{k:02}", k % 2, k % 2) for k in range(64)], "variant_id long, sample_id string, a1 int, a2 int")
+    row = mdr.bitmaps(calls, ped).first()
+    assert bin(row["m0"] % (1 << 64)).count("1") == 32 and bin(row["m2"] % (1 << 64)).count("1") == 32 and row["m0"] & row["m2"] == row["m1"] == 0
+    more = ped.unionByName(spark.createDataFrame([("t", 1)], "sample_id string, condition int"))
+    with pytest.raises(Exception, match="64 samples at most"):
+        mdr.bitmaps(calls.unionByName(spark.createDataFrame([(1, "t", 0, 0)], calls.schema)), more).collect()
+
+
 def test_generations_become_nuclear_families(spark):
     rows = [("F", "gd", "0", "0", "1", 1), ("F", "gm", "0", "0", "2", 1), ("F", "dad", "gd", "gm", "1", 2), ("F", "mum", "0", "0", "2", 1), ("F", "k1", "dad", "mum", "1", 2), ("F", "k2", "dad", "mum", "2", 1), ("F", "lost", "dad", "gone", "1", 2), ("G", "k1", "dad", "mum", "1", 2)]
     ped = spark.createDataFrame(rows, "family_id string, sample_id string, father_id string, mother_id string, sex string, condition int")
