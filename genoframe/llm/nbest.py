@@ -40,9 +40,11 @@ class Segmenter(common.Memo):
     def __init__(self, vocabulary: PieceVocabulary, n: int) -> None:
         super().__init__(MAX_WORDS)
         self.v, self.n = vocabulary, n
+        #: An id's type: 16 bits, or 32 where the vocabulary has more ids.
+        self.kind = "<u2" if max([*vocabulary.ids.values(), *vocabulary.byte_ids]) < 1 << 16 else "<u4"
         usable = {p: s for p, s in vocabulary.scores.items() if s > NEVER}
         self.unknown = min(usable.values(), default=0.0) - 10
-        self.edges = {p: (s, np.array([vocabulary.ids[p]], "<u2").tobytes()) for p, s in vocabulary.scores.items()}
+        self.edges = {p: (s, np.array([vocabulary.ids[p]], self.kind).tobytes()) for p, s in vocabulary.scores.items()}
         #: Of pieces and their beginnings: the edge, and whether a longer piece begins so.
         self.known = {p: (self.edges.get(p), p in vocabulary.prefixes) for p in (*vocabulary.prefixes, *self.edges)}
         #: The same by characters: each node's edge and the nodes that follow it.
@@ -56,7 +58,7 @@ class Segmenter(common.Memo):
         self.spelled = {i: p.replace(SPACE, " ").encode() for p, i in vocabulary.ids.items()} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
 
     def edge(self, c: str) -> tuple[float, bytes]:
-        return self.unknown, np.array([self.v.byte_ids[b] for b in c.encode()], "<u2").tobytes()
+        return self.unknown, np.array([self.v.byte_ids[b] for b in c.encode()], self.kind).tobytes()
 
     def forward(self, unit: str) -> tuple[list[float], list[list]]:
         """The best score up to each place, and the edges into it."""
@@ -176,7 +178,7 @@ class Segmenter(common.Memo):
         return [(total - loss, {k: paths[k][r][1] for k, r in way.items()}) for loss, way in chosen]
 
     def encode(self, text: str) -> tuple[bytes, list[float]]:
-        """Ids of the best segmentation as little-endian 16-bit numbers, and the scores of the N best."""
+        """Ids of the best segmentation as little-endian numbers, and the scores of the N best."""
         words, parts = self.segments(text)
         return b"".join([x[0] for x in parts]), [score for score, _ in self.ways(words, parts)]
 
@@ -196,13 +198,13 @@ class Segmenter(common.Memo):
     def nbest(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations, as (score, ids)."""
         words, parts = self.segments(text)
-        return [(score, np.frombuffer(b"".join([way.get(k, x[0]) for k, x in enumerate(parts)]), "<u2").tolist()) for score, way in self.ways(words, parts)]
+        return [(score, np.frombuffer(b"".join([way.get(k, x[0]) for k, x in enumerate(parts)]), self.kind).tolist()) for score, way in self.ways(words, parts)]
 
     def decode(self, ids: bytes) -> str:
         return self.bytes_of(ids).decode(errors="replace")[1:]
 
     def bytes_of(self, ids: bytes) -> bytes:
-        return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u2").tolist()))
+        return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, self.kind).tolist()))
 
 
 def combos(options: list[tuple[float, int, int]], n: int) -> list[tuple[float, dict[int, int]]]:
@@ -227,7 +229,7 @@ def segmenter(path: str, n: int) -> Segmenter:
 
 
 def encoded(docs: DataFrame, model: str, n: int = N_BEST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id; n_pieces, ids (little-endian 16-bit numbers) and ids_crc32 of the best segmentation; other_ids of ranks 2 to N; scores (best first); decoded_same, of all N."""
+    """doc_id; n_pieces, ids (little-endian numbers of 16 bits, of 32 for a vocabulary over 65,536) and ids_crc32 of the best segmentation; other_ids of ranks 2 to N; scores (best first); decoded_same, of all N."""
     common.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("other_ids", pa.list_(pa.binary())), ("scores", pa.list_(pa.float64())), ("decoded_same", pa.bool_())])
 
@@ -236,7 +238,7 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST, key: str = "doc_id", t
         for b in batches:
             got = [machine.every(x) for x in common.texts(b.column("text"))]
             best = [ids[0] for ids, _, _ in got]
-            yield common.batch(schema, doc_id=b.column("doc_id"), n_pieces=[len(x) // 2 for x in best], ids=best, ids_crc32=[zlib.crc32(x) for x in best], other_ids=[ids[1:] for ids, _, _ in got], scores=[s for _, s, _ in got], decoded_same=[x for _, _, x in got])
+            yield common.batch(schema, doc_id=b.column("doc_id"), n_pieces=[len(x) // int(machine.kind[2]) for x in best], ids=best, ids_crc32=[zlib.crc32(x) for x in best], other_ids=[ids[1:] for ids, _, _ in got], scores=[s for _, s, _ in got], decoded_same=[x for _, _, x in got])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids binary, ids_crc32 long, other_ids array<binary>, scores array<double>, decoded_same boolean")
