@@ -6,7 +6,7 @@ is named for something else (menu, advert, comments, ...). A decision tree, grow
 table below, marks the blocks of the main text.
 
 Null, empty and tagless-empty pages give an empty text; unclosed tags, comments and raw elements run to the end, but li, tr
-and td to their next sibling; deep or very long pages are read in one pass; equal pages give equal rows; page_id and url pass through, null or not.
+and td to their next sibling; deep or very long pages are read in one pass, in linear time; a quote that never closes ends with its tag; equal pages give equal rows; page_id and url pass through, null or not.
 """
 
 from __future__ import annotations
@@ -24,15 +24,22 @@ from pyspark.sql import functions as F
 from genoframe.llm import common
 
 # Names of the HTML standard and usual names of page parts.
-RAW = "script|style|noscript|template|title|textarea|iframe|object|svg|math|select|button"
+RAW = set("script style noscript template title textarea iframe object svg select".split())
 BLOCK_TAGS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = set("article aside blockquote body details dialog div dl fieldset figure footer form header li main nav ol section table td tr ul".split())
 #: Start tag -> open containers that it closes, unless one of the others has been opened since.
 SIBLINGS = {"li": (("li",), tuple(sorted(CONTAINERS - {"li", "div"}))), "td": (("td",), ("tr", "table")), "tr": (("tr", "td"), ("table",))}
 OTHER_TAGS = set("nav aside footer form dialog".split())
-OTHER_NAMES = set("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+OTHER_NAMES = set("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Names of a page's top; inside an article they are those of its own headings.
+TOP_NAMES = {"header", "masthead"}
+#: Words that go with a part's name and don't change what it is.
+NEUTRAL = set("area articles aside bar block bottom box button buttons cell column container content foot form global group holder icons inner item items left line link links list main message module outer overlay page panel policy posts primary rail right row secondary section signup site slot stories stream sub text thread top unit wrap wrapper zone".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.DOTALL | re.IGNORECASE)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: Rest of a tag: ">" within a quoted value doesn't end it. PLAIN: it does.
+REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')|=)*+)>""")
+PLAIN = re.compile(r"([^>]*+)>")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
@@ -113,6 +120,11 @@ place other words links prev_words prev_links next_words next_links main
 2 0 60 0.0 40 0.0 3 1.0 1
 2 0 45 0.0 3 1.0 2 1.0 1
 2 0 28 0.1 2 1.0 35 0.0 1
+1 0 24 0.0 4 1.0 2 0.0 1
+1 0 35 0.0 6 1.0 1 1.0 1
+1 0 60 0.05 3 1.0 0 0.0 1
+1 0 18 0.0 5 0.8 2 0.5 1
+1 0 7 0.0 4 1.0 2 0.0 1
 """
 
 
@@ -147,6 +159,58 @@ def main_text(tree: tuple, row: tuple) -> bool:
     return tree[0] >= 0.5
 
 
+def named_other(attributes: str, article: bool) -> bool:
+    """A class, id or role names something else: one of its parts does, and no other part says what it is ("related-posts", not "related-work")."""
+    known = OTHER_NAMES if article else OTHER_NAMES | TOP_NAMES
+    for found in NAMED.findall(attributes):
+        for name in "".join(found).split():
+            parts = {p.lower() for p in PART.findall(name)}
+            if parts & known and parts <= known | NEUTRAL:
+                return True
+    return False
+
+
+@lru_cache(None)
+def raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, is an end tag, attributes) of each tag; "" names comments and declarations, "raw" raw elements with what is in them.
+
+    Every step goes on from where the last one ended. A tag whose quoted values leave it open up to the page's end ends at its first ">",
+    and so do all later ones, so that the end is looked for from one tag only."""
+    at, size, last, rest = 0, len(page), page.rfind(">"), REST
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else size
+            yield i, at, "", False, ""
+        elif i > last:  # no tag ends after this place
+            at = page.find("<!--", i)
+            if at < 0:
+                return
+        elif m := TAG.match(page, i):
+            r = rest.match(page, m.end())
+            if r is None:
+                rest = PLAIN
+                r = rest.match(page, m.end())
+            name, at = m[2].lower(), r.end()
+            if name in RAW and not m[1] and not r[1].endswith("/"):
+                end = raw_end(name).search(page, at)
+                at = end.start() if end else size
+                name = "raw"
+            yield i, at, name, bool(m[1]), r[1]
+        elif page[i + 1 : i + 2] in ("!", "?", "/"):
+            at = page.find(">", i) + 1
+            yield i, at, "", False, ""
+        else:
+            start = page.find("<", i + 1)
+            if start < 0:
+                return
+            at = start
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """(text, words, link density, in an article, in a part named for something else) in page order."""
     out: list[tuple[str, int, float, int, int]] = []
@@ -174,19 +238,15 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             article, other = article - inside, other - odd
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for start, end, name, ends, attributes in tags(page):
+        if start > at:
+            parts.append(page[at:start])
             if in_link:
                 linked.append(parts[-1])
-        at = m.end()
-        name = m[3]
-        if name is None:
-            if m[1]:
-                parts.append(" ")
-            continue
-        name, ends = name.lower(), bool(m[2])
-        if name == "a":
+        at = end
+        if name == "raw":
+            parts.append(" ")
+        elif name == "a":
             in_link = 0 if ends else 1
         elif name == "br":
             parts.append(" ")
@@ -196,7 +256,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             if name not in CONTAINERS:
                 continue
             if not ends:
-                if m[4].endswith("/"):
+                if attributes.endswith("/"):
                     continue
                 if name in SIBLINGS:
                     ends_at, within = SIBLINGS[name]
@@ -204,9 +264,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
                     first = min((k for x in ends_at if places.get(x) and (k := places[x][-1]) > bound), default=None)
                     if first is not None:
                         cut(first)
-                found = NAMED.findall(m[4])
-                named = {p.lower() for x in found for p in PART.findall("".join(x))}
-                odd = int(name in OTHER_TAGS or (name == "header" and not article) or (name != "body" and bool(named & OTHER_NAMES)))
+                odd = int(name in OTHER_TAGS or (name == "header" and not article) or (name != "body" and named_other(attributes, article > 0)))
                 inside = int(name in ("article", "main"))
                 places.setdefault(name, []).append(len(open_tags))
                 open_tags.append((name, inside, odd))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -105,6 +106,46 @@ def test_html_extraction():
     assert html_extraction.extract("") == html_extraction.extract("<p>") == html_extraction.extract("<script>unclosed") == ""
 
 
+WORDS = " ".join(f"word{k}" for k in range(20))
+
+
+@pytest.mark.parametrize(
+    ("part", "stays"),
+    [
+        ("<p><a href=x>Read the earlier report</a></p><p>Here %s</p>", True),
+        ("<section id='related-work'><p>Here %s</p></section>", True),
+        ("<div class='ad-hoc-network'><p>Here %s</p></div>", True),
+        ("<div id=share-price><p>Here %s</p></div>", True),
+        ("<div class='section-header'><h2>Here</h2></div><p>%s</p>", True),
+        ("<p>%s <math><mi>Here</mi></math></p>", True),
+        ("<p title=it's>Here %s</p>", True),
+        ("<p title='a > b'>Here %s</p>", True),
+        ("<div class='related-posts'><p>Here %s</p></div>", False),
+        ("<div class='box adBanner'><p>Here %s</p></div>", False),
+        ("<div id=comments><p>Here %s</p></div>", False),
+        ("<select><option>Here</select><p>%s</p>", False),
+    ],
+)
+def test_html_extraction_of_parts(part, stays):
+    page = f"<body><nav>Menu</nav><article><h1>Title</h1><p>First {WORDS}</p>{part % WORDS}</article><footer>End</footer>"
+    assert ("Here" in html_extraction.extract(page)) is stays
+
+
+@pytest.mark.parametrize("piece", ['<a x="', '<a x="><b" ', "<a ", "<! ", "</script ", '<script x="', "<", '<a = = "', "<!-"])
+def test_html_extraction_takes_linear_time(piece):
+    began = time.time()
+    assert html_extraction.extract("<p>Some words</p>" + piece * 100_000).startswith("Some words")
+    assert time.time() - began < 20  # by the square of the length this took hours
+
+
+def test_html_extraction_of_tables(spark):
+    schema = "page_id long, url string, html string, text string"
+    rows = [(1, "u", "<article><p>One two</p></article>", "x"), (None, None, None, None), (1, "u", "<article><p>One two</p></article>", "x"), (2, "v", "", "y")]
+    got = html_extraction.extract_pages(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "One two", 7), (1, "One two", 7), (2, "", 0)]
+    assert html_extraction.extract_pages(spark.createDataFrame([], schema)).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 250, 5000])
 def test_html_extraction_closes_at_any_depth(n):
     body = "<article><h1>The title</h1><p>First part of the text.</p></article><footer>nobody</footer>"
