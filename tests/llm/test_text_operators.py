@@ -134,7 +134,7 @@ def test_html_extraction_of_parts(part, stays):
 @pytest.mark.parametrize("piece", ['<a x="', '<a x="><b" ', "<a ", "<! ", "</script ", '<script x="', "<", '<a = = "', "<!-"])
 def test_html_extraction_takes_linear_time(piece):
     began = time.time()
-    assert html_extraction.extract("<p>Some words</p>" + piece * 100_000).startswith("Some words")
+    assert html_extraction.extract("<article><p>Some words</p></article>" + piece * 100_000).startswith("Some words")
     assert time.time() - began < 20  # by the square of the length this took hours
 
 
