@@ -1,6 +1,6 @@
 """Operator 3, token ids in binary files: fixed-size id blocks stored as compressed byte planes.
 
-Documents are dealt by ranges of doc_id (ties by text; null ids first) and encoded. A chunk holds whole documents, at most
+Documents are dealt by ranges of doc_id (ties by a hash of the text; null ids first) and encoded. A chunk holds whole documents, at most
 CHUNK_IDS ids unless one document is longer. Its ids are cut into blocks of BLOCK_IDS; each block is
 transposed into byte planes (all first bytes, all second bytes, ...), or with bits=True into bit planes, and
 each plane is compressed with zstandard on its own. The chunk index holds each plane's end and each
@@ -150,7 +150,8 @@ def chunks(docs: DataFrame, tokenizer: str, end_id: int = 0, bits: bool = False,
     common.small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
+    tie = F.xxhash64("text")  # rows of one doc_id, or of none, are spread over shards too
+    ordered = rows.repartitionByRange(n, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie, F.col("text")).withColumn("shard", F.spark_partition_id())
     types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.binary()]
     schema = pa.schema(list(zip((c.split()[0] for c in CHUNKS.split(", ")), types, strict=True)))
 
