@@ -241,3 +241,33 @@ def test_stages_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in rows], DDL)
     left = {(x["doc_id"], x["text"]) for x in corpus_pipeline.substring_stage(spark, docs, "").collect()}
     assert left == {rows[0], (2, "one\nend"), rows[2], (None, "three"), rows[4]}
+
+
+def test_quality_with_odd_rows(spark):
+    r = random.Random(8)
+    texts = [" ".join(words(r, 40)) if i % 2 else " ".join(w.upper() + "!!" for w in words(r, 40)) for i in range(120)]
+    rows = rows_of(texts)
+    rows += [rows[3], rows[3], (None, texts[4], None, None, None, "x"), (None, None, None, None, None, "x"), (7, texts[8], "en", "s1", 5, "x"), (500, "", None, None, None, None)]
+    docs = spark.createDataFrame(rows, DDL).withColumnRenamed("extra", "text_hash").withColumnRenamed("source", "source")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)] + [(None, 1, 0), (81, None, 1), (5, 0, 0), (9_999, 1, None)], "doc_id long, quality long, toxic long")
+    got = quality.scored(docs, labels).collect()
+    assert len(got) == len(rows)
+    by_text = {}
+    for x in got:
+        by_text.setdefault((x["doc_id"], x["text_hash"]), set()).add(round(x["score"], 9))
+    assert all(len(v) == 1 for v in by_text.values())
+    assert sum(x["keep"] == bool(x["doc_id"] % 2) for x in got if x["doc_id"] is not None and 80 <= x["doc_id"] < 120) >= 38
+    assert quality.kept(docs, labels).columns == docs.columns
+    assert quality.scored(docs.limit(0), labels).count() == 0
+
+
+def test_quality_exchange_covers_all_unlabelled_texts(spark):
+    docs = spark.createDataFrame([(i, f"text{i % 50}", "en", "s", 5, "x") for i in range(400)], DDL)
+    table = quality.features(docs)
+    own = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, good int")
+    models = {"text": quality.Linear(quality.TEXT_BITS), "meta": quality.Linear(quality.META_BITS)}
+    models["text"].bias = 4.0
+    found = list(quality.surest(table, own, models, 0, 1000))
+    hashes = {x[0] for x in docs.selectExpr("xxhash64(text)").distinct().collect()}
+    labelled = {x[0] for x in docs.where("doc_id < 10").selectExpr("xxhash64(text)").collect()}
+    assert {(v, k, label) for v, k, _, label in found} == {("meta", k, 1.0) for k in hashes - labelled} and len(found) == 40
