@@ -66,6 +66,12 @@ def test_planes_round_trip(n, bits):
     assert (token_planes.unpacked(payload, ends, n, width, bits) == ids).all()
 
 
+def test_token_files_spread_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(400)], "doc_id long, text string")
+    rows = token_planes.chunks(docs, public_tokenizers.path("byte_bpe_50k.json")).select("shard", "doc_ids").collect()
+    assert len({r.shard for r in rows}) > 1 and sum(len(r.doc_ids) for r in rows) == 400
+
+
 def test_token_files_give_starts_and_crcs(spark):
     rows = [(5, "some text"), (2, None), (9, ""), (5, "some text"), (1, "other  words here"), (None, "x")]
     path = public_tokenizers.path("byte_bpe_50k.json")
