@@ -12,6 +12,17 @@ def effects(variants: DataFrame, annotation: DataFrame, exclude: list[str] = ())
     return variants.join(known.where(~F.col("consequence").isin(list(exclude))) if exclude else known, "variant_id")
 
 
+def placed(annotation: DataFrame, variants: DataFrame) -> DataFrame:
+    """Annotation rows of (chrom, pos), and of ref and alt where they have them, with the variant_id of each record there."""
+    keys = [c for c in ("chrom", "pos", "ref", "alt") if c in annotation.columns]
+    return annotation.join(variants.select("variant_id", *keys), keys).drop(*keys)
+
+
+def of_genes(variants: DataFrame, annotation: DataFrame, genes: list[str]) -> DataFrame:
+    """Variants with an annotation row of one of the genes, upper and lower case alike."""
+    return variants.join(annotation.where(F.lower("gene").isin([g.lower() for g in genes])), "variant_id", "left_semi")
+
+
 def effect_summary(found: DataFrame) -> DataFrame:
     return found.groupBy(F.lower("consequence").alias("consequence")).agg(F.count("*").alias("n"))
 

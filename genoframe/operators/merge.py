@@ -16,7 +16,8 @@ def grouped(records: DataFrame, file_samples: DataFrame, strict: bool = False) -
     sizes = file_samples.groupBy("file_idx").agg(F.count("*").alias("n"))
     rows = records.join(F.broadcast(sizes), "file_idx")  # a row for each file
     info = F.col("info") if "info" in records.columns else F.lit(None).cast("string").alias("info")
-    one = rows.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("file_idx", "id", "ref", "alt", "qual", "filter", "n", info))).alias("r"))
+    texts = [c for c in ("format", "samples") if c in records.columns]
+    one = rows.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("file_idx", "id", "ref", "alt", "qual", "filter", "n", info, *texts))).alias("r"))
     text = (lambda x: x["ref"]) if strict else (lambda x: F.substring(x["ref"], 1, 1))
     return one.where(F.size(F.array_distinct(F.transform("r", text))) == 1)
 
@@ -54,12 +55,13 @@ def merged_format(formats: Column, copy_filter: bool = False, copy_info: bool =
     return F.array_join(F.concat(union, F.array(*extra)) if extra else union, ":")
 
 
-def positions(one: DataFrame) -> DataFrame:
+def positions(one: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """A row a position with the merged fixed columns, and the carried columns of one."""
     table = allele_table(F.col("r"))
     alternates = F.slice(table, 2, F.greatest(F.size(table) - 1, F.lit(0)))
     return one.select(
         "chrom", "pos", F.size("r").cast("long").alias("n_files"), merged_id(F.col("r")).alias("id"), F.element_at(table, 1).alias("ref"),
-        F.when(F.size(table) > 1, F.array_join(alternates, ",")).otherwise(".").alias("alt"), merged_quality(F.col("r")).alias("qual"), merged_filter(F.col("r")).alias("filter"),
+        F.when(F.size(table) > 1, F.array_join(alternates, ",")).otherwise(".").alias("alt"), merged_quality(F.col("r")).alias("qual"), merged_filter(F.col("r")).alias("filter"), *carried,
     )
 
 
@@ -79,12 +81,58 @@ def samples(records: DataFrame, one: DataFrame, calls: DataFrame, file_samples:
     return joined.select("chrom", "pos", "sample_id", gt.alias("gt"), *carried)
 
 
-def sample_texts(merged: DataFrame, order: DataFrame) -> DataFrame:
-    """(chrom, pos, samples): the genotypes of a position as an array in the order of files and of their columns, as a record holds them."""
-    placed = merged.join(F.broadcast(order.select("sample_id", "file_idx", "sample_idx")), "sample_id")  # a row a sample
-    every = F.array_sort(F.collect_list(F.struct("file_idx", "sample_idx", "gt")))
-    return placed.groupBy("chrom", "pos").agg(F.transform(every, lambda x: x["gt"]).alias("samples"))
+def full_samples(one: DataFrame, file_samples: DataFrame, fill: str = "./.", strict: bool = False, copy_filter: bool = False, copy_info: bool = False) -> DataFrame:
+    """The rows of one with format, the union of its FORMATs, and samples, an array of whole sample texts in the order of files and columns.
 
+    Genotypes are recoded to the merged allele table and keep their phase mark; other fields are carried, '.' where a record or sample
+    lacks them. SFT and IN hold the record's filter and INFO. Files without the position give fill and dots. Each record's samples
+    stay one array, so there is no row for each position and sample and no further join. The files (a row each) become a literal."""
+    sizes = [(r["file_idx"], r["n"]) for r in file_samples.groupBy("file_idx").agg(F.count("*").alias("n")).orderBy("file_idx").collect()]
+    every = F.array(*[F.struct(F.lit(f).cast("int").alias("file_idx"), F.lit(n).cast("int").alias("n")) for f, n in sizes])
+    table = F.transform(allele_table(F.col("r")), lambda a: F.lower(a))
+    rows = one.select("*", table.alias("table"), merged_format(F.transform("r", lambda x: x["format"]), copy_filter, copy_info).alias("format")).withColumn("fields", F.split("format", ":"))
+    empty = F.array_join(F.transform("fields", lambda f: F.when(f == "GT", fill).otherwise(".")), ":")
+
+    def place(own: Column, allele: Column) -> Column:
+        """An allele's number in the merged table, as text."""
+        k = F.array_position("table", F.lower(F.try_element_at(own, allele.try_cast("int") + 1))) - 1
+        found = F.when(k >= 0, k.cast("string")).otherwise(".")
+        return F.when(allele == "0", "0").otherwise(found) if strict else found
+
+    def genotype(own: Column, text: Column) -> Column:
+        alleles = F.split(text, r"[/|]")
+        absent = F.coalesce(F.forall(alleles, lambda a: a == "."), F.lit(True))
+        mark = F.when(F.contains(text, F.lit("|")), "|").otherwise("/")
+        return F.when(absent, "./.").otherwise(F.concat(place(own, F.element_at(alleles, 1)), F.when(F.size(alleles) > 1, F.concat(mark, place(own, F.try_element_at(alleles, F.lit(2))))).otherwise("")))
+
+    def recoded(x: Column) -> Column:
+        names, own = F.split(x["format"], ":"), F.concat(F.array(x["ref"]), alts(x["alt"]))
+
+        def text(sample: Column) -> Column:
+            parts = F.split(sample, ":")
+            value = lambda f: F.try_element_at(parts, F.nullif(F.array_position(names, f), F.lit(0)).cast("int"))
+            one_field = lambda f: F.when(f == "GT", genotype(own, value(f)))
+            copied = lambda f: one_field(f).when(F.lit(copy_filter) & (f == "SFT"), x["filter"]).when(F.lit(copy_info) & (f == "IN"), x["info"])
+            return F.array_join(F.transform("fields", lambda f: F.coalesce(copied(f).otherwise(value(f)), F.lit("."))), ":")
+
+        return F.transform(x["samples"], text)
+
+    def of_file(f: Column) -> Column:
+        record = F.filter("r", lambda x: x["file_idx"] == f["file_idx"])
+        return F.when(F.size(record) > 0, recoded(F.element_at(record, 1))).otherwise(F.array_repeat(empty, f["n"]))
+
+    return rows.withColumn("samples", F.flatten(F.transform(every, of_file))).drop("table", "fields")
+
+
+def long_form(full: DataFrame) -> DataFrame:
+    """(chrom, pos, gt, dp, gq), a row a sample of full_samples(), for info_fields()."""
+    rows = full.select("chrom", "pos", F.split("format", ":").alias("f"), F.explode("samples").alias("s"))
+    at = lambda name: F.try_element_at(F.split("s", ":"), F.nullif(F.array_position("f", name), F.lit(0)).cast("int"))
+    return rows.select("chrom", "pos", F.coalesce(at("GT"), F.lit("./.")).alias("gt"), *[at(c).try_cast("long").alias(c.lower()) for c in ("DP", "GQ")])
+
+
+#: Header lines of the fields that full_samples() can add.
+FORMAT_LINES = {"SFT": '##FORMAT=<ID=SFT,Number=.,Type=String,Description="Filter of the record in its own file">', "IN": '##FORMAT=<ID=IN,Number=.,Type=String,Description="INFO of the record in its own file">'}
 
 #: INFO fields that a merge can write anew, and those of them that are flags.
 INFO_FIELDS = ("AC", "AF", "AN", "DB", "DP", "H2", "H3", "MQ0", "MQ", "NS", "QD", "SOMATIC", "VALIDATED")

@@ -13,7 +13,7 @@ from genoframe.plans.views import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-SAMPLES, FOLDS, TOP, INTERVALS = 24, 4, 50, [10, 20, 40, 80]
+SAMPLES, FOLDS, TOP, INTERVALS, ALLELES = 24, 4, 50, [10, 20, 40, 80], 4
 PLACE = ["variant_id", "chrom", "pos"]
 
 
@@ -48,19 +48,20 @@ for _name, (_args, _sql) in RECORD_FILTERS.items():
     query(_name, ["variants"], f"select variant_id, chrom, pos from variants where {_sql}")(lambda v, a=_args: filters.FilterChain().add(*a).passed(v).select(*PLACE))
 
 ONE = "case when {a} = {k} then 1 else 0 end"
-COUNTS = ", ".join(f"cast(sum(case when a1 = {k} then 1 else 0 end + case when a2 = {k} then 1 else 0 end) as bigint) as c{k}" for k in range(3))
-COUNTS += ", " + ", ".join(f"cast(sum(case when least(a1, a2) = {i} and greatest(a1, a2) = {j} and a1 is not null and a2 is not null then 1 else 0 end) as bigint) as g{i}{j}" for i, j in stats.PAIRS)
+COUNTS = ", ".join(f"cast(sum(case when a1 = {k} then 1 else 0 end + case when a2 = {k} then 1 else 0 end) as bigint) as c{k}" for k in range(ALLELES))
+COUNTS += ", " + ", ".join(f"cast(sum(case when least(a1, a2) = {i} and greatest(a1, a2) = {j} and a1 is not null and a2 is not null then 1 else 0 end) as bigint) as g{i}{j}" for i, j in stats.pairs(ALLELES))
 COUNTS += ", cast(sum(case when a1 is not null and a2 is not null then 1 else 0 end) as bigint) as called"
-NAMES = ["c0", "c1", "c2", *[f"g{i}{j}" for i, j in stats.PAIRS], "called"]
-MAF = "round(case when n_alleles = 3 then least(c0, c1, c2) else least(c0, c1) end / nullif(c0 + c1 + c2, 0), 6)"
+NAMES = [*[f"c{k}" for k in range(ALLELES)], *[f"g{i}{j}" for i, j in stats.pairs(ALLELES)], "called"]
+AN = " + ".join(f"c{k}" for k in range(ALLELES))
+MAF = f"round(list_min(list_slice([{AN.replace(' +', ',')}], 1, greatest(n_alleles, 2))) / nullif({AN}, 0), 6)"
 FULL = ", ".join(f"coalesce({c}, 0) as {c}" for c in NAMES)
 STATS = f"""with s0 as (select variant_id, {COUNTS} from calls group by variant_id),
 s1 as (select v.variant_id, n_alleles, {FULL} from (select variant_id, n_alleles from variants) v left join s0 on s0.variant_id = v.variant_id),
-stat as (select *, cast({SAMPLES} as bigint) as n_samples, c0 + c1 + c2 as an, {SAMPLES} - called as missing_genotypes, {MAF} as maf from s1)"""
+stat as (select *, cast({SAMPLES} as bigint) as n_samples, {AN} as an, {SAMPLES} - called as missing_genotypes, {MAF} as maf from s1)"""
 
 
 def with_stats(v: DataFrame, c: DataFrame) -> DataFrame:
-    return v.join(stats.variant_stats(v, c, SAMPLES).drop("n_alleles"), "variant_id")
+    return v.join(stats.variant_stats(v, c, SAMPLES, ALLELES).drop("n_alleles"), "variant_id")
 
 
 for _name, _args, _sql in (("filter_maf", ("maf", 0.305), "maf >= 0.305"), ("filter_missing", ("missing", 0.33), "missing_genotypes / n_samples <= 0.33")):
@@ -116,16 +117,16 @@ SHOWN = ["variant_id", "n_alleles", *NAMES, "n_samples", "an", "missing_genotype
 
 @query("stats_variant", ["variants", "calls"], f"{STATS} select {', '.join(SHOWN)} from stat")
 def _stats_variant(v, c):
-    return stats.variant_stats(v, c, SAMPLES).select(*SHOWN)
+    return stats.variant_stats(v, c, SAMPLES, ALLELES).select(*SHOWN)
 
 
 @query(
     "stats_variant_by_group", THREE,
     f"with s0 as (select c.variant_id, population, {COUNTS} from calls c join ped p on p.sample_id = c.sample_id group by c.variant_id, population), z as (select population, count(*) as n_samples from ped group by population) "
-    f"select s0.variant_id, s0.population, n_alleles, {', '.join(NAMES)}, n_samples, c0 + c1 + c2 as an, n_samples - called as missing_genotypes, {MAF} as maf from s0 join z on z.population = s0.population join variants v on v.variant_id = s0.variant_id",
+    f"select s0.variant_id, s0.population, n_alleles, {', '.join(NAMES)}, n_samples, {AN} as an, n_samples - called as missing_genotypes, {MAF} as maf from s0 join z on z.population = s0.population join variants v on v.variant_id = s0.variant_id",
 )
 def _stats_group(v, c, p):
-    return stats.group_stats(v, c, p, "population").select("population", *SHOWN)
+    return stats.group_stats(v, c, p, "population", ALLELES).select("population", *SHOWN)
 
 
 @query("stats_sample", THREE, f"{TRIOS}, k as (select sample_id, count(*) as called from calls where a1 is not null and a2 is not null group by sample_id), e as (select child, count(*) as n from coded where code > 0 group by child) select p.sample_id, (select count(*) from variants) - coalesce(called, 0) as missing_genotypes, coalesce(n, 0) as mendel_errors from ped p left join k on k.sample_id = p.sample_id left join e on e.child = p.sample_id")
@@ -147,16 +148,17 @@ def milli(a: str, b: str) -> str:
     return f"concat(cast({n} // 1000 as varchar), '.', lpad(cast({n} % 1000 as varchar), 3, '0'))"
 
 
-GTC = "concat('0/0:', g00, ',0/1:', g01, case when n_alleles = 3 then concat(',0/2:', g02) else '' end, ',1/1:', g11, case when n_alleles = 3 then concat(',1/2:', g12, ',2/2:', g22) else '' end, ',./.:', missing_genotypes)"
-AC = "concat(c1, case when n_alleles = 3 then concat(',', c2) else '' end)"
-AF = f"concat({milli('c1', 'an')}, case when n_alleles = 3 then concat(',', {milli('c2', 'an')}) else '' end)"
+GTC = f"concat(array_to_string(list_filter([{', '.join(f"case when n_alleles > {j} or {j} < 2 then concat('{i}/{j}:', g{i}{j}) end" for i, j in stats.pairs(ALLELES))}], lambda x: x is not null), ','), ',./.:', missing_genotypes)"
+_listed = lambda parts: f"array_to_string(list_slice([{', '.join(parts)}], 1, greatest(n_alleles, 2) - 1), ',')"
+AC = _listed([f"cast(c{k} as varchar)" for k in range(1, ALLELES)])
+AF = _listed([milli(f"c{k}", "an") for k in range(1, ALLELES)])
 OWN = "case when dp is null then 'H2' else concat('AC=7;DP=', cast(dp as string), ';H2') end"
 for _name, _over, _sql in (
     ("aggregate_info", False, f"concat(case when dp is null then '' else 'AC=7;' end, 'AGG_AC=', {AC}, ';AGG_AF=', {AF}, ';AGG_AN=', an, ';AGG_GTC=', {GTC}, case when dp is null then '' else concat(';DP=', dp) end, ';H2')"),
     ("aggregate_info_overwrite", True, f"concat('AC=', {AC}, ';AF=', {AF}, ';AN=', an, case when dp is null then '' else concat(';DP=', dp) end, ';GTC=', {GTC}, ';H2')"),
 ):
     query(_name, ["variants", "calls"], f"{STATS} select stat.variant_id, {_sql} as info from stat join (select variant_id, dp from variants) v on v.variant_id = stat.variant_id")(
-        lambda v, c, o=_over: stats.aggregate_info(v.withColumn("info", F.expr(OWN)), stats.variant_stats(v, c, SAMPLES), o)
+        lambda v, c, o=_over: stats.aggregate_info(v.withColumn("info", F.expr(OWN)), stats.variant_stats(v, c, SAMPLES, ALLELES), o)
     )
 
 
@@ -244,7 +246,8 @@ cm as (select {ids}, fold, risky, tp, fp, n1 - tp as fn, n0 - fp as tn from mo),
 
 
 def _setup(c: DataFrame, p: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return mdr.bitmaps(c, p), mdr.fold_masks(mdr.folds(p, FOLDS))
+    words = mdr.n_words(p)
+    return mdr.bitmaps(c, p, words), mdr.fold_masks(mdr.folds(p, FOLDS), words)
 
 
 CP = ["calls", "ped"]
@@ -269,7 +272,7 @@ _SUMS = ", ".join(f"cast(sum({_cell(x, side)}) as bigint) as {side[6:]}_{x[0]}{x
 def _counts(c, p):
     maps, masks = _setup(c, p)
     rows = mdr.combinations(maps, 2).crossJoin(F.broadcast(masks))  # a row for each fold
-    sums = [F.sum(mdr.count(mdr.cell_mask(x), side)).cast("long").alias(f"{side[6:]}_{x[0]}{x[1]}") for x in mdr.cells(2) for side in ("train_cases", "train_controls")]
+    sums = [F.sum(mdr.count(x, side)).cast("long").alias(f"{side[6:]}_{x[0]}{x[1]}") for x in mdr.cells(2) for side in ("train_cases", "train_controls")]
     return rows.groupBy("fold").agg(F.count("*").alias("n"), *sums)
 
 
@@ -290,7 +293,7 @@ def _eval(c, p):
     return m.select(*names, "n", *[F.round(mdr.EVALUATIONS[k](*map(F.col, names)), 6).alias(k.lower()) for k in ("CA", "BA", "GAMMA", "TAU_B")])
 
 
-_RANK = f"{_EPI}, rk as (select *, row_number() over (partition by fold order by accuracy desc, v0, v1) as r from ev), mg as (select v0, v1, cast(sum(cast(round(accuracy * 1e6) as bigint)) as bigint) / {FOLDS * 1000000} as cv_accuracy, count(*) as cv_count from rk where r <= {TOP} group by v0, v1)"
+_RANK = f"{_EPI}, rk as (select *, row_number() over (partition by fold order by accuracy desc, v0, v1) as r from ev), mg as (select v0, v1, cast(sum(cast(round(accuracy * 1e6) as bigint)) as bigint) / {FOLDS * 1000000} as cv_accuracy, count(*) as cv_count, arg_min(risky, fold) as risky from rk where r <= {TOP} group by v0, v1)"
 for _name, _by, _sql in (("epi_rank_accuracy", "accuracy", "cv_accuracy desc, v0, v1"), ("epi_rank_count", "count", "cv_count desc, cv_accuracy desc, v0, v1")):
     query(_name, CP, f"{_RANK} select * from mg order by {_sql} limit {TOP}")(lambda c, p, b=_by: mdr.ranked(mdr.evaluated(mdr.models(*_setup(c, p), 2)), 2, FOLDS, TOP, b))
 

@@ -8,46 +8,62 @@ from pyspark.sql import functions as F
 from genoframe.functions.genotype import info_map, info_text, mendel_code, milli
 from genoframe.functions.mathx import div
 
-PAIRS = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+def pairs(n: int) -> list[tuple[int, int]]:
+    """Unordered genotypes of n alleles, in order."""
+    return [(i, j) for i in range(n) for j in range(i, n)]
 
 
-def count_if(c: Column) -> Column:
-    return F.sum(F.when(c, 1).otherwise(0)).cast("long")
+def gt_name(i: int, j: int) -> str:
+    return f"g{i}{j}" if j < 10 else f"g{i}_{j}"
+
 
+def widest(variants: DataFrame) -> int:
+    """Alleles of the record that has most, three at least: a look at one column."""
+    return max(3, variants.agg(F.max("n_alleles")).first()[0] or 0)
 
-def _pair(i: int, j: int) -> Column:
-    return (F.least("a1", "a2") == i) & (F.greatest("a1", "a2") == j)
 
+def count_if(c: Column) -> Column:
+    return F.sum(F.when(c, 1).otherwise(0)).cast("long")
 
-def aggregates() -> list[Column]:
+
+def aggregates(n: int) -> list[Column]:
+    """Counts of n alleles and their genotypes; a genotype counts where both alleles are called."""
     one = lambda c, k: F.when(F.col(c) == k, 1).otherwise(0)
+    both = F.col("a1").isNotNull() & F.col("a2").isNotNull()
+    pair = lambda i, j: both & (F.least("a1", "a2") == i) & (F.greatest("a1", "a2") == j)
     return [
-        *[F.sum(one("a1", k) + one("a2", k)).cast("long").alias(f"c{k}") for k in range(3)],
-        *[count_if(_pair(i, j)).alias(f"g{i}{j}") for i, j in PAIRS],
-        count_if(F.col("a1").isNotNull() & F.col("a2").isNotNull()).alias("called"),
+        *[F.sum(one("a1", k) + one("a2", k)).cast("long").alias(f"c{k}") for k in range(n)],
+        *[count_if(pair(i, j)).alias(gt_name(i, j)) for i, j in pairs(n)],
+        count_if(both).alias("called"),
     ]
 
 
-def finished(df: DataFrame, n_samples: Column) -> DataFrame:
-    """Missing genotypes, total alleles and the minor allele frequency from the counts."""
-    an = F.col("c0") + F.col("c1") + F.col("c2")
-    least = F.when(F.col("n_alleles") == 3, F.least("c0", "c1", "c2")).otherwise(F.least("c0", "c1"))
-    return df.withColumn("n_samples", n_samples.cast("long")).withColumn("an", an).withColumn("missing_genotypes", F.col("n_samples") - F.col("called")).withColumn("maf", F.round(div(least, an), 6))
+def finished(df: DataFrame, n_samples: Column, n: int) -> DataFrame:
+    """Missing genotypes, total alleles and the minor allele frequency (over the alleles the record has) from the counts."""
+    counts = [F.col(f"c{k}") for k in range(n)]
+    own = [counts[0], counts[1], *[F.when(F.col("n_alleles") > k, counts[k]) for k in range(2, n)]]  # least() skips nulls
+    df = df.withColumn("n_samples", n_samples.cast("long")).withColumn("an", sum(counts[1:], counts[0]))
+    return df.withColumn("missing_genotypes", F.col("n_samples") - F.col("called")).withColumn("maf", F.round(div(F.least(*own), F.col("an")), 6))
+
 
+def variant_stats(variants: DataFrame, calls: DataFrame, n_samples: int, alleles: int | None = None) -> DataFrame:
+    """One row a variant: allele counts c0, c1, ..., genotype counts gij, called, an, missing_genotypes, maf. Absent calls are missing.
 
-def variant_stats(variants: DataFrame, calls: DataFrame, n_samples: int) -> DataFrame:
-    """One row a variant: allele counts c0-c2, genotype counts gij, called, an, missing_genotypes, maf. Absent calls are missing."""
-    counts = calls.groupBy("variant_id").agg(*aggregates())
+    alleles: the most that a record has, looked up where it isn't given; the counts are that many columns, so that one
+    hash aggregation without lists does for all records."""
+    n = alleles or widest(variants)
+    counts = calls.groupBy("variant_id").agg(*aggregates(n))
     joined = variants.select("variant_id", "n_alleles").join(counts, "variant_id", "left").na.fill(0)
-    return finished(joined, F.lit(n_samples))
+    return finished(joined, F.lit(n_samples), n)
 
 
-def group_stats(variants: DataFrame, calls: DataFrame, ped: DataFrame, group: str) -> DataFrame:
+def group_stats(variants: DataFrame, calls: DataFrame, ped: DataFrame, group: str, alleles: int | None = None) -> DataFrame:
     """The same for each value of a pedigree column."""
-    counts = calls.join(ped.select("sample_id", group), "sample_id").groupBy("variant_id", group).agg(*aggregates())
+    n = alleles or widest(variants)
+    counts = calls.join(ped.select("sample_id", group), "sample_id").groupBy("variant_id", group).agg(*aggregates(n))
     sizes = ped.groupBy(group).agg(F.count("*").alias("size"))
     joined = counts.join(variants.select("variant_id", "n_alleles"), "variant_id").join(sizes, group)
-    return finished(joined, F.col("size")).drop("size")
+    return finished(joined, F.col("size"), n).drop("size")
 
 
 def trios(calls: DataFrame, ped: DataFrame, variants: DataFrame) -> DataFrame:
@@ -91,18 +107,24 @@ def inheritance(calls: DataFrame, ped: DataFrame) -> DataFrame:
     return x.groupBy("variant_id").agg(F.avg((affected == alt).cast("int")).alias("dominant"), F.avg((affected == both).cast("int")).alias("recessive"))
 
 
-def genotype_counts_text() -> Column:
+def _listed(parts: list[tuple[int, Column]]) -> Column:
+    """Texts in a row with commas; each stands only where the record has that many alleles."""
+    return F.concat_ws(",", *[text if k < 2 else F.when(F.col("n_alleles") > k, text) for k, text in parts])
+
+
+def genotype_counts_text(n: int) -> Column:
     """i/j:count over unordered pairs of the variant's alleles, then ./.:missing."""
-    parts = [F.when((F.col("n_alleles") == 3) if j == 2 else F.lit(True), F.concat(F.lit(f"{i}/{j}:"), F.col(f"g{i}{j}").cast("string"))) for i, j in PAIRS]
-    return F.concat(F.array_join(F.array_compact(F.array(*parts)), ","), F.lit(",./.:"), F.col("missing_genotypes").cast("string"))
+    parts = [(j, F.concat(F.lit(f"{i}/{j}:"), F.col(gt_name(i, j)).cast("string"))) for i, j in pairs(n)]
+    return F.concat(_listed(parts), F.lit(",./.:"), F.col("missing_genotypes").cast("string"))
 
 
 def aggregate_info(variants: DataFrame, stats: DataFrame, overwrite: bool = False, prefix: str = "AGG_") -> DataFrame:
     """INFO of each record with AC, AF, AN and GTC added: under prefixed names, or with overwrite in place of what the record had. Flags stay; keys in order."""
     mark = "" if overwrite else prefix
-    third = F.col("n_alleles") == 3
-    ac = F.concat_ws(",", F.col("c1").cast("string"), F.when(third, F.col("c2").cast("string")))
-    af = F.concat_ws(",", milli(F.col("c1"), F.col("an")), F.when(third, milli(F.col("c2"), F.col("an"))))
-    fresh = F.create_map(*[x for k, v in (("AC", ac), ("AF", af), ("AN", F.col("an").cast("string")), ("GTC", genotype_counts_text())) for x in (F.lit(mark + k), v)])
-    own = F.map_filter(info_map(F.col("info")), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
-    return variants.join(stats.drop("n_alleles"), "variant_id").select("variant_id", info_text(F.map_concat(own, fresh)).alias("info"))
+    n = sum(c[:1] == "c" and c[1:].isdigit() for c in stats.columns)
+    ac = _listed([(k, F.col(f"c{k}").cast("string")) for k in range(1, n)])
+    af = _listed([(k, milli(F.col(f"c{k}"), F.col("an"))) for k in range(1, n)])
+    fresh = F.create_map(*[x for k, v in (("AC", ac), ("AF", af), ("AN", F.col("an").cast("string")), ("GTC", genotype_counts_text(n))) for x in (F.lit(mark + k), v)])
+    own = F.map_filter(info_map(F.coalesce("info", F.lit("."))), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
+    taken = stats.select("variant_id", *[c for c in stats.columns if c not in variants.columns or c == "n_alleles"])
+    return variants.drop("n_alleles").join(taken, "variant_id").select("variant_id", info_text(F.map_concat(own, fresh)).alias("info"))

@@ -11,8 +11,8 @@ CHROM = "case when {k} % 23 = 22 then 'X' else cast({k} % 23 + 1 as string) end"
 VIEWS: dict[str, tuple[list[str], str]] = {
     "variants": (["part"], f"""select p_partkey as variant_id, {CHROM.format(k='p_partkey')} as chrom, 1000 + p_partkey * 37 as pos,
  case when p_partkey % 5 = 0 then '.' else concat('rs', cast(p_partkey as string)) end as id, substr('ACGT', k4, 1) as ref,
- case when p_size % 10 = 0 then concat(substr('CGTA', k4, 1), ',', substr('GTAC', k4, 1)) when p_size % 7 = 0 then concat(substr('ACGT', k4, 1), 'T') when p_size % 11 = 0 then '<DEL>' else substr('CGTA', k4, 1) end as alt,
- case when p_size % 10 = 0 then 3 else 2 end as n_alleles, case when p_size % 9 = 0 then null else cast(p_size * 2 as double) end as qual,
+ case when p_size % 20 = 0 then concat(substr('CGTA', k4, 1), ',', substr('GTAC', k4, 1), ',', substr('TACG', k4, 1)) when p_size % 10 = 0 then concat(substr('CGTA', k4, 1), ',', substr('GTAC', k4, 1)) when p_size % 7 = 0 then concat(substr('ACGT', k4, 1), 'T') when p_size % 11 = 0 then '<DEL>' else substr('CGTA', k4, 1) end as alt,
+ case when p_size % 20 = 0 then 4 when p_size % 10 = 0 then 3 else 2 end as n_alleles, case when p_size % 9 = 0 then null else cast(p_size * 2 as double) end as qual,
  case p_partkey % 4 when 0 then 'PASS' when 1 then 'q10' when 2 then 'q10;bias' else '.' end as filter,
  case when p_partkey % 13 = 0 then null else cast((p_size * 3) % 100 as bigint) end as dp, k4
  from (select *, cast(p_partkey % 4 as int) + 1 as k4 from part) p"""),
@@ -20,7 +20,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
  case when c_custkey % 3 = 0 then 1 when c_custkey % 3 = 1 then 2 else c_custkey % 2 + 1 end as sex,
  case when c_custkey % 3 = 2 or c_custkey % 4 = 1 then 2 else 1 end as condition, c_mktsegment as population from customer where c_custkey < 24"""),
     "calls": (["lineitem", "variants"], """select variant_id, sample_id, case when tax > 0.075 then null when quantity > 30 then 1 else 0 end as a1,
- case when tax > 0.075 then null when discount > 0.045 then case when n_alleles = 3 and line >= 6 then 2 else 1 end else 0 end as a2
+ case when tax > 0.075 then null when discount > 0.045 then case when n_alleles = 4 and line >= 7 then 3 when n_alleles > 2 and line >= 6 then 2 else 1 end else 0 end as a2
  from (select l_partkey as variant_id, l_orderkey % 24 as sample_id, l_quantity as quantity, l_discount as discount, l_tax as tax, l_linenumber as line,
  row_number() over (partition by l_partkey, l_orderkey % 24 order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) as pick from lineitem) l
  join (select variant_id as v, n_alleles from variants) n on n.v = l.variant_id where pick = 1"""),

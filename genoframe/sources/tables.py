@@ -10,8 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_ped(spark: SparkSession, path: str, variable: int = 6, unaffected: str = "1", affected: str = "2") -> DataFrame:
-    """family_id, sample_id, father_id, mother_id, sex, phenotype, condition (1 unaffected, 2 affected, null otherwise). variable: column of the phenotype, from 1."""
+def read_ped(spark: SparkSession, path: str, variable: int | str = 6, unaffected: str = "1", affected: str = "2") -> DataFrame:
+    """family_id, sample_id, father_id, mother_id, sex, phenotype, condition (1 unaffected, 2 affected, null otherwise).
+
+    variable: column of the phenotype, by its number from 1 or by its name in a header line that starts with #."""
+    if isinstance(variable, str) and not variable.isdigit():
+        head = spark.read.text(path).where(F.col("value").startswith("#")).limit(1).collect()
+        names = head[0]["value"].lstrip("#").split() if head else []
+        if variable not in names:
+            raise ValueError(f"no column {variable} in the header of {path}")
+        variable = names.index(variable) + 1
+    variable = int(variable)
     f = F.split(F.trim("value"), r"\s+")
     at = lambda k: F.try_element_at(f, F.lit(k))
     value = at(variable)
@@ -38,6 +47,10 @@ def read_chrom_order(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split("value", "\n")).alias("ord", "chrom")).where("trim(chrom) <> ''").select(F.trim("chrom").alias("chrom"), "ord")
 
 
+#: Columns of an annotation file for the command line.
+ANNOTATION = "chrom string, pos long, consequence string, so_code int, gene string, snp_id string"
+
+
 def read_annotation(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines or tab-separated rows in place of a remote service."""
     return spark.read.schema(schema).json(path) if path.endswith(".json") else spark.read.schema(schema).csv(path, sep="\t")
@@ -72,8 +85,8 @@ def write_gwas(result: DataFrame, path: str) -> None:
 def write_effects(found: DataFrame, path: str) -> None:
     """JSON by consequence, a summary of counts, and the genes."""
     found.withColumn("part", F.col("consequence")).write.mode("overwrite").partitionBy("part").json(f"{path}/effects")
-    found.groupBy("consequence").count().write.mode("overwrite").csv(f"{path}/summary", sep="\t")
-    found.select("gene").distinct().write.mode("overwrite").csv(f"{path}/genes")
+    found.groupBy(F.lower("consequence").alias("consequence")).count().write.mode("overwrite").csv(f"{path}/summary", sep="\t")
+    found.select(F.lower("gene").alias("gene")).distinct().write.mode("overwrite").csv(f"{path}/genes")
 
 
 def write_stats(stats: DataFrame, path: str, chunk: int = 1_000_000) -> None:

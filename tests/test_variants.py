@@ -7,7 +7,7 @@ import pytest
 
 from genoframe.functions.genotype import code, coverage_label, info_map, info_text, mendel_code
 from genoframe.functions.mathx import chi_square_p, fisher_two_sided
-from genoframe.operators import filters, gwas, mdr, merge
+from genoframe.operators import filters, gwas, mdr, merge, stats
 from genoframe.operators.registry import ORACLES, QUERIES
 from genoframe.__main__ import options, run
 from genoframe.sources import cohort, tables, vcf
@@ -198,7 +198,7 @@ def test_command_line(spark, tmp_path):
     run(spark, options(["filter", "--vcf", a, "--out", f"{out}/w", "--region", "2"]))
     assert lines(f"{out}/w/filtered") == ONE.splitlines()[3:] and lines(f"{out}/w/rejected") == ONE.splitlines()[2:3]
     run(spark, options(["merge", "--vcf", a, b, "--out", f"{out}/m", "--info-fields", "DP,H2,NS,AC"]))
-    assert lines(f"{out}/m/records") == ["1\t5\trs1\tA\tT,G\t30\tPASS\tDP=12;H2;NS=3;AC=3,1\tGT\t0/1\t1/1\t0/2", "2\t9\t.\tAC\tA\t0\tq10\tDP=7;NS=2;AC=1\tGT\t0/0\t0/1\t./."]
+    assert lines(f"{out}/m/records") == ["1\t5\trs1\tA\tT,G\t30\tPASS\tDP=12;H2;NS=3;AC=3,1\tGT:DP:GQ\t0/1:3:10\t1|1:4:0\t0/2:5:.", "2\t9\t.\tAC\tA\t0\tq10\tDP=7;NS=2;AC=1\tDP:GT\t3:0/0\t4:0/1\t.:./."]
     with pytest.raises(ValueError, match="more than one file"):
         run(spark, options(["merge", "--vcf", a, a.replace("a.vcf", "c.vcf"), "--out", f"{out}/x"])) if (tmp_path / "c.vcf").write_text(ONE) else None
     run(spark, options(["stats", "--vcf", a, "--out", f"{out}/t"]))
@@ -207,6 +207,48 @@ def test_command_line(spark, tmp_path):
     assert {(r["pos"], r["a1_count"], r["u2_count"]) for r in spark.read.csv(f"{out}/g", sep="\t", header=True).collect()} == {("5", "1", "2"), ("9", "2", "1")}
 
 
+def test_command_line_of_epistasis_annotation_and_families(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text(ONE.replace("\tmum", "\tmum\tkid").replace("1|1:4:0", "1|1:4:0\t0/0:5:9").replace("4:0/1", "4:0/1\t6:0/0"))
+    (tmp_path / "f.ped").write_text("#FID IID PID MID SEX TRAIT\nF dad 0 0 1 2\nF mum 0 0 2 1\nF kid dad mum 1 2\n")
+    (tmp_path / "e.tsv").write_text("1\t5\tmissense_variant\t1583\tBRCA\trs7\n1\t5\tintron_variant\t1627\tBRCA\t\n")
+    a, ped, ann, out = (f"{tmp_path}/{x}" for x in ("a.vcf", "f.ped", "e.tsv", "out"))
+    lines = lambda path: sorted(r["value"] for r in spark.read.text(path).collect())
+    run(spark, options(["vcf2epi", "--vcf", a, "--ped", ped, "--out", f"{out}/v", "--variable", "TRAIT"]))
+    assert {(r["pos"], r["m0"], r["m1"], r["m2"]) for r in spark.read.parquet(f"{out}/v/genotypes").collect()} == {(5, 2, 1, 4), (9, 3, 4, 0)}
+    run(spark, options(["epi", "--vcf", a, "--ped", ped, "--out", f"{out}/e", "--folds", "2", "--repetitions", "2"]))
+    for k in (1, 2):
+        assert f"#CROSS VALIDATION {k}" in lines(f"{out}/e/cross_validation_{k}") and len(lines(f"{out}/e/cross_validation_{k}")) == 6
+    run(spark, options(["effect", "--vcf", a, "--annotation", ann, "--out", f"{out}/f", "--exclude", "intron_variant"]))
+    assert lines(f"{out}/f/summary") == ["missense_variant\t1"] and lines(f"{out}/f/genes") == ["brca"] and len(lines(f"{out}/f/unprocessed")) == 1
+    run(spark, options(["annot", "--vcf", a, "--annotation", ann, "--out", f"{out}/n"]))
+    first = lines(f"{out}/n/records")[0].split("\t")
+    assert (first[2], first[7]) == ("rs7", "DP=50;EFF=intron_variant,missense_variant;H2")
+    run(spark, options(["aggregate", "--vcf", a, "--out", f"{out}/g"]))
+    assert lines(f"{out}/g/records")[0] == "1\t5\trs1\tA\tT\t40\tPASS\tAGG_AC=3;AGG_AF=0.500;AGG_AN=6;AGG_GTC=0/0:1,0/1:1,1/1:1,./.:0;DP=50;H2"
+    run(spark, options(["filter", "--vcf", a, "--ped", ped, "--annotation", ann, "--out", f"{out}/m", "--mendel", "0"]))
+    assert [x[:3] for x in lines(f"{out}/m/filtered")] == ["2\t9"] and [x[:3] for x in lines(f"{out}/m/rejected")] == ["1\t5"]
+    run(spark, options(["filter", "--vcf", a, "--annotation", ann, "--out", f"{out}/b", "--gene", "brca"]))
+    assert [x[:3] for x in lines(f"{out}/b/filtered")] == ["1\t5"]
+    with pytest.raises(ValueError, match="no column"):
+        tables.read_ped(spark, ped, "HEIGHT")
+
+
+def test_merged_samples_hold_all_fields(spark):
+    """Genotypes in the merged alleles, phase kept; other fields carried; dots and the fill where a file or field is absent."""
+    own = [(0, "T", "PASS", "NS=3;DP=14;H2", "GT:GQ:DP:HQ", ["1/1:20:40:30", "0/1:10:60:50", "0|0:30:50:70"]), (1, "G", "STD_FILTER", "DP=10", "GT:RD", ["1/1:40", "0/1:60", "0/0:50"]), (2, "CT", "q10", "AF=0.5", "RD:HQ:GT:GQ", ["20:40:1/1:30"]), (3, "T", ".", "DB;H2", "GT", ["1/1", "0/1"])]
+    records = spark.createDataFrame([(f, "1", 5, ".", "A", alt, 1.0, flt, info, fmt, s) for f, alt, flt, info, fmt, s in own], "file_idx int, chrom string, pos long, id string, ref string, alt string, qual double, filter string, info string, format string, samples array<string>")
+    files = spark.createDataFrame([(f, f"{f}{k}") for f, *_, s in own for k in range(len(s))], "file_idx int, sample_id string")
+    one = merge.grouped(records, files)
+    row = merge.full_samples(one, files).first()
+    want = ["1/1:20:40:30:.", "0/1:10:60:50:.", "0|0:30:50:70:.", "2/2:.:.:.:40", "0/2:.:.:.:60", "0/0:.:.:.:50", "3/3:30:.:40:20", "1/1:.:.:.:.", "0/1:.:.:.:."]
+    assert row["format"] == "GT:GQ:DP:HQ:RD" and row["samples"] == want
+    for k, options_ in ((2, {"copy_filter": True}), (3, {"copy_info": True})):
+        last = [o[k] for o in own for _ in o[5]]
+        assert merge.full_samples(one, files, **options_).first()["samples"] == [f"{x}:{y}" for x, y in zip(want, last, strict=True)]
+    part = merge.full_samples(merge.grouped(records.where("file_idx in (0, 2)"), files), files, fill="0/0").first()["samples"]
+    assert part == [*want[:3], *["0/0:.:.:.:."] * 3, "2/2:30:.:40:20", *["0/0:.:.:.:."] * 2]
+
+
 def test_regions_of_any_extent(spark):
     v = spark.createDataFrame([("1", 5), ("1", 20_000), ("1", 21_111_111_111), ("2", 7), ("X", 3), (None, 3)], "chrom string, pos long")
     found = lambda text, table=None: sorted((r["chrom"], r["pos"]) for r in filters.in_regions(v, filters.parse_regions(text), table).collect())
@@ -226,14 +268,47 @@ def test_cheap_filters_go_below_the_join(spark, capsys):
     assert marked.where("passed is null").count() == 0 and marked.where("not passed").count() == 4
 
 
-def test_epistasis_takes_sample_names_and_refuses_too_many(spark):
-    ped = spark.createDataFrame([(f"s{k:02}", 1 + k % 2) for k in range(64)], "sample_id string, condition int")
-    calls = spark.createDataFrame([(1, f"s{k:02}", k % 2, k % 2) for k in range(64)], "variant_id long, sample_id string, a1 int, a2 int")
-    row = mdr.bitmaps(calls, ped).first()
-    assert bin(row["m0"] % (1 << 64)).count("1") == 32 and bin(row["m2"] % (1 << 64)).count("1") == 32 and row["m0"] & row["m2"] == row["m1"] == 0
-    more = ped.unionByName(spark.createDataFrame([("t", 1)], "sample_id string, condition int"))
-    with pytest.raises(Exception, match="64 samples at most"):
-        mdr.bitmaps(calls.unionByName(spark.createDataFrame([(1, "t", 0, 0)], calls.schema)), more).collect()
+def test_epistasis_of_more_samples_than_a_word_has(spark):
+    """150 named samples take three words: counts, ranking, repetitions and report against plain Python."""
+    import itertools
+    import random
+
+    r = random.Random(2)
+    n, order, k = 150, 2, 3
+    alleles = {v: [r.choice([(None, None), (0, 0), (0, 1), (1, 1)]) for _ in range(n)] for v in range(4)}
+    codes = {v: [None if a is None else 1 if a != b else 2 * (a > 0) for a, b in g] for v, g in alleles.items()}
+    ids = [f"s{x:03}" for x in range(n)]
+    ped = spark.createDataFrame([(s, 2 if x % 3 == 0 else 1) for x, s in enumerate(ids)], "sample_id string, condition int")
+    calls = spark.createDataFrame([(v, ids[x], *g) for v, row in alleles.items() for x, g in enumerate(row)], "variant_id long, sample_id string, a1 int, a2 int")
+    maps = mdr.bitmaps(calls, ped)
+    assert maps.columns == ["variant_id", *[f"m{c}{w}" for c in range(3) for w in ("", "_w1", "_w2")]]
+    folds = mdr.folds(ped, k)
+    dealt = {int(x["sample_id"][1:]): x["fold"] for x in folds.collect()}
+    masks = mdr.fold_masks(folds)
+    got = {(x["v0"], x["v1"], x["fold"], x["cell"]): (x["cases"], x["controls"]) for x in mdr.fold_counts(maps, masks, order).collect()}
+    assert len(got) == 6 * k * 9
+    for pair in itertools.combinations(range(4), 2):
+        for fold in range(k):
+            for cell in mdr.cells(2):
+                own = [x for x in range(n) if dealt[x] != fold and all(codes[v][x] == c for v, c in zip(pair, cell, strict=True))]
+                assert got[(*pair, fold, "".join(map(str, cell)))] == (sum(x % 3 == 0 for x in own), sum(x % 3 > 0 for x in own))
+    first, second = mdr.cross_validations(calls, ped, order, k, 3, 2)
+    rows = first.collect()
+    assert len(rows) == 3 and rows != second.collect() and all(x["risky"] and x["cv_count"] <= k for x in rows)
+    lines = mdr.report(first, order)
+    cells = "".join(f"({c[0]}-{c[1]}), " for c in rows[0]["risky"].split(","))
+    assert lines[0] == "#CROSS VALIDATION 1" and lines[5] == f"1\t( {rows[0]['v0']}, {rows[0]['v1']} )\t{cells}{rows[0]['cv_count']}\t{rows[0]['cv_accuracy']:.3f}" and len(lines) == 8
+
+
+def test_statistics_of_any_number_of_alternates(spark):
+    variants = spark.createDataFrame([(1, 13, None), (2, 2, "AC=9;H2")], "variant_id long, n_alleles int, info string")
+    calls = spark.createDataFrame([(1, 1, 12, 12), (1, 2, 0, 11), (1, 3, None, 5), (2, 1, 0, 1)], "variant_id long, sample_id long, a1 int, a2 int")
+    found = stats.variant_stats(variants, calls, 4)
+    row = found.where("variant_id = 1").first()
+    assert (row["c12"], row["c11"], row["c5"], row["an"], row["g12_12"], row["g0_11"], row["called"], row["missing_genotypes"], row["maf"]) == (2, 1, 1, 5, 1, 1, 2, 2, 0.0)
+    info = {r["variant_id"]: r["info"] for r in stats.aggregate_info(variants, found, overwrite=True).collect()}
+    assert info[2] == "AC=1;AF=0.500;AN=2;GTC=0/0:0,0/1:1,1/1:0,./.:3;H2"
+    assert info[1].startswith("AC=0,0,0,0,1,0,0,0,0,0,1,2;AF=0.000,") and ",0/11:1," in info[1] and info[1].endswith(",12/12:1,./.:2")
 
 
 def test_generations_become_nuclear_families(spark):
