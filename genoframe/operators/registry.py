@@ -435,6 +435,24 @@ def _merge_info_fields(r, s, c):
     return found.select("chrom", "pos", F.array_join(F.col("ac").cast("array<string>"), ",").alias("ac"), F.round(F.try_element_at("af", F.lit(1)), 6).alias("af_first"), "an", "dp", F.round("mq", 6).alias("mq"), "mq0", "ns", F.round("qd", 6).alias("qd"), *flags)
 
 
+TEXT = f"case file_idx when 0 then concat(gt, ':', coalesce(cast({QUALITY} as string), '.'), ':', coalesce(cast({DEPTH} as string), '.')) when 1 then concat(gt, ':', coalesce(cast({DEPTH} as string), '.')) else concat(coalesce(cast({DEPTH} as string), '.'), ':', coalesce(cast({QUALITY} as string), '.'), ':', gt) end"
+
+
+@query("merge_sample_fields", RSC, f"""{_samples_sql('./.')},
+ u as (select chrom, pos, flatten(list(string_split({FORMATS}, ':') order by file_idx)) as w from file_records group by chrom, pos),
+ fm as (select chrom, pos, list_filter(w, lambda a, i: list_position(w, a) = i) as fields from u),
+ own as (select chrom, pos, sample_id, file_idx, cast({DEPTH} as varchar) as d, cast({QUALITY} as varchar) as q from (select x.*, s.sample_id from file_records x join file_samples s on s.file_idx = x.file_idx) y),
+ t as (select g.chrom, g.pos, g.sample_id, fields, array_to_string(list_transform(fields, lambda f: coalesce(case when f = 'GT' then gt when f = 'GQ' and file_idx = 0 or f = 'HQ' and file_idx = 2 then q when f = 'DP' and file_idx = 0 or f = 'RD' and file_idx > 0 then d end, '.')), ':') as text
+  from gts g join fm on fm.chrom = g.chrom and fm.pos = g.pos left join own on own.chrom = g.chrom and own.pos = g.pos and own.sample_id = g.sample_id)
+ select chrom, pos, array_to_string(any_value(fields), ':') as format, string_agg(text, ' ' order by sample_id) as samples from t group by chrom, pos""")
+def _sample_fields(r, s, c):
+    gt = F.concat(F.coalesce(F.col("a1").cast("string"), F.lit(".")), F.lit("/"), F.coalesce(F.col("a2").cast("string"), F.lit(".")))
+    cells = r.join(s, "file_idx").join(c, ["variant_id", "sample_id"], "left").withColumn("gt", gt).withColumn("text", F.expr(TEXT))
+    texts = cells.groupBy("file_idx", "variant_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "text"))).alias("x")).select("file_idx", "variant_id", F.transform("x", lambda x: x["text"]).alias("samples"))
+    full = merge.full_samples(merge.grouped(r.withColumn("format", F.expr(FORMATS)).join(texts, ["file_idx", "variant_id"]), s), s)
+    return full.select("chrom", "pos", "format", F.array_join("samples", " ").alias("samples"))
+
+
 HEADERS = "select file_idx, k as ord, case k % 3 when 0 then 'FILTER' when 1 then 'FORMAT' else 'INFO' end as kind, concat('entry', cast((k + file_idx * 2) % 7 as string)) as text from (select distinct file_idx from file_samples) f cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4) x"
 
 
