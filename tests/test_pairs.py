@@ -34,3 +34,21 @@ def test_pair_counts_join_no_variants(spark):
     masks = spark.createDataFrame([(0, 3, 4)], "fold long, train_cases long, train_controls long")
     row = pairs.pair_counts(maps, masks).first()
     assert row["n"] == 200_000 * 199_999 // 2 and row["cases_22"] == 0 and row["cases_00"] > 0
+
+
+@pytest.fixture(scope="module", params=[(24, 30, 1, 4), (9, 45, 3, 3), (12, 40, 40, 5), (30, 8, 2, 2)])
+def judged(spark, request):
+    """Bitmaps and masks, also with a sample of neither class; more samples than a table takes in the last."""
+    n, variants, copies, k = request.param
+    calls, ped = cohort(spark, n, variants, 7, copies)
+    ped = ped.withColumn("condition", F.when(F.col("sample_id") == 4, 0).otherwise(F.col("condition")).cast("int"))
+    return mdr.bitmaps(calls, ped).localCheckpoint(), mdr.fold_masks(mdr.folds(ped.where("condition > 0"), k).unionByName(ped.where("condition = 0").withColumn("fold", F.lit(0).cast("long")))).localCheckpoint()
+
+
+@pytest.mark.parametrize("partition", ["train", "test"])
+def test_confusions_of_classes(judged, partition):
+    maps, masks = judged
+    cols = ["fold", "tp", "fn", "fp", "tn"]
+    want = mdr.models(maps, masks, 2, partition).groupBy(*cols).count().collect()
+    got = pairs.confusions(maps, masks, partition).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
