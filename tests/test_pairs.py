@@ -52,3 +52,11 @@ def test_confusions_of_classes(judged, partition):
     want = mdr.models(maps, masks, 2, partition).groupBy(*cols).count().collect()
     got = pairs.confusions(maps, masks, partition).collect()
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
+
+
+def test_evaluations_make_no_pairs(spark):
+    """epi_eval's plan has no join of variants by an inequality."""
+    from genoframe.operators.registry import QUERIES
+
+    plan = QUERIES["epi_eval"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant_id" in plan and not any("Join" in line and "<" in line for line in plan.splitlines())
