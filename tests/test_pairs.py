@@ -60,3 +60,10 @@ def test_evaluations_make_no_pairs(spark):
 
     plan = QUERIES["epi_eval"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "variant_id" in plan and not any("Join" in line and "<" in line for line in plan.splitlines())
+
+
+def test_risky_cells_of_classes(judged):
+    maps, masks = judged
+    want = mdr.models(maps, masks, 2).groupBy("fold", "risky").count().collect()
+    got = pairs.risky_cells(maps, masks).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
