@@ -67,3 +67,10 @@ def test_risky_cells_of_classes(judged):
     want = mdr.models(maps, masks, 2).groupBy("fold", "risky").count().collect()
     got = pairs.risky_cells(maps, masks).collect()
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
+
+
+@pytest.mark.parametrize(("evaluation", "partition", "top"), [("BA", "train", 5), ("GAMMA", "test", 40)])
+def test_best_models_of_classes(judged, evaluation, partition, top):
+    maps, masks = judged
+    want = mdr.ranked(mdr.evaluated(mdr.models(maps, masks, 2, partition), evaluation), 2, 3, top)
+    assert mdr.ranked(pairs.best_models(maps, masks, top, evaluation, partition), 2, 3, top).collect() == want.collect()
