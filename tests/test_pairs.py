@@ -74,3 +74,13 @@ def test_best_models_of_classes(judged, evaluation, partition, top):
     maps, masks = judged
     want = mdr.ranked(mdr.evaluated(mdr.models(maps, masks, 2, partition), evaluation), 2, 3, top)
     assert mdr.ranked(pairs.best_models(maps, masks, top, evaluation, partition), 2, 3, top).collect() == want.collect()
+
+
+def test_ranking_by_count_through_cross_validations(spark):
+    calls, ped = cohort(spark, 20, 36, 11, copies=2)
+    found = mdr.cross_validations(calls, ped, 2, 3, 4, 2, "count")
+    maps = mdr.bitmaps(calls, ped)
+    for r, ranking in enumerate(found):
+        masks = mdr.fold_masks(mdr.folds(ped, 3, 2654435761 + 7368787 * r))
+        assert ranking.collect() == mdr.ranked(mdr.evaluated(mdr.models(maps, masks, 2)), 2, 3, 4, "count").collect()
+        assert not any("Join" in line and "variant_id" in line and "<" in line for line in ranking._jdf.queryExecution().optimizedPlan().toString().splitlines())
