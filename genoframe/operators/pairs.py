@@ -2,16 +2,18 @@
 
 `pair_counts` takes one pass over the variants in order. The others compare classes of variants with equal bitmaps, in tiles of
 two blocks of classes: a cell of a pair is the AND of two bitmaps, a table over all bitmaps of the samples has what such a cell
-adds in several folds at once, and tiles are added up in NumPy arrays. All results cover all pairs i < j.
+adds in several folds at once, and tiles are added up in NumPy arrays. All results cover all pairs i < j; the ranking passes over pairs
+whose called samples alone show that they aren't among the best.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoframe.llm.common import stored
@@ -190,6 +192,13 @@ class _Block:
         self.n, self.m = row[f"{side}_n"], get("m", np.int32).reshape(3, -1).astype(np.int64)
         self.w, self.first, self.ids, self.cls = (get(c, np.int64) for c in ("w", "first", "ids", "cls"))
 
+    def part(self, where: np.ndarray) -> _Block:
+        """Some of the classes, without their members."""
+        out = object.__new__(_Block)
+        out.n, out.m, out.w, out.first = int(where.sum()), np.ascontiguousarray(self.m[:, where]), self.w[where], self.first[where]
+        out.ids = out.cls = np.zeros(0, np.int64)
+        return out
+
 
 def _classes(maps: DataFrame, whole: int, members: bool) -> DataFrame:
     """Variants with their bitmaps over the cases and controls alone, in blocks by bitmap; or, without members, one row for those that are equal."""
@@ -200,14 +209,14 @@ def _classes(maps: DataFrame, whole: int, members: bool) -> DataFrame:
     return x.withColumn("block", F.pmod(F.xxhash64(*m), F.lit(BLOCKS)).cast("int"))
 
 
-def _tiles(maps: DataFrame, rows: list, groups: int, members: bool = False) -> DataFrame:
+def _tiles(classes: DataFrame, rows: list, groups: int) -> DataFrame:
     """A row for each two blocks, and each block with itself, and each group of folds; the row has the blocks' classes."""
     whole = rows[0]["cases"] | rows[0]["controls"]
-    blocks = _classes(maps, whole, members).groupBy("block").applyInArrow(_pack([k for k in range(64) if whole >> k & 1]), PACKED)
+    blocks = classes.groupBy("block").applyInArrow(_pack([k for k in range(64) if whole >> k & 1]), PACKED)
     left, right = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "lr")
     left = left.withColumn("other", F.explode(F.sequence("l_block", F.lit(BLOCKS - 1))))
     both = left.join(right, F.col("other") == F.col("r_block")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    tasks = max(48, min(3 * maps.sparkSession.sparkContext.defaultParallelism, BLOCKS * (BLOCKS + 1) // 2))
+    tasks = max(48, min(3 * classes.sparkSession.sparkContext.defaultParallelism, BLOCKS * (BLOCKS + 1) // 2))
     return both.repartition(tasks).sortWithinPartitions("grp")
 
 
@@ -292,7 +301,7 @@ def confusions(maps: DataFrame, masks: DataFrame, partition: str = "train") -> D
     if not rows:
         return maps.sparkSession.createDataFrame([], "fold long, tp long, fn long, fp long, tn long, n long")
     groups = _groups(rows, "confusion", partition)
-    found = _tiles(maps, rows, len(groups)).mapInArrow(_confusions(groups), "fold long, tp long, fp long, n long").groupBy("fold", "tp", "fp").agg(F.sum("n").alias("n"))
+    found = _tiles(_classes(maps, rows[0]["cases"] | rows[0]["controls"], False), rows, len(groups)).mapInArrow(_confusions(groups), "fold long, tp long, fp long, n long").groupBy("fold", "tp", "fp").agg(F.sum("n").alias("n"))
     sizes = F.create_map(*[F.lit(x) for r in rows for x in (r["fold"], r[f"{partition}_cases"].bit_count())]), F.create_map(*[F.lit(x) for r in rows for x in (r["fold"], r[f"{partition}_controls"].bit_count())])
     fn, tn = ((s[F.col("fold")] - F.col(c)).cast("long") for s, c in zip(sizes, ("tp", "fp"), strict=True))
     return found.select("fold", "tp", fn.alias("fn"), "fp", tn.alias("tn"), "n")
@@ -379,12 +388,18 @@ def risky_cells(maps: DataFrame, masks: DataFrame) -> DataFrame:
     if not rows:
         return maps.sparkSession.createDataFrame([], "fold long, risky string, n long")
     groups = _groups(rows, "risk")
-    found = _tiles(maps, rows, len(groups), members=True).mapInArrow(_risks(groups), "fold long, cells long, n long").groupBy("fold", "cells").agg(F.sum("n").alias("n"))
+    found = _tiles(_classes(maps, rows[0]["cases"] | rows[0]["controls"], True), rows, len(groups)).mapInArrow(_risks(groups), "fold long, cells long, n long").groupBy("fold", "cells").agg(F.sum("n").alias("n"))
     names = [F.when(F.col("cells").bitwiseAND(F.lit(1 << k)) != 0, f"{a}{b}") for k, (a, b) in enumerate(CODES)]
     return found.select("fold", F.array_join(F.array_compact(F.array(*names)), ",").alias("risky"), "n")
 
 
 # ---- best models ------------------------------------------------------------------------------------------------
+def _frame(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table of whole numbers that no Python worker makes."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=names))
+
+
 def _levels(maps: DataFrame, rows: list, groups: list[tuple], evaluation: str, partition: str) -> list[list[np.ndarray]]:
     """For each group and fold the place of each lane's evaluation among all that can occur, best first; as Spark rounds and orders them."""
     cases = []
@@ -392,7 +407,7 @@ def _levels(maps: DataFrame, rows: list, groups: list[tuple], evaluation: str, p
         for k, f in enumerate(spec[5]):
             n1, n0 = f[3].bit_count(), f[4].bit_count()
             cases += [(g, k, tp << f[5] | fp, tp, n1 - tp, fp, n0 - fp) for tp in range(n1 + 1) for fp in range(n0 + 1)]
-    frame = maps.sparkSession.createDataFrame(cases, "g int, k int, code int, tp long, fn long, fp long, tn long")
+    frame = _frame(maps.sparkSession, cases, ["g", "k", "code", "tp", "fn", "fp", "tn"])
     found = mdr.evaluated(frame, evaluation).select("g", "k", "code", "accuracy").collect()
     place = {x: n for n, x in enumerate(sorted({r["accuracy"] for r in found if r["accuracy"] is not None}, reverse=True))}
     out = [[np.full(1 << spec[4], len(place) + 1, np.int64) for _ in spec[5]] for spec in groups]
@@ -401,59 +416,101 @@ def _levels(maps: DataFrame, rows: list, groups: list[tuple], evaluation: str, p
     return out
 
 
+#: A place (level, first variant) behind all.
+LAST = (1 << 40, 1 << 62)
+
+
+def _bounds(groups: list[tuple], levels: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """For each group and fold, by called cases and controls of a variant: the best level that any pair with it can have, as a pair's
+    true and false positives are called at both its variants."""
+    out = []
+    for spec, own in zip(groups, levels, strict=True):
+        out.append([])
+        for f, level in zip(spec[5], own, strict=True):
+            tp, fp = np.arange(f[3].bit_count() + 1), np.arange(f[4].bit_count() + 1)
+            out[-1].append(np.minimum.accumulate(np.minimum.accumulate(level[tp[:, None] << f[5] | fp], axis=0), axis=1))
+    return out
+
+
 class _Best:
-    """The best `top` pairs of classes of a fold by (level, first variant, second variant)."""
+    """The best `top` pairs of classes of a fold by (level, first variant, second variant); bar: a place behind which no pair counts."""
 
-    def __init__(self, top: int) -> None:
-        self.top, self.rows = top, np.zeros((3, 0), np.int64)
+    def __init__(self, top: int, bar: tuple[int, int] = LAST) -> None:
+        self.top, self.bar, self.rows = top, bar, np.zeros((3, 0), np.int64)
 
-    def most(self) -> int:
-        """The level that a pair may have at most."""
-        return int(self.rows[0, -1]) if self.rows.shape[1] == self.top else 1 << 40
+    def most(self) -> tuple[int, int]:
+        """The (level, first variant) that a pair may have at most."""
+        return min(self.bar, (int(self.rows[0, -1]), int(self.rows[1, -1]))) if self.rows.shape[1] == self.top else self.bar
 
     def add(self, level: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         new = np.stack([level, np.minimum(a, b), np.maximum(a, b)])
-        if self.rows.shape[1] == self.top:
-            new = new[:, (new[0] < self.rows[0, -1]) | (new[0] == self.rows[0, -1]) & (new[1] <= self.rows[1, -1])]
+        last = self.most()
+        new = new[:, (new[0] < last[0]) | (new[0] == last[0]) & (new[1] <= last[1])]
         if new.shape[1]:
             both = np.concatenate([self.rows, new], axis=1)
             self.rows = both[:, np.lexsort((both[2], both[1], both[0]))[: self.top]]
 
 
-def _bests(groups: list[tuple], levels: list[list[np.ndarray]], top: int):
+def _contenders(p: _Block, q: _Block, spec: tuple, bounds: list[np.ndarray], limits: list[tuple[int, int]]) -> list[tuple[_Block, _Block, list[int]]]:
+    """Parts of a tile, and the folds for which they are compared: each pair that can be within a fold's limit is once in the fold's parts.
+
+    Such a pair has both bounds before the limit's level, or none behind it and a variant not behind the limit's first. Where the folds' parts
+    are more than the tile, the tile is compared once for all folds."""
+    size, parts = 0, []
+    for k, f in enumerate(spec[5]):
+        sides = []
+        for x in (p, q):
+            called = x.m[0] | x.m[1] | x.m[2]
+            bound = bounds[k][np.bitwise_count(called & f[3]), np.bitwise_count(called & f[4])]
+            before, at, early = bound < limits[k][0], bound == limits[k][0], x.first <= limits[k][1]
+            sides.append((before, at, before | at, early))
+        (lb, la, ln, le), (rb, ra, rn, re) = sides
+        for left, right in ((lb, rb), (lb & le, ra), (la & le, rn), (lb & ~le, ra & re), (la & ~le, rn & re)):
+            if left.any() and right.any():
+                size += int(left.sum()) * int(right.sum())
+                parts.append((left, right, [k]))
+    if size >= p.n * q.n:
+        return [(p, q, list(range(len(spec[5]))))]
+    return [(p.part(left), q.part(right), folds) for left, right, folds in parts]
+
+
+def _bests(groups: list[tuple], levels: list[list[np.ndarray]], top: int, bars: dict[int, tuple[int, int]]):
+    bounds = _bounds(groups, levels)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int, bool], _Best] = {}
         every = np.arange(1 << 16)
         for g, p, q, same in _read(batches):
             lane, folds = groups[g][4:]
             where = [divmod(lane * k, 16) for k in range(len(folds))]
-            lists = [best.setdefault((g, k, False), _Best(top)) for k in range(len(folds))]
-            if same:
-                alone = _equal_pairs(p, groups[g]).view("<u2").reshape(-1, 2)
-                twice = np.flatnonzero(p.w > 1)
+            lists = [best.setdefault((g, k, False), _Best(top, bars.get(f[0], LAST))) for k, f in enumerate(folds)]
+            twice = np.flatnonzero(p.w > 1)
+            if same and len(twice):
+                alone = _equal_pairs(p.part(p.w > 1), groups[g]).view("<u2").reshape(-1, 2)
                 for k, (h, at) in enumerate(where):
-                    level = levels[g][k][alone[twice, h] >> at & (1 << lane) - 1]
-                    best.setdefault((g, k, True), _Best(top)).add(level, p.first[twice], p.first[twice])
-            limits, wanted = None, None
-            for r0, r1, c0, c1, out in _values(p, q, groups[g]):
-                now = [x.most() for x in lists]
-                if now != limits:
-                    limits, wanted = now, np.zeros((2, 1 << 16), bool)
-                    for k, (h, at) in enumerate(where):
-                        wanted[h] |= levels[g][k][every >> at & (1 << lane) - 1] <= limits[k]
-                halves = out.view("<u2").reshape(-1, 2)
-                for h in range(2):
-                    if not wanted[h].any():
-                        continue
-                    found = np.flatnonzero(wanted[h].take(halves[:, h]))
-                    a, b, code = p.first[r0 + found // (c1 - c0)], q.first[c0 + found % (c1 - c0)], halves[found, h]
-                    for k, (at_h, at) in enumerate(where):
-                        if at_h == h:
-                            level = levels[g][k][code >> at & (1 << lane) - 1]
-                            keep = level <= limits[k]
-                            if same:
-                                keep &= a < b
-                            lists[k].add(level[keep], a[keep], b[keep])
+                    level = levels[g][k][alone[:, h] >> at & (1 << lane) - 1]
+                    best.setdefault((g, k, True), _Best(top, lists[k].bar)).add(level, p.first[twice], p.first[twice])
+            for left, right, chosen in _contenders(p, q, groups[g], bounds[g], [x.most() for x in lists]):
+                limits, wanted = None, None
+                for r0, r1, c0, c1, out in _values(left, right, groups[g]):
+                    now = [lists[k].most()[0] for k in chosen]
+                    if now != limits:
+                        limits, wanted = now, np.zeros((2, 1 << 16), bool)
+                        for k, limit in zip(chosen, limits, strict=True):
+                            wanted[where[k][0]] |= levels[g][k][every >> where[k][1] & (1 << lane) - 1] <= limit
+                    halves = out.view("<u2").reshape(-1, 2)
+                    for h in range(2):
+                        if not wanted[h].any():
+                            continue
+                        found = np.flatnonzero(wanted[h].take(halves[:, h]))
+                        a, b, code = left.first[r0 + found // (c1 - c0)], right.first[c0 + found % (c1 - c0)], halves[found, h]
+                        for k, limit in zip(chosen, limits, strict=True):
+                            if where[k][0] == h:
+                                level = levels[g][k][code >> where[k][1] & (1 << lane) - 1]
+                                keep = level <= limit
+                                if same:
+                                    keep &= a < b
+                                lists[k].add(level[keep], a[keep], b[keep])
         for (g, k, alone_), x in best.items():
             n = x.rows.shape[1]
             columns = [np.full(n, groups[g][5][k][0], np.int64), np.full(n, alone_), *x.rows]
@@ -462,6 +519,49 @@ def _bests(groups: list[tuple], levels: list[list[np.ndarray]], top: int):
     return run
 
 
+#: Variants whose pairs give the ranking's bars, all folds together.
+SEEDS = 4096
+FOUND = "fold long, alone boolean, level long, a long, b long"
+
+
+def _one_block(variants: list[tuple], whole: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """Tiles of variants (variant, m0, m1, m2), each a class, in one block."""
+    names = ["first", "m0", "m1", "m2", "block", "w"]
+    columns = zip(*((*v, 0, 1) for v in variants), strict=True)
+    block = _pack([k for k in range(64) if whole >> k & 1])(pa.table([pa.array(c, pa.int64()) for c in columns], names=names))
+    sides = {f"{side}_{c}": block.column(c) for side in "lr" for c in block.column_names}
+    for g in range(groups):
+        yield from pa.table(sides | {"grp": pa.array([g])}).to_batches()
+
+
+def _bars(seeds: list[tuple], whole: int, groups: list[tuple], levels: list[list[np.ndarray]], top: int) -> dict[int, tuple[int, int]]:
+    """The place of the last of each fold's `top` best pairs of seeds (variant, m0, m1, m2), of folds with so many; compared here, as seeds are few."""
+    found: dict[int, list[tuple]] = {}
+    for batch in _bests(groups, levels, top, {})(_one_block(seeds, whole, len(groups)) if seeds else ()):
+        for r in batch.to_pylist():
+            found.setdefault(r["fold"], []).append((r["level"], r["a"], r["b"]))
+    _kept.clear()
+    return {fold: sorted(x)[top - 1][:2] for fold, x in found.items() if len(x) >= top}
+
+
+def _best_classes(maps: DataFrame, rows: list, groups: list[tuple], levels: list[list[np.ndarray]], top: int, partition: str) -> DataFrame:
+    """FOUND: each task's best pairs of classes, those of a class with itself apart.
+
+    First all pairs of a few variants, those of each fold with the best bounds, are compared: the last of a fold's `top` best pairs of these is its
+    bar. Then the classes that can be in a pair as good as some fold's bar are compared in tiles; all of them where bounds exclude none."""
+    m, whole = ["m0", "m1", "m2"], rows[0]["cases"] | rows[0]["controls"]
+    called = F.col("m0").bitwiseOR(F.col("m1")).bitwiseOR(F.col("m2"))
+    bounds = {}
+    for r, table in zip(rows, (x for own in _bounds(groups, levels) for x in own), strict=True):
+        cases, controls = (F.bit_count(called.bitwiseAND(F.lit(r[f"{partition}_{c}"]))) for c in ("cases", "controls"))
+        bounds[r["fold"]] = F.element_at(F.lit(table.ravel().tolist()), cases * F.lit(table.shape[1]) + controls + 1)
+    single = maps.where("variant_id is not null").select(F.col("variant_id").alias("first"), *[F.col(c).bitwiseAND(F.lit(whole)).alias(c) for c in m])
+    seeds = reduce(DataFrame.unionAll, [single.orderBy(x, "first").limit(max(2, SEEDS // len(rows))) for x in bounds.values()]).collect()
+    bars = _bars(sorted({tuple(r) for r in seeds}), whole, groups, levels, top)
+    classes = _classes(maps, whole, False).where(reduce(lambda x, y: x | y, [x <= F.lit(bars.get(fold, LAST)[0]) for fold, x in bounds.items()]))
+    return _tiles(classes, rows, len(groups)).mapInArrow(_bests(groups, levels, top, bars), FOUND)
+
+
 def best_models(maps: DataFrame, masks: DataFrame, top: int, evaluation: str = "BA", partition: str = "train") -> DataFrame:
     """evaluated(models()) of pairs, of each fold at least the `top` best by (accuracy, v0, v1); all where no table is made.
 
@@ -474,13 +574,13 @@ def best_models(maps: DataFrame, masks: DataFrame, top: int, evaluation: str = "
     groups = _groups(rows, "confusion", partition)
     levels = _levels(maps, rows, groups, evaluation, partition)
     maps = stored(maps, "bitmaps")
-    found = _tiles(maps, rows, len(groups)).mapInArrow(_bests(groups, levels, top), "fold long, alone boolean, level long, a long, b long")
+    found = _best_classes(maps, rows, groups, levels, top, partition)
     chosen = _first(found, top, ["fold", "alone"], ["level", "a", "b"]).collect()  # at most 2 x top a fold
     spark = maps.sparkSession
-    kept = spark.createDataFrame([tuple(r) for r in chosen], "fold long, alone boolean, level long, a long, b long")
+    kept = _frame(spark, [tuple(map(int, r)) for r in chosen], ["fold", "alone", "level", "a", "b"]).withColumn("alone", F.col("alone") != 0)
     m, whole = ["m0", "m1", "m2"], rows[0]["cases"] | rows[0]["controls"]
     own = maps.where("variant_id is not null").select("variant_id", *[F.col(c).bitwiseAND(F.lit(whole)).alias(c) for c in m])
-    firsts = spark.createDataFrame([(x,) for x in sorted({v for r in chosen for v in (r["a"], r["b"])})], "class long")
+    firsts = _frame(spark, [(x,) for x in sorted({v for r in chosen for v in (r["a"], r["b"])})], ["class"])
     classes = own.join(F.broadcast(firsts), F.col("variant_id") == F.col("class")).select("class", *m)
     members = _first(own.join(F.broadcast(classes), m).select("class", "variant_id"), top + 1, ["class"], ["variant_id"])
     left, right = (members.select(F.col("class").alias(c), F.col("variant_id").cast("long").alias(f"{c}_id")) for c in "ab")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from genoframe.operators import mdr, pairs
 from pyspark.sql import functions as F
@@ -84,3 +85,45 @@ def test_ranking_by_count_through_cross_validations(spark):
         masks = mdr.fold_masks(mdr.folds(ped, 3, 2654435761 + 7368787 * r))
         assert ranking.collect() == mdr.ranked(mdr.evaluated(mdr.models(maps, masks, 2)), 2, 3, 4, "count").collect()
         assert not any("Join" in line and "variant_id" in line and "<" in line for line in ranking._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+@pytest.mark.parametrize(("missing", "evaluation", "most"), [(0.36, "BA", 0.05), (0.36, "GAMMA", 1), (0, "BA", 1)])
+def test_ranking_passes_over_pairs_that_cannot_be_best(spark, monkeypatch, missing, evaluation, most):
+    """Pairs compared, as a share of a tile, and the best pairs against all pairs; where all samples are called, each pair is compared once for all folds."""
+    r, top, n = np.random.default_rng(5), 20, 1200
+    codes = np.where(r.random((n, 24)) < missing, 3, r.choice(3, (n, 24), p=[0.27, 0.51, 0.22]))
+    m = [((codes == k) << np.arange(24)).sum(axis=1) for k in range(3)]
+    ids = r.permutation(n) * 3
+    cases, controls, rows = 0x555555, 0xAAAAAA, []
+    for f in range(4):
+        test = 0x3F << 6 * f
+        rows.append({"fold": f, "cases": cases, "controls": controls, "train_cases": cases & ~test, "train_controls": controls & ~test})
+    groups = pairs._groups(rows, "confusion")
+    levels = pairs._levels(spark.range(1), rows, groups, evaluation, "train")
+    variants = list(zip(*(x.tolist() for x in (ids, *m)), strict=True))
+    bars = pairs._bars(variants[:300], cases | controls, groups, levels, top)
+    compared, values = [], pairs._values
+    monkeypatch.setattr(pairs, "_values", lambda p, q, *a: compared.append(p.n * q.n) or values(p, q, *a))
+    found = [x for b in pairs._bests(groups, levels, top, bars)(pairs._one_block(variants, cases | controls, len(groups))) for x in b.to_pylist()]
+    assert sum(compared) <= most * n * n
+    a, b = np.triu_indices(n, 1)
+    for k, row in enumerate(rows):
+        tp, fp = np.zeros((2, len(a)), np.int64)
+        for i, j in mdr.cells(2):
+            c, u = (np.bitwise_count(m[i][a] & m[j][b] & row[f"train_{x}"]).astype(np.int64) for x in ("cases", "controls"))
+            risky = (c + u > 0) & (c >= u)
+            tp, fp = tp + c * risky, fp + u * risky
+        level = levels[0][k][tp << groups[0][5][k][5] | fp]
+        want = sorted(zip(level.tolist(), np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist(), strict=True))[:top]
+        assert [(x["level"], x["a"], x["b"]) for x in found if x["fold"] == k and not x["alone"]] == want
+
+
+@pytest.mark.parametrize("seeds", [2, 40])
+def test_ranking_with_few_seeds(spark, monkeypatch, seeds):
+    """Whatever the first pairs are, also too few for a bar, the ranking is that over all pairs; one variant has no pairs."""
+    monkeypatch.setattr(pairs, "SEEDS", seeds)
+    calls, ped = cohort(spark, 22, 60, 13, copies=2)
+    maps, masks = mdr.bitmaps(calls, ped).localCheckpoint(), mdr.fold_masks(mdr.folds(ped, 3)).localCheckpoint()
+    want = mdr.ranked(mdr.evaluated(mdr.models(maps, masks, 2)), 2, 3, 6, "count").collect()
+    assert mdr.ranked(pairs.best_models(maps, masks, 6), 2, 3, 6, "count").collect() == want
+    assert pairs.best_models(maps.limit(1), masks, 6).collect() == []
